@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, packing, quality, sharding, simhash, url_filters, warc
+from . import decontaminate, license_scan, line_dedup, packing, quality, sharding, simhash, toxicity, url_filters, warc
 from .common import read
 
 
@@ -40,6 +40,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(read(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_sharding, op6_simhash, op7_packing, op8_decontamination, op9_warc, op10_license_scan)
+    for f in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_sharding, op5_toxicity, op6_simhash, op7_packing, op8_decontamination, op9_warc, op10_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
