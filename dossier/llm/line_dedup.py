@@ -102,8 +102,8 @@ def removed_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     """docs with duplicate lines removed from the text, and n_lines, n_removed (both of the given text; 0 for null)."""
-    keyed = keyed(docs.select("doc_id", "text")).select("doc", "text")
-    gone = removed_lines(keyed, min_words=min_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    texts = keyed(docs.select("doc_id", "text")).select("doc", "text")
+    gone = removed_lines(texts, min_words=min_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     out = docs.select(with_columns_of(docs, ("n_lines", "n_removed", "text")).alias("row"), "doc_id", "text")
     out = keyed(out).join(gone, "doc", "left")
     kept = F.expr("CASE WHEN gone IS NULL OR text IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(gone, i)), '\n') END")
