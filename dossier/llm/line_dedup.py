@@ -43,13 +43,13 @@ def _variants(lines: DataFrame) -> DataFrame:
     the terms of the words before the deleted one, and those after it moved up by one place. The terms have 40 bits, and
     two sums make a key.
     """
-    words = lines.select("place", F.size("__w").alias("n"), F.posexplode("__w").alias("i", "word"))
+    words = lines.select("place", "sides", F.size("__w").alias("n"), F.posexplode("__w").alias("i", "word"))
     term = lambda seed, at: F.expr(f"shiftrightunsigned(xxhash64({seed}, word, {at}), 24)")
-    words = words.select("place", "n", "i", *[term(s, "i").alias(f"own{s}") for s in (1, 2)], *[term(s, "i - 1").alias(f"moved{s}") for s in (1, 2)])
+    words = words.select("place", "sides", "n", "i", *[term(s, "i").alias(f"own{s}") for s in (1, 2)], *[term(s, "i - 1").alias(f"moved{s}") for s in (1, 2)])
     line = "OVER (PARTITION BY place)"
     so_far = "OVER (PARTITION BY place ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     words = words.select(
-        "place", "n", "i",
+        "place", "sides", "n", "i",
         *[F.expr(f"sum(own{s}) {so_far} - own{s} + sum(moved{s}) {line} - sum(moved{s}) {so_far}").alias(f"without{s}") for s in (1, 2)],
         *[F.expr(f"sum(own{s}) {line}").alias(f"whole{s}") for s in (1, 2)],
     )
@@ -57,21 +57,31 @@ def _variants(lines: DataFrame) -> DataFrame:
     def key(role: str, tag: str, n, at, of: str):
         return F.struct(*[F.xxhash64(F.lit(tag), n, at, F.col(f"{of}{s}"), F.lit(s)).alias(f"key{s}") for s in (1, 2)], F.lit(role).alias("role"))
 
+    # a shared head leaves the edit to the words behind it, a shared tail to those before it
+    replaced = "(sides & 1 > 0 AND i >= n div 2) OR (sides & 2 > 0 AND i < n div 2)"
+    deleted = "(sides & 4 > 0 AND i >= (n - 1) div 2) OR (sides & 8 > 0 AND i < n - (n - 1) + (n - 1) div 2)"
     emitted = F.array(
-        key("replaced", "replaced", F.col("n"), F.col("i"), "without"),
-        key("long", "moved", F.col("n") - 1, F.lit(-1), "without"),
-        F.when(F.col("i") == 0, key("short", "moved", F.col("n"), F.lit(-1), "whole")),
+        F.when(F.expr(replaced), key("replaced", "replaced", F.col("n"), F.col("i"), "without")),
+        F.when(F.expr(deleted), key("long", "moved", F.col("n") - 1, F.lit(-1), "without")),
+        F.when(F.expr("i = 0 AND sides & 3 > 0"), key("short", "moved", F.col("n"), F.lit(-1), "whole")),
     )
     return words.select("place", F.explode(emitted).alias("e")).where("e IS NOT NULL").select("place", "e.*")
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """place of the given lines (place, __w) that have an earlier near-duplicate among them."""
+def near_lines(lines: DataFrame, *, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """place of the given lines (place, sides, __w) that have an earlier near-duplicate among them.
+
+    sides has bits 1 and 2 set if the line's head or tail, as the shorter or equal line of a pair, is another line's too,
+    and bits 4 and 8 for its halves as the longer one.
+    """
     keys = _variants(lines)
-    least = keys.groupBy("key1", "key2").agg(
-        F.count("*").alias("__n"), *[F.expr(f"min(CASE WHEN role = '{r}' THEN place END)").alias(f"first_{r}") for r in ("replaced", "long", "short")]
-    )
-    least = least.where("__n > 1 AND (first_replaced IS NOT NULL OR (first_long IS NOT NULL AND first_short IS NOT NULL))")
+    # most keys are nobody else's; those that are shared are few, and joined by broadcast if their number shows it
+    shared = materialise(keys.groupBy("key1").count().where("count > 1").select("key1"))
+    if shared.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        shared = F.broadcast(shared)
+    keys = materialise(keys.join(shared, "key1", "left_semi"))
+    least = keys.groupBy("key1", "key2").agg(*[F.expr(f"min(CASE WHEN role = '{r}' THEN place END)").alias(f"first_{r}") for r in ("replaced", "long", "short")])
+    least = least.where("first_replaced IS NOT NULL OR (first_long IS NOT NULL AND first_short IS NOT NULL)")
     earlier = F.expr("CASE role WHEN 'replaced' THEN first_replaced WHEN 'long' THEN first_short ELSE first_long END").alias("earlier")
     found = keys.join(least, ["key1", "key2"]).select("place", earlier).where("earlier < place").groupBy("place").agg(F.min("earlier").alias("earlier"))
     both = found.join(lines.select("place", F.col("__w").alias("a")), "place")
@@ -86,12 +96,16 @@ def removed_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     place = F.struct("doc", "line_no").alias("place")
     occurrences = materialise(_hashed(docs, min_words))
     distinct = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.first("halves").alias("halves"))
-    by_half = distinct.select("place", "k1", F.explode(F.array_distinct("halves")).alias("half"))
+    by_half = distinct.select("place", "k1", F.posexplode("halves").alias("side", "half"))
     shared = by_half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
-    candidates = by_half.join(shared, "half", "left_semi").groupBy("place.doc").agg(F.collect_set("place.line_no").alias("wanted"))
+    candidates = by_half.join(shared, "half", "left_semi").groupBy("place").agg(F.expr("bit_or(shiftleft(1, side))").alias("sides"))
+    candidates = candidates.groupBy("place.doc").agg(F.collect_list(F.struct("place.line_no", "sides")).alias("wanted"))
     lines = docs.join(candidates, "doc").dropDuplicates(["doc"])
-    wanted = F.expr("filter(transform(split(text, '\n'), (x, i) -> struct(i AS line_no, x AS line)), x -> array_contains(wanted, x.line_no))")
-    lines = lines.select("doc", F.explode(wanted).alias("l")).select(F.struct("doc", "l.line_no").alias("place"), words_of(F.col("l.line")).alias("__w"))
+    wanted = F.expr(
+        "transform(filter(transform(split(text, '\n'), (x, i) -> struct(i AS line_no, x AS line)), l -> exists(wanted, c -> c.line_no = l.line_no)),"
+        " l -> struct(l.line_no, l.line, filter(wanted, c -> c.line_no = l.line_no)[0].sides AS sides))"
+    )
+    lines = lines.select("doc", F.explode(wanted).alias("l")).select(F.struct("doc", "l.line_no").alias("place"), "l.sides", words_of(F.col("l.line")).alias("__w"))
     near = materialise(near_lines(materialise(lines)))
     # equal lines share one hash: all but the earliest go, and the earliest too if it has an earlier near-duplicate
     first = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
