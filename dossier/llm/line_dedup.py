@@ -21,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, with_columns_of, words_of
+from .common import SPACE_CHARS, SPACE_CLASS, keyed, materialise, with_columns_of, words_of
 
 
 def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
     """doc, line_no, k1, k2 (the line's hash), halves (hashes of the halves that one edit may leave whole)."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("__w", words_of(F.col("line"))).where(F.size("__w") >= min_words)
+    words = F.transform(F.split("text", "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), f"[{SPACE_CLASS}]+"))
+    lines = docs.select("doc", F.posexplode(words).alias("line_no", "__w")).where(F.size("__w") >= max(min_words, 2))
     halves = []
     for m in ("size(__w)", "size(__w) - 1"):  # as the shorter line of a pair, and as the longer one
         head = f"({m}) div 2"
@@ -68,17 +68,21 @@ def _variants(lines: DataFrame) -> DataFrame:
     return words.select("place", F.explode(emitted).alias("e")).where("e IS NOT NULL").select("place", "e.*")
 
 
-def near_lines(lines: DataFrame, *, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def few(keys: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The keys (longs), to be joined by broadcast if a count shows that they are few."""
+    keys = materialise(keys)
+    return F.broadcast(keys) if keys.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else keys
+
+
+def near_lines(lines: DataFrame) -> DataFrame:
     """place of the given lines (place, sides, __w) that have an earlier near-duplicate among them.
 
     sides has bits 1 and 2 set if the line's head or tail, as the shorter or equal line of a pair, is another line's too,
     and bits 4 and 8 for its halves as the longer one.
     """
     keys = _variants(lines)
-    # most keys are nobody else's; those that are shared are few, and joined by broadcast if their number shows it
-    shared = materialise(keys.groupBy("key1").count().where("count > 1").select("key1"))
-    if shared.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        shared = F.broadcast(shared)
+    # most keys are nobody else's
+    shared = few(keys.groupBy("key1").count().where("count > 1").select("key1"))
     keys = materialise(keys.join(shared, "key1", "left_semi"))
     least = keys.groupBy("key1", "key2").agg(*[F.expr(f"min(CASE WHEN role = '{r}' THEN place END)").alias(f"first_{r}") for r in ("replaced", "long", "short")])
     least = least.where("first_replaced IS NOT NULL OR (first_long IS NOT NULL AND first_short IS NOT NULL)")
@@ -96,8 +100,8 @@ def removed_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     place = F.struct("doc", "line_no").alias("place")
     occurrences = materialise(_hashed(docs, min_words))
     distinct = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.first("halves").alias("halves"))
-    by_half = distinct.select("place", "k1", F.posexplode("halves").alias("side", "half"))
-    shared = by_half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
+    by_half = distinct.select("place", F.posexplode("halves").alias("side", "half"))
+    shared = few(by_half.groupBy("half").count().where("count > 1").select("half"))
     candidates = by_half.join(shared, "half", "left_semi").groupBy("place").agg(F.expr("bit_or(shiftleft(1, side))").alias("sides"))
     candidates = candidates.groupBy("place.doc").agg(F.collect_list(F.struct("place.line_no", "sides")).alias("wanted"))
     lines = docs.join(candidates, "doc").dropDuplicates(["doc"])
