@@ -2,5 +2,139 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring, url
+from ..operators import facts, logs
+from .bindings import bound, with_views
+
+AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    """Registers a query and its SQL."""
+
+    def add(f):
+        QUERIES[name], ORACLE_SQL[name] = f, with_views(sql)
+        return f
+
+    return add
+
+
+def over(name: str, views: str, sql: str, f: Callable[..., DataFrame]) -> None:
+    """Registers a query over views, named in a string."""
+    query(name, sql)(lambda s, d: f(*(bound(s, d, v) for v in views.split())))
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+
+
+_PART = r"regexp_extract(url, '^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?', {})"
+_HOST = f"lower({_PART.format(4)})"
+_DOMAIN = rf"regexp_replace(regexp_replace(regexp_extract({_HOST}, '^(?:[^@]*@)?([^:]*)', 1), '\.$', ''), '^www\.', '')"
+_WHERE = f"lower(concat({_PART.format(5)}, ' ', {_PART.format(7)}))"
+_TOKEN = "CASE " + " ".join(f"WHEN contains({_WHERE}, '{t}') THEN '{t}'" for t in url.EXCLUDED_TOKENS) + " END"
+
+
+def _has(c: str, parts) -> str:
+    return " OR ".join(f"contains({c}, '{p}')" for p in parts)
+
+
+def _class(kind: bool) -> str:
+    rules = [
+        (f"contains({_DOMAIN}, 'gov.vn') OR contains(lower(url), 'dangkykinhdoanh')", "registry", 1), (_has(_DOMAIN, url.REGISTRIES), "registry", 2), (_has(_DOMAIN, url.DIRECTORIES), "directory", 3),
+        (f"contains({_DOMAIN}, 'wikipedia.org')", "web_page", 3), (_has(_DOMAIN, url.FINANCE_NEWS), "news", 3), (_has(_DOMAIN, url.NEWS), "news", 4),
+    ]
+    return "CASE " + " ".join(f"WHEN {c} THEN " + (f"'{k}'" if kind else str(t)) for c, k, t in rules) + (" ELSE 'web_page' END" if kind else " ELSE 3 END")
+
+
+_SCHEME = f"CASE WHEN {_PART.format(2)} = '' THEN 'https' ELSE lower({_PART.format(2)}) END"
+_NORMAL = (
+    f"concat({_SCHEME}, ':', CASE WHEN {_HOST} <> '' THEN concat('//', CASE WHEN {_SCHEME} = 'http' THEN regexp_replace({_HOST}, ':80$', '') WHEN {_SCHEME} = 'https' THEN regexp_replace({_HOST}, ':443$', '') ELSE {_HOST} END) ELSE '' END,"
+    f" regexp_replace({_PART.format(5)}, '/+$', ''), CASE WHEN {_PART.format(7)} <> '' THEN concat('?', {_PART.format(7)}) ELSE '' END)"
+)
+
+
+@query("b_url_functions", f"SELECT page_id, {_NORMAL} AS normalized, {_DOMAIN} AS domain, {_TOKEN} AS excluded, {_class(True)} AS source_type, {_class(False)} AS authority_tier, NOT (contains(url, '/admin') OR contains(url, '/private')) AS open_path FROM pages")
+def url_functions(s: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    out = _pages(s, d).withColumn("domain", url.normalize_domain(u)).withColumn("class", url.source_class(F.col("domain"), u))
+    return out.select("page_id", url.normalize_url(u).alias("normalized"), "domain", url.excluded_token(u).alias("excluded"), "class.source_type", "class.authority_tier", url.robots_path(u).alias("open_path"))
+
+
+@query("flagship_best_pages", f"SELECT domain, page_id, place FROM (SELECT domain, page_id, CAST(row_number() OVER (PARTITION BY domain ORDER BY tier, length(normalized), page_id) AS INT) AS place FROM (SELECT page_id, {_DOMAIN} AS domain, {_class(False)} AS tier, {_NORMAL} AS normalized, {_TOKEN} AS excluded FROM pages) WHERE excluded IS NULL) WHERE place <= 3")
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """The best three pages of each site: without excluded words, by authority, then the shortest url."""
+    u = F.col("url")
+    out = _pages(s, d).select("page_id", url.normalize_domain(u).alias("domain"), u, url.normalize_url(u).alias("normalized")).where(url.excluded_token(u).isNull())
+    w = Window.partitionBy("domain").orderBy(url.source_class(F.col("domain"), u).getField("authority_tier"), F.length("normalized"), "page_id")
+    return out.withColumn("place", F.row_number().over(w)).where("place <= 3").select("domain", "page_id", "place")
+
+
+_DAYS = f"greatest(0, CAST(floor((epoch({AS_OF}) - epoch(observed_at)) / 86400) AS BIGINT))"
+_AUTH = f"CASE WHEN field_key IN {_in(scoring.REGISTRY_FIELDS)} AND authority_tier = 1 THEN 1.00 WHEN field_key IN {_in(scoring.SITE_FIELDS)} AND authority_tier IN (1, 2) THEN 0.95 " + " ".join(f"WHEN authority_tier = {k} THEN {v}" for k, v in scoring.TIERS.items()) + " ELSE 0.50 END"
+_SUPPORT = "CASE support_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.SUPPORT.items()) + " ELSE 0.80 END"
+_RELIABLE = "CASE WHEN origin_type IN ('reviewer', 'user', 'deterministic') THEN 1.00 WHEN origin_type = 'ai' THEN least(1.00, greatest(0.50, coalesce(hint, 0.80) * 0.95)) ELSE 0.80 END"
+_FRESH = f"CASE WHEN observed_at IS NULL OR {_DAYS} <= 30 THEN 1.00 WHEN {_DAYS} <= 180 THEN 0.90 WHEN {_DAYS} <= 365 THEN 0.80 ELSE 0.65 END"
+_SCORE = f"CAST(round(greatest(0.00, least(1.00, CAST({_AUTH} AS DECIMAL(8,4)) * 0.40 + CAST({_SUPPORT} AS DECIMAL(8,4)) * 0.30 + CAST({_RELIABLE} AS DECIMAL(8,4)) * 0.15 + CAST({_FRESH} AS DECIMAL(8,4)) * 0.15)), 2) AS DOUBLE)"
+_LIMIT = lambda i: "CASE split_part(field_key, '.', 1) " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in scoring.STALENESS.items()) + f" ELSE {(180, 365)[i]} END"
+_ACTIVE = f"fact_status IN {_in(facts.ACTIVE)}"
+_KEY = ", ".join(facts.FACT_KEY)
+
+over("f4_dedupe_facts", "b_fact", f"SELECT {_KEY}, origin_type, value_json, min(fact_id) AS fact_id FROM b_fact WHERE {_ACTIVE} GROUP BY ALL", facts.dedupe_facts)
+over("f7_f8_score_facts", "b_fact", f"SELECT fact_id, score, CASE WHEN score >= 0.8 THEN 'High' WHEN score >= 0.6 THEN 'Medium' ELSE 'Low' END AS rating FROM (SELECT fact_id, {_SCORE} AS score FROM b_fact)", lambda f: facts.score_facts(f, F.expr(AS_OF)))
+over("f9_corroborate", "b_fact b_evidence", f"SELECT v.*, r.competing FROM (SELECT {_KEY}, value_json, count(DISTINCT source_id) AS n_sources FROM b_fact LEFT JOIN b_evidence USING (fact_id) GROUP BY ALL) v JOIN (SELECT {_KEY}, min(value_json) < max(value_json) AS competing FROM b_fact GROUP BY {_KEY}) r USING ({_KEY})", facts.corroborate)
+over("f10_freshness", "b_fact", f"SELECT fact_id, CASE WHEN observed_at IS NULL OR {_DAYS} > {_LIMIT(1)} THEN 'stale' WHEN {_DAYS} > {_LIMIT(0)} THEN 'warning' ELSE 'fresh' END AS freshness FROM b_fact", lambda f: facts.freshness(f, F.expr(AS_OF)))
+
+EXPECTED = ("identity.legal_name", "identity.tax_id", "overview.hq_address", "overview.description")
+over("f11_missing_fields", "b_company b_fact", f"SELECT c.workspace_id, c.company_id, w.field_key FROM b_company c CROSS JOIN (SELECT unnest(['{"', '".join(EXPECTED)}']) AS field_key) w ANTI JOIN b_fact f ON f.workspace_id = c.workspace_id AND f.company_id = c.company_id AND f.field_key = w.field_key", lambda c, f: facts.missing_fields(c, f, EXPECTED))
+
+_BARE = lambda c: f"lower(trim(regexp_replace({c}, '^\"|\"$', '', 'g')))"
+_A, _B = _BARE("first_value"), _BARE("value_json")
+_WORDS = lambda c: f"regexp_split_to_array({c}, '\\s+')"
+_X, _Y = "TRY_CAST(first_value AS DOUBLE)", "TRY_CAST(value_json AS DOUBLE)"
+_DIFFERS = (
+    f"CASE WHEN first_value IS NULL OR value_json IS NULL THEN FALSE WHEN value_type IN ('integer', 'number') THEN {_X} <> {_Y} AND abs({_X} - {_Y}) * 20 > greatest(abs({_X}), abs({_Y}))"
+    f" ELSE {_A} <> {_B} AND NOT (field_key = 'identity.legal_name' AND (list_has_all({_WORDS(_B)}, {_WORDS(_A)}) OR list_has_all({_WORDS(_A)}, {_WORDS(_B)}))) END"
+)
+_MEMBERS = f"SELECT *, {_DIFFERS} AS differs FROM (SELECT *, first_value(value_json) OVER w AS first_value, CASE WHEN row_number() OVER w = 1 THEN 'primary' ELSE 'competing' END AS role FROM b_fact WINDOW w AS (PARTITION BY {_KEY} ORDER BY fact_id))"
+over("h1_h4_conflict_members", "b_fact", f"SELECT fact_id, role, differs FROM ({_MEMBERS})", lambda f: facts.conflict_members(f).select("fact_id", "role", "differs"))
+over("h2_h3_detect_conflicts", "b_fact", f"SELECT {_KEY}, count(*) AS n_facts, count(*) FILTER (differs) AS n_differing, CASE WHEN field_key IN {_in(scoring.CRITICAL_FIELDS)} THEN 'critical' WHEN field_key IN {_in(scoring.HIGH_FIELDS)} THEN 'high' ELSE 'medium' END AS materiality FROM ({_MEMBERS}) GROUP BY {_KEY} HAVING count(*) FILTER (differs) > 0", facts.detect_conflicts)
+over("k1_assemble_drafts", "b_fact", f"SELECT workspace_id, company_id, field_key, fact_id, score, CAST(row_number() OVER (PARTITION BY workspace_id, company_id ORDER BY score DESC, fact_id) AS INT) AS display_order FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, company_id, field_key ORDER BY score DESC, fact_id) AS n FROM (SELECT *, {_SCORE} AS score FROM b_fact WHERE {_ACTIVE})) WHERE n = 1", lambda f: facts.assemble_drafts(f, F.expr(AS_OF)))
+over("k8_version_history", "b_version", "SELECT version_id, version_number, CASE WHEN withdrawn THEN 'withdrawn' WHEN superseded_at IS NULL THEN 'published' ELSE 'superseded' END AS status, superseded_at FROM (SELECT *, lead(published_at) OVER (PARTITION BY workspace_id, company_id ORDER BY version_number) AS superseded_at FROM b_version)", facts.version_history)
+
+_PAIRS = "SELECT a.version_id AS old_id, b.version_id AS new_id FROM b_version a JOIN b_version b ON a.workspace_id = b.workspace_id AND a.company_id = b.company_id AND b.version_number = a.version_number + 1"
+_SIDE = lambda k: f"SELECT old_id, new_id, field_key, context_key, display_value AS {k}_value, TRUE AS has_{k} FROM pairs JOIN b_field_value ON version_id = {k}_id"
+_DIFF = f"SELECT old_id, new_id, field_key, context_key, old_value, new_value, CASE WHEN has_old IS NULL THEN 'added' WHEN has_new IS NULL THEN 'removed' WHEN old_value IS DISTINCT FROM new_value THEN 'modified' END AS change FROM ({_SIDE('old')}) FULL JOIN ({_SIDE('new')}) USING (old_id, new_id, field_key, context_key)"
+
+
+def _changes(versions: DataFrame, values: DataFrame) -> DataFrame:
+    w = Window.partitionBy("workspace_id", "company_id").orderBy("version_number")
+    pairs = versions.select(F.col("version_id").alias("old_id"), F.lead("version_id").over(w).alias("new_id")).where("new_id IS NOT NULL")
+    return facts.diff_versions(pairs, values)
+
+
+over("k10_diff_versions", "b_version b_field_value", f"WITH pairs AS ({_PAIRS}) SELECT * FROM ({_DIFF}) WHERE change IS NOT NULL", _changes)
+over("k11_diff_summary", "b_version b_field_value", f"WITH pairs AS ({_PAIRS}) SELECT old_id, new_id, " + ", ".join(f"count(*) FILTER (change = '{k}') AS n_{k}" for k in ("added", "removed", "modified")) + f" FROM ({_DIFF}) WHERE change IS NOT NULL GROUP BY old_id, new_id", lambda v, x: facts.diff_summary(_changes(v, x)))
+over("l1_ai_usage", "b_ai_run", "SELECT workspace_id, count(*) AS n_runs, CAST(round(sum(cost_usd), 4) AS DOUBLE) AS cost_usd FROM b_ai_run GROUP BY workspace_id", logs.ai_usage)
+over("i7_within_budget", "b_ai_run", "SELECT job_id, run_id, cost_usd FROM (SELECT *, max(refused) OVER (PARTITION BY job_id ORDER BY created_at, run_id) AS stopped FROM (SELECT *, CASE WHEN coalesce(sum(cost_usd) OVER (PARTITION BY job_id ORDER BY created_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.10 > 50.00 THEN 1 ELSE 0 END AS refused FROM b_ai_run)) WHERE stopped = 0", lambda r: logs.within_budget(r, "50.00"))
+over("i10_ai_status", "b_ai_run", "SELECT job_id, CASE WHEN f = 0 THEN 'completed' WHEN f = n THEN 'unavailable' ELSE 'partial' END AS status, first_failed FROM (SELECT job_id, count(*) AS n, count(*) FILTER (validation_outcome = 'failed') AS f, min(CASE WHEN validation_outcome = 'failed' THEN run_id END) AS first_failed FROM b_ai_run GROUP BY job_id)", logs.ai_status)
+over("e16_fetch_stats", "b_attempt", "SELECT coalesce(adapter, 'all') AS adapter, coalesce(outcome_code, 'all') AS outcome_code, count(*) AS n, count(*) FILTER (http_status >= 500) AS n_server_errors FROM b_attempt GROUP BY ROLLUP (adapter, outcome_code)", logs.fetch_stats)
+over("e14_source_status", "b_source b_attempt", "SELECT source_id, attempt_id, outcome_code, http_status FROM b_source LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, attempt_id DESC) AS n FROM b_attempt) a USING (source_id) WHERE n = 1 OR n IS NULL", logs.source_status)
+over("l3_recent_audit", "b_audit", "SELECT workspace_id, audit_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, audit_id DESC) AS INT) AS place FROM b_audit) WHERE place <= 50", lambda a: logs.recent(a, "workspace_id", "created_at", "audit_id").select("workspace_id", "audit_id", "place"))
+over("a8_c5_unique_snapshots", "b_snapshot", "SELECT workspace_id, source_id, sha256(content) AS content_hash, min(snapshot_id) AS snapshot_id FROM b_snapshot GROUP BY ALL", lambda s: logs.unique_snapshots(s, F.sha2("content", 256)))
+over("q1_vocab_violations", "b_fact", "SELECT support_type AS value, count(*) AS n FROM b_fact WHERE support_type NOT IN ('structured', 'direct') GROUP BY support_type", lambda f: logs.vocab_violations(f, "support_type", ("structured", "direct")))
+over("q2_key_violations", "b_fact", f"SELECT {_KEY}, count(*) AS n FROM b_fact GROUP BY {_KEY} HAVING count(*) > 1", lambda f: logs.key_violations(f, facts.FACT_KEY))
+over("q3_orphans", "b_evidence b_fact", "SELECT fact_id, source_id, block_key FROM b_evidence e ANTI JOIN b_fact f USING (fact_id)", lambda e, f: logs.orphans(e, f, "fact_id"))
+over("g2_identifier_duplicates", "b_company", "SELECT c.workspace_id, f.first_id, c.company_id, CAST(1.0 AS DOUBLE) AS score, 'EXACT_TAX_ID_MATCH' AS reason FROM b_company c JOIN (SELECT workspace_id, tax_id, min(company_id) AS first_id FROM b_company WHERE tax_id IS NOT NULL GROUP BY ALL) f ON c.workspace_id = f.workspace_id AND c.tax_id = f.tax_id AND c.company_id <> f.first_id", lambda c: logs.identifier_duplicates(c, "tax_id", 1.0, "EXACT_TAX_ID_MATCH"))
