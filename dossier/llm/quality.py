@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, words_of
+from .common import SPACE_CHARS, SPACE_CLASS, with_columns_of, words_of
 
 #: Phrases of page furniture, matched without regard to case.
 BOILERPLATE = (
@@ -98,6 +98,7 @@ def assess(
 
 def filter_documents(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that stay, with their lines cleaned; columns as in docs."""
-    judged = assess(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, **limits)
-    kept = judged.where("kept")
+    rows = docs.select(F.col(text), with_columns_of(docs, (text,)).alias("__all")) if len(docs.columns) > 1 else docs
+    # a row number keeps the optimiser from copying the whole chain of expressions into the filter
+    kept = assess(rows, text, **limits).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
     return kept.select(*[(F.col("clean_text") if c == text else F.col("__all").getField(c)).alias(c) for c in docs.columns])
