@@ -85,7 +85,7 @@ class Automaton:
         """Ranges of hit words (first and last, sorted, apart from each other), and the items of the windows met."""
         ranges: list[tuple[int, int]] = []
         met: set[str] = set()
-        if not self.sizes:
+        if not self.sizes or not words:
             return ranges, met
         least, pairs = self.sizes[0], self.pairs
         ids = list(map(self.vocabulary.get, words))

@@ -174,8 +174,11 @@ def _leaning(features: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray
     return np.clip((n[1] - expected) / np.sqrt(expected + 1) / 3, -3, 3)
 
 
-def train(texts: list[bytes], y: np.ndarray, *, rounds: int = 3, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 1) -> dict:
-    """Parameters from texts and labels 0 or 1, at least one of each; every text has a word."""
+def train(texts: list[bytes], y: np.ndarray, *, rounds: int = 3, epochs: int = 4, min_steps: int = 100, batch: int = 128, rate: float = 0.01, seed: int = 1) -> dict:
+    """Parameters from texts and labels 0 or 1, at least one of each; every text has a word.
+
+    A small sample is gone through more often, so that each round has min_steps batches or so.
+    """
     rng = np.random.default_rng(seed)
     split = [normalised(t) for t in texts]
     in_texts = Counter(w for words in split for w in set(words))
@@ -207,7 +210,7 @@ def train(texts: list[bytes], y: np.ndarray, *, rounds: int = 3, epochs: int = 4
         some = starts + rng.integers(0, per_text)
         chosen = np.unique(np.concatenate([worst, some[y == 0]]))
         chosen = np.concatenate([chosen, *[chosen[y[owner[chosen]] == rare]] * (repeat - 1)])
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-min_steps * batch // len(chosen)))):
             rng.shuffle(chosen)
             for at in range(0, len(chosen), batch):
                 own = chosen[at : at + batch]
