@@ -159,7 +159,9 @@ def scan_range(data, start: int, end: int, size: int, block: int = 1 << 20):
 def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
     """The records of the manifest's files (file, bytes), each file read in ranges of split_bytes."""
     ranges = manifest.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
-    ranges = ranges.repartition(F.col("file"), F.col("start"))
+    # a fixed number of partitions: the rows are tiny, so adaptive execution would put all ranges into one task
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), 20_000), F.col("file"), F.col("start"))
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
