@@ -1 +1,3 @@
+"""Binding views and the registry of queries."""
 
+from . import profiles, registry  # noqa: F401
