@@ -37,6 +37,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(rows: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows (of a few numbers each), to be joined by broadcast if a count shows that they are few."""
+    rows = materialise(rows)
+    return F.broadcast(rows) if rows.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else rows
+
+
 def stripped(text: Column) -> Column:
     """The text without white space at its ends; null becomes empty."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

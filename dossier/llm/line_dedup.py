@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, keyed, materialise, with_columns_of, words_of
+from .common import SPACE_CHARS, SPACE_CLASS, few, keyed, materialise, with_columns_of, words_of
 
 
 def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
@@ -68,12 +68,6 @@ def _variants(lines: DataFrame) -> DataFrame:
     return words.select("place", F.explode(emitted).alias("e")).where("e IS NOT NULL").select("place", "e.*")
 
 
-def few(keys: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The keys (longs), to be joined by broadcast if a count shows that they are few."""
-    keys = materialise(keys)
-    return F.broadcast(keys) if keys.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else keys
-
-
 def near_lines(lines: DataFrame) -> DataFrame:
     """place of the given lines (place, sides, __w) that have an earlier near-duplicate among them.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise
 
 OVERHEAD = 16
 
@@ -61,11 +61,14 @@ def shuffled(docs: DataFrame, n_shards: int = 40, *, seed: int = 7, bucket_bytes
 
 
 def with_slots(shuffled_docs: DataFrame) -> DataFrame:
-    """Adds slot, the place in the whole shard: the rows of the shard's earlier buckets come before."""
+    """Adds slot, the place in the whole shard: the rows of the shard's earlier buckets come before.
+
+    The buckets' starts are broadcast if a count shows that they are few, so that the records don't move again.
+    """
     counts = shuffled_docs.groupBy("shard", "bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return shuffled_docs.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("__start") + F.col("place")).drop("__start")
+    return shuffled_docs.join(few(starts), ["shard", "bucket"]).withColumn("slot", F.col("__start") + F.col("place")).drop("__start")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, **how) -> None:
