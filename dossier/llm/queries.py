@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, line_dedup, packing, quality, sharding, simhash, toxicity, url_filters, warc
 from .common import read
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -68,5 +69,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_sharding, op5_toxicity, op6_simhash, op7_packing, op8_decontamination, op9_warc, op10_license_scan)
 }
-
-ORACLE_SQL: dict[str, str] = {}
