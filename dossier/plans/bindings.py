@@ -164,9 +164,14 @@ def with_views(sql: str) -> str:
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views over the tables of sf_dir."""
+def bound(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False) -> DataFrame:
+    """One of the views over the tables of sf_dir, read at once or as a stream of files."""
+    def table(path: str) -> DataFrame:
+        batch = spark.read.parquet(path)
+        # a pattern, as a stream of files takes no path of a single file
+        return spark.readStream.schema(batch.schema).parquet(path[:-1] + "[t]") if stream else batch
+
     sql = with_views(f"SELECT * FROM {name}")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    used = {t: table(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     sql = sql.replace("{", "{{").replace("}", "}}")  # the JSON in it is no placeholder
     return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(used) + r")\b", r"\1 {\2}", sql), **used)
