@@ -148,17 +148,25 @@ HITS = "n_words bigint, ranges array<struct<first:int,last:int>>, items array<st
 
 def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """docs with n_words, ranges (of hit words) and items (ids of items with a window in the text)."""
+    return _hits(docs, list(_blocks(items, block_words)), window)
+
+
+def _hits(docs: DataFrame, blocks: list, window: int, *, cut: bool = False) -> DataFrame:
+    """The hits; with cut, the pass of the last block, which knows all ranges, also takes them out of the texts.
+
+    Every pass holds a Python worker for each running task, so no pass of its own is spent on the cutting.
+    """
     out = docs.drop("n_words", "ranges", "items")
-    for k, block in enumerate(_blocks(items, block_words)):
+    for k, block in enumerate(blocks):
         columns = [f for f in out.schema if f.name not in ("n_words", "ranges", "items")]
 
-        def run(batches, block=block, later=k > 0, names=[f.name for f in columns]):  # noqa: B006
+        def run(batches, block=block, later=k > 0, last=k == len(blocks) - 1, names=[f.name for f in columns]):  # noqa: B006
             automaton = Automaton(block, window)
             kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string())]
             for b in batches:
                 get = lambda c, b=b: b.column(b.schema.get_field_index(c))
-                found = []
-                for i, t in enumerate(get("text").cast(pa.binary()).to_pylist()):
+                found, texts = [], get("text").cast(pa.binary()).to_pylist()
+                for i, t in enumerate(texts):
                     words = normalised(t)
                     ranges, met = automaton.matches(words)
                     if later:
@@ -167,6 +175,10 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: in
                         for r in every:
                             merge(ranges, *r)
                     found.append((len(words), [{"first": x, "last": y} for x, y in ranges], sorted(met)))
+                    if cut and last and ranges:
+                        texts[i] = _cut(t, ranges, automaton)
+                if cut and last:
+                    b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
                 more = [pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*map(get, names), *more], [*names, "n_words", "ranges", "items"])
 
@@ -195,6 +207,14 @@ def without_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _cut(text: bytes, ranges: list[tuple[int, int]], automaton: Automaton) -> bytes:
+    """The text less the ranges, and less what the automaton still finds where a removal brought words together."""
+    text = without_words(text, ranges)
+    while more := automaton.matches(normalised(text))[0]:
+        text = without_words(text, more)
+    return text
+
+
 def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """docs without the hit spans; documents of which more than max_coverage is hit are left out.
 
@@ -202,19 +222,11 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage:
     """
     names = docs.columns
     rows = docs.select("text", with_columns_of(docs, ("text",)).alias("row")) if len(names) > 1 else docs.select("text")
-    found = hits(rows, items, window=window, block_words=block_words)
+    blocks = list(_blocks(items, block_words))
+    found = _hits(rows, blocks, window, cut=True)
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
-    found = found.where(n_hit <= F.col("n_words") * max_coverage).drop("items", "n_words")
-
-    def cut(batches):
-        for b in batches:
-            at, ranges = b.schema.get_field_index("text"), b.column(b.schema.get_field_index("ranges")).to_pylist()
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            texts = [without_words(t, [(r["first"], r["last"]) for r in found]) if found else t for t, found in zip(texts, ranges, strict=True)]
-            yield b.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
-
-    out = found.mapInArrow(cut, found.schema)
-    for block in _blocks(items, block_words):
+    out = found.where(n_hit <= F.col("n_words") * max_coverage).drop("items", "n_words")
+    for block in blocks[:-1]:
 
         def again(batches, block=block):
             automaton = None
@@ -223,9 +235,8 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage:
                 texts = b.column(at).cast(pa.binary()).to_pylist()
                 for i in (i for i, found in enumerate(ranges) if found):
                     automaton = automaton or Automaton(block, window)
-                    while more := automaton.matches(normalised(texts[i]))[0]:
-                        texts[i] = without_words(texts[i], more)
+                    texts[i] = _cut(texts[i], [], automaton)
                 yield b.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
-        out = out.mapInArrow(again, found.schema)
+        out = out.mapInArrow(again, out.schema)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names])
