@@ -1,3 +1,3 @@
 """Binding views and the registry of queries."""
 
-from . import profiles, registry, streams  # noqa: F401
+from . import changes, profiles, registry, streams  # noqa: F401

@@ -134,6 +134,52 @@ FROM b_source
     "b_link": """
 SELECT p1.page_id AS src, p2.page_id AS dst, CAST(p1.page_id % 10 AS INT) AS site
 FROM pages p1 JOIN pages p2 ON p2.page_id % 10 = p1.page_id % 10 AND p2.page_id % 30 = (p1.page_id + 10) % 30
+""",
+    "b_new_company": """
+SELECT CAST(s_nationkey % 5 AS INT) AS workspace_id, s_suppkey AS new_id, concat('Node ', CAST(s_suppkey % 500 AS STRING), ' Ltd') AS company_name,
+       CASE WHEN s_suppkey % 3 = 0 THEN lpad(CAST(s_suppkey % 900 AS STRING), 10, '0') END AS tax_id,
+       CASE WHEN s_suppkey % 4 = 0 THEN lpad(CAST(s_suppkey % 50 AS STRING), 8, '9') END AS registration_number
+FROM supplier
+""",
+    "b_merge_pair": """
+SELECT c.workspace_id, c.company_id AS source_id, t.target_id
+FROM b_company c JOIN (SELECT workspace_id, registration_number, min(company_id) AS target_id FROM b_company GROUP BY workspace_id, registration_number) t
+  ON c.workspace_id = t.workspace_id AND c.registration_number = t.registration_number WHERE c.company_id <> t.target_id
+""",
+    "b_edge": """
+SELECT CAST(l_suppkey % 5 AS INT) AS workspace_id, concat('C', CAST(l_suppkey AS STRING)) AS source_id, concat('C', CAST(l_partkey % 60 AS STRING)) AS target_id,
+       CASE l_returnflag WHEN 'R' THEN 'subsidiary' WHEN 'A' THEN 'parent' ELSE 'partner' END AS relationship_type
+FROM lineitem
+""",
+    "b_old_source": """
+SELECT CAST(page_id % 5 AS INT) AS workspace_id, concat('C', CAST(page_id % 50 AS STRING)) AS company_id, url AS normalized,
+       CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'rejected' WHEN 1 THEN 'failed' ELSE 'fetched' END AS status
+FROM pages WHERE page_id % 3 <> 0
+""",
+    "b_new_source": """
+SELECT CAST(page_id % 5 AS INT) AS workspace_id, concat('C', CAST(page_id % 50 AS STRING)) AS company_id, url AS normalized FROM pages WHERE page_id % 2 = 0
+""",
+    "b_selection": """
+SELECT version_id AS draft_id, field_key, display_value, CAST(row_number() OVER (PARTITION BY version_id ORDER BY field_key) AS INT) AS display_order FROM b_field_value
+""",
+    "b_override": """
+SELECT DISTINCT version_id AS draft_id, CASE WHEN version_id % 2 = 0 THEN 'f1' ELSE 'note' END AS field_key, concat('set ', CAST(version_id % 7 AS STRING)) AS value
+FROM b_field_value WHERE version_id % 3 = 0
+""",
+    "b_old_policy": """
+SELECT DISTINCT workspace_id, website_url AS domain, 'allowed' AS policy FROM b_company WHERE website_url IS NOT NULL
+""",
+    "b_new_policy": """
+SELECT DISTINCT workspace_id, concat('https://www.node', CAST(new_id % 500 AS STRING), '.example.com/') AS domain, 'trusted' AS policy FROM b_new_company
+""",
+    "b_deleted_policy": """
+SELECT DISTINCT workspace_id, website_url AS domain FROM b_company WHERE status = 'archived' AND website_url IS NOT NULL
+""",
+    "b_policy": """
+SELECT workspace_id, task_id AS policy_id, created_at FROM b_review WHERE priority = 'urgent'
+""",
+    "b_activated": """
+SELECT workspace_id, task_id AS policy_id, created_at AS activated_at FROM b_review WHERE priority = 'urgent' AND status = 'completed'
 """,
 }
 
