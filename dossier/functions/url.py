@@ -68,3 +68,43 @@ def ensure_scheme(url: Column) -> Column:
 def robots_path(url: Column) -> Column:
     """False for paths that a static rule closes."""
     return ~(F.contains(url, F.lit("/admin")) | F.contains(url, F.lit("/private")))
+
+
+#: Query keys that only track visitors, and how such keys begin (fixed values).
+TRACKING_KEYS = ("fbclid", "gclid", "dclid", "msclkid")
+TRACKING_PREFIX = "utm_"
+
+#: Content types that are read, besides those that end in +json or +xml (fixed values).
+CONTENT_TYPES = ("application/json", "application/ld+json", "application/pdf", "application/xhtml+xml", "application/xml", "text/html", "text/plain", "text/xml")
+
+
+def canonical_url(url: Column) -> Column:
+    """An absolute http(s) url without credentials, default port, path parameters, tracking keys and fragment; else empty.
+
+    Null becomes empty. Escapes in the query stay as they are.
+    """
+    u = F.trim(F.coalesce(url, F.lit("")))
+    scheme, authority = F.lower(part(u, 2)), part(u, 4)
+    host, port = F.regexp_replace(F.lower(F.regexp_replace(authority, ":[0-9]*$", "")), r"\.+$", ""), F.regexp_extract(authority, ":([0-9]+)$", 1)
+    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
+    path = F.regexp_replace(F.regexp_replace(part(u, 5), ";[^/]*$", ""), "/+$", "")
+    key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    pairs = F.filter(F.split(part(u, 7), "&"), lambda p: (p != "") & ~key(p).isin(*TRACKING_KEYS) & ~F.startswith(key(p), F.lit(TRACKING_PREFIX)))
+    query = F.array_join(F.transform(pairs, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    whole = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(scheme.isin("http", "https") & (host != "") & ~F.contains(authority, F.lit("@")), whole).otherwise("")
+
+
+def content_type(header: Column, url: Column) -> Column:
+    """The header's type without parameters, else by the path's ending, else html."""
+    said, path = F.lower(F.trim(F.substring_index(F.coalesce(header, F.lit("")), ";", 1))), F.lower(part(F.coalesce(url, F.lit("")), 5))
+    guessed = F.when(path.endswith(".pdf"), "application/pdf").when(path.endswith(".json") | path.endswith(".jsonld"), "application/json").otherwise("text/html")
+    return F.when(said != "", said).otherwise(guessed)
+
+
+def content_problem(kind: Column, url: Column, content: Column) -> Column:
+    """Why a response's type is refused; null if it isn't."""
+    pdf, ends = kind == "application/pdf", F.lower(part(F.coalesce(url, F.lit("")), 5)).endswith(".pdf")
+    signed = F.coalesce(content, F.lit("")).rlike("^[\\x09-\\x0D ]*%PDF")
+    known = kind.isin(*CONTENT_TYPES) | kind.endswith("+json") | kind.endswith("+xml")
+    return F.when(~known, "UNSUPPORTED_TYPE").when(ends & ~pdf, "PDF_EXTENSION").when(signed & ~pdf, "PDF_SIGNATURE").when(pdf & ~signed, "NO_PDF_SIGNATURE")

@@ -180,6 +180,22 @@ SELECT workspace_id, task_id AS policy_id, created_at FROM b_review WHERE priori
 """,
     "b_activated": """
 SELECT workspace_id, task_id AS policy_id, created_at AS activated_at FROM b_review WHERE priority = 'urgent' AND status = 'completed'
+""",
+    "b_profile_value": """
+SELECT workspace_id, company_id, CASE WHEN field_key = 'innovation.awards' THEN 'identity.industry' WHEN field_key = 'overview.hq_address' THEN 'overview.description' ELSE field_key END AS field_key,
+       max(value_json) AS display_value
+FROM b_fact WHERE fact_id % 2 = 0 GROUP BY workspace_id, company_id, field_key
+""",
+    "b_extracted": """
+SELECT f.workspace_id, f.company_id, c.company_name, fact_id, field_key, CASE WHEN fact_id % 4 <> 0 THEN value_json END AS value, fact_id % 5 = 0 AS is_unknown,
+       CASE CAST(fact_id % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'paragraph_0001,paragraph_0002' ELSE 'paragraph_0002,paragraph_0009' END AS cited,
+       CASE WHEN fact_id % 7 = 0 THEN CAST(1.5 AS DOUBLE) WHEN fact_id % 7 = 1 THEN CAST(NULL AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS hint
+FROM b_fact f JOIN b_company c ON c.company_id = f.company_id
+""",
+    "b_response": """
+SELECT page_id, url, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN '' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/vnd.api+json' WHEN 4 THEN 'image/png' ELSE 'text/plain' END AS header,
+       CASE WHEN page_id % 5 = 0 THEN concat('  %PDF-1.7 ', html) ELSE html END AS content
+FROM pages
 """,
 }
 
