@@ -177,10 +177,11 @@ def _hits(docs: DataFrame, blocks: list, window: int, *, cut: bool = False) -> D
                     found.append((len(words), [{"first": x, "last": y} for x, y in ranges], sorted(met)))
                     if cut and last and ranges:
                         texts[i] = _cut(t, ranges, automaton)
+                kept = {n: get(n) for n in names}
                 if cut and last:
-                    b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
+                    kept["text"] = pa.array(texts, pa.binary()).cast(pa.string())
                 more = [pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*map(get, names), *more], [*names, "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays([*kept.values(), *more], [*names, "n_words", "ranges", "items"])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", " + HITS
         out = out.mapInArrow(run, schema)

@@ -206,3 +206,14 @@ def test_empty_tables(spark, odd):
 
 def test_all_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_clean_leaves_no_hit(spark):
+    """Removed spans are gone from the texts, with one block of items or several."""
+    words = [f"w{i}" for i in range(12)]
+    items = spark.createDataFrame([("a", " ".join(words)), ("b", "q0 q1 q2")], "item_id string, text string")
+    rest = " ".join(f"r{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{rest} {' '.join(words)} end"), (2, rest), (3, f"q0 q1 q2 {rest}"), (4, None)], "doc_id bigint, text string")
+    for block_words in (2_000_000, 5):
+        got = {r["doc_id"]: r["text"] for r in decontaminate.clean(docs, items, block_words=block_words).collect()}
+        assert " ".join(got[1].split()) == f"{rest} end" and got[2] == rest and got[3].split() == rest.split() and got[4] is None
