@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import keyed, materialise
 
 MAX_BITS = 2
 
@@ -117,6 +117,11 @@ def group(docs: DataFrame, words: int = 3, seed: int = 42, *, dense: int = 64) -
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The document of smallest doc_id of each component, other columns as they are; of rows repeating it, one stays."""
-    kept = group(docs, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The smallest document (by doc_id, then text hash; a null doc_id last) of each component, other columns as they are.
+
+    Rows that share a doc_id but not the text are different documents; of rows that repeat both, one stays.
+    """
+    rows = keyed(docs)
+    prints = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc.doc_id", "doc.of").alias("doc_id"), "text")
+    kept = group(prints, **how).where("doc_id = component_id").select(F.struct("doc_id.doc_id", "doc_id.of").alias("doc")).distinct()
+    return rows.join(kept, "doc", "left_semi").dropDuplicates(["doc"]).select(*[f"`{c}`" for c in docs.columns])

@@ -12,3 +12,12 @@ def test_fully_duplicated_texts_go_and_single_words_stay(spark):
     rows = [(1, f"{a}\n{b}"), (2, f"{a}\n\n{b}"), (3, f"{a}\n \t\n{b}"), (4, f"{a}\nhello"), (5, f"Anhang\n{b}"), (6, None), (7, "")]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == {1: f"{a}\n{b}", 4: "hello", 5: "Anhang", 6: None, 7: ""}
+
+
+def test_near_dedup_tells_rows_apart_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (7, a), (7, b), (7, b), (3, c), (9, c), (None, c)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(7, a), (7, b), (3, c)])
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(None, a), (None, b), (None, b)], DOCS), "").collect()
+    assert sorted(r["text"] for r in got) == [a, b]
