@@ -3,15 +3,16 @@
 Two lines are near-duplicates if one word inserted, deleted or replaced turns one into the other. Of lines that are equal
 or near-duplicates, each that has an earlier one (by doc_id, then line number) goes.
 
-1. Every line of ``min_words`` words or more gets a 128-bit hash and the hashes of its halves. An edit leaves one half
+1. Every line of ``exact_words`` words or more gets a 128-bit hash, and one of ``min_words`` the hashes of its halves. An edit leaves one half
    whole, so only lines that share a half with a different line can have a near-duplicate; this loses none.
 2. Those lines emit all variants within the bound as hashed keys: the line without word i, for each i. Two lines with a
    variant in common at the same i differ by a replacement; a variant that equals a whole line shows an insertion.
 3. Equal keys meet in an aggregation that keeps each group's earliest line, so a group of any size emits no pairs, and
    the edit distance of line and earliest is then verified on their words.
 
-Defined results: words are separated by white space and compared as they stand; lines under ``min_words`` words always
-stay (one edit would change a large share of them); null texts have no lines and stay; rows with equal doc_id and text
+Defined results: words are separated by white space and compared as they stand; lines under ``min_words`` words
+have no near-duplicates (one edit would change a large share of them), those under ``exact_words`` always stay, and so do
+blank ones; null texts have no lines and stay; rows with equal doc_id and text
 count as one document, those with equal doc_id and other texts as several; a null doc_id comes before all others; input
 columns named n_lines or n_removed are replaced.
 """
@@ -24,16 +25,17 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, SPACE_CLASS, few, keyed, materialise, with_columns_of, words_of
 
 
-def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc, line_no, k1, k2 (the line's hash), halves (hashes of the halves that one edit may leave whole)."""
+def _hashed(docs: DataFrame, min_words: int, exact_words: int) -> DataFrame:
+    """doc, line_no, k1, k2 (the line's hash), halves (hashes of the halves that one edit may leave whole; null for short lines)."""
     words = F.transform(F.split("text", "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), f"[{SPACE_CLASS}]+"))
-    lines = docs.select("doc", F.posexplode(words).alias("line_no", "__w")).where(F.size("__w") >= max(min_words, 2))
+    lines = docs.select("doc", F.posexplode(words).alias("line_no", "__w")).where((F.size("__w") >= exact_words) & (F.element_at("__w", 1) != ""))
+    near = F.size("__w") >= max(min_words, 2)
     halves = []
     for m in ("size(__w)", "size(__w) - 1"):  # as the shorter line of a pair, and as the longer one
         head = f"({m}) div 2"
         halves.append(F.expr(f"xxhash64(0, {m}, slice(__w, 1, {head}))"))
         halves.append(F.expr(f"xxhash64(1, {m}, slice(__w, size(__w) - ({m}) + {head} + 1, {m} - {head}))"))
-    return lines.select("doc", "line_no", F.expr("xxhash64(__w)").alias("k1"), F.expr("xxhash64(1, __w)").alias("k2"), F.array(*halves).alias("halves"))
+    return lines.select("doc", "line_no", F.expr("xxhash64(__w)").alias("k1"), F.expr("xxhash64(1, __w)").alias("k2"), F.when(near, F.array(*halves)).alias("halves"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -89,10 +91,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return both.where(F.expr(f"abs(size(a) - size(b)) <= 1 AND {within}")).select("place")
 
 
-def removed_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, *, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """doc, line_no (from 0) of every line that goes; docs has doc, text."""
     place = F.struct("doc", "line_no").alias("place")
-    occurrences = materialise(_hashed(docs, min_words))
+    occurrences = materialise(_hashed(docs, min_words, max(min_words, 2) if exact_words is None else exact_words))
     distinct = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.first("halves").alias("halves"))
     by_half = distinct.select("place", F.posexplode("halves").alias("side", "half"))
     shared = few(by_half.groupBy("half").count().where("count > 1").select("half"))
@@ -112,10 +114,14 @@ def removed_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     return out.where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line_no") != F.col("place"))).select("doc", "line_no")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """docs with duplicate lines removed from the text, and n_lines, n_removed (both of the given text; 0 for null)."""
+def dedup_lines(docs: DataFrame, *, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
+    """docs with duplicate lines removed from the text, and n_lines, n_removed (both of the given text; 0 for null).
+
+    Near-duplicates are sought among lines of min_words words or more, equal ones among those of exact_words (if None, of
+    min_words) or more; 1 takes all lines that have a word.
+    """
     texts = keyed(docs.select("doc_id", "text")).select("doc", "text")
-    gone = removed_lines(texts, min_words=min_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    gone = removed_lines(texts, min_words=min_words, exact_words=exact_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     out = docs.select(with_columns_of(docs, ("n_lines", "n_removed", "text")).alias("row"), "doc_id", "text")
     out = keyed(out).join(gone, "doc", "left")
     kept = F.expr("CASE WHEN gone IS NULL OR text IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(gone, i)), '\n') END")

@@ -32,7 +32,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_words=1)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from dossier.llm.queries import QUERIES
 
 DOCS = "doc_id bigint, text string"
 
@@ -21,3 +22,14 @@ def test_near_dedup_tells_rows_apart_by_id_and_text(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(7, a), (7, b), (3, c)])
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(None, a), (None, b), (None, b)], DOCS), "").collect()
     assert sorted(r["text"] for r in got) == [a, b]
+
+
+def test_exact_repeats_of_short_lines_go(spark, tmp_path):
+    a, b = "one two three four five six", "alpha beta gamma delta epsilon zeta"
+    rows = [(1, f"Home\n{a}\n\nsee all of it\nHome "), (2, f"Home\n{b}\n\nsee all of them\n home"), (3, "see all of it\nfresh words"), (4, "Home")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: f"Home\n{a}\n\nsee all of it", 2: f"{b}\n\nsee all of them\n home", 3: "fresh words", 4: ""}
+    got = QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and sum(r["n_removed"] for r in got) == 4
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {k: v for k, v in want.items() if k != 4}
