@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from dossier.llm.queries import QUERIES
 
@@ -33,3 +35,22 @@ def test_exact_repeats_of_short_lines_go(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in got} == want and sum(r["n_removed"] for r in got) == 4
     got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert {r["doc_id"]: r["text"] for r in got} == {k: v for k, v in want.items() if k != 4}
+
+
+def test_near_dedup_catches_copies_of_similarity_from_four_fifths(spark):
+    rng, rows, planted, far = random.Random(5), [], [], []
+    for n in range(120):
+        words = [f"v{rng.randrange(3000)}" for _ in range(300)]
+        rows.append((n, " ".join(words)))
+        copy, m = list(words), (6, 3, 1, 20)[n % 4]
+        for i in range(m):
+            copy[10 + i * 14] = f"new{n}x{i}"
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (words, copy)]
+        (planted if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) else far).append(1000 + n)
+        rows.append((1000 + n, " ".join(copy)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert len(planted) == 90 and len(far) == 30 and kept >= {*range(120), *far}
+    assert len(kept & {*planted}) <= 2
+    # a group above the limit for pairs
+    many = [(n, " ".join("other" if i == n % 300 else f"g{i}" for i in range(300))) for n in range(100)]
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame(many, DOCS), "").count() == 1
