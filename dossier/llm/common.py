@@ -12,22 +12,39 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_fallback: dict[str, str] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_local: list[tempfile.TemporaryDirectory] = []
+#: (session, folder) of the folders handed out and not yet removed.
+_handed: list[tuple[SparkSession, str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing, as in tests on one machine, a local temporary folder serves.
+    Only a session on one machine may do without that setting; its folder goes with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _fallback.setdefault("root", "file://" + tempfile.mkdtemp(prefix="dossier-"))
-    return f"{root.rstrip('/')}/dossier/{uuid.uuid4().hex}"
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append(tempfile.TemporaryDirectory(prefix="dossier-", ignore_cleanup_errors=True))
+        root = "file://" + _local[0].name
+    folder = f"{root.rstrip('/')}/dossier/{uuid.uuid4().hex}"
+    _handed.append((spark, folder))
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the scratch folders that this session's operators wrote; their results must have been read or written by then."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for of, folder in [h for h in _handed if h[0] is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _handed.remove((of, folder))
 
 
 def materialise(df: DataFrame) -> DataFrame:
