@@ -1,41 +1,33 @@
 """License scans by diagonal voting, from built-in functions only.
 
 Every rolling window of ``k`` words of a text is joined by its hash to the positions at which license templates hold that
-window. A match votes for a diagonal, the text position minus the template position; votes are added up by document,
-template and diagonal, neighbouring diagonals (words inserted or missing) are merged, and a span is verified by the share
-of the template's words that its matches cover. The windows' words are compared as text after the join, so hashes that
-meet by chance don't count.
+window; the windows' words are compared too, so hashes that meet by chance don't count. A match votes for a diagonal, the
+text position minus the template position. Votes are gathered by document, template and diagonal, neighbouring diagonals
+(words inserted or missing) are merged, and the merged votes are cut into spans where more than ``max_gap`` words have none.
+A span is verified by the share of its words that votes cover, so a part of a license counts as well as the whole; one that
+is shorter than the template and than ``enough`` words is held against the lesser of these. Where verified spans overlap,
+the best one counts: the text of one license often stands within another's.
 
 Besides, plain phrases are counted wherever their words stand consecutively; their labels always stay.
 
-The templates are a constant of this module, below 60 words each, so the broadcast index has a few hundred rows.
+Templates are whole texts of any length. Their index is broadcast if it has at most ``max_broadcast_rows`` windows, which
+the templates' words bound before anything runs, and joined by shuffle otherwise.
 
-Defined results: a null text counts as empty; words are runs of ASCII letters or digits and of all characters beyond
-ASCII, with A-Z lower-cased; rows with equal doc_id and text get equal results.
+Defined results: a null or empty text has no words and the score 0; words are runs of ASCII letters or digits and of all
+characters beyond ASCII, with A-Z lower-cased; rows with equal doc_id and text get equal results; a text of any length is
+read whole; columns besides doc_id and text are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed
+from .license_texts import TEMPLATES
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-)
-
 
 def license_words(text: Column) -> Column:
     """The words, joined by single blanks. The Kelvin sign is set aside first, as lower() would make an ASCII k of it."""
@@ -79,44 +71,58 @@ def base_counts(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame
 
 
 def template_index(spark: SparkSession, templates=TEMPLATES, k: int = 3) -> DataFrame:
-    """h, gram, template, label, at, n_words: a row for each window of each template."""
-    assert all(k <= len(t.split()) < 60 for _, t in templates), "templates have k to 59 words"
-    values = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(templates))
-    t = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, words)").withColumn("__w", F.split("words", " "))
+    """h, gram, template, label, at, n_template: a row for each window of each template."""
+    given = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)])
+    t = spark.range(1).select(F.inline(given)).withColumn("__norm", license_words(F.col("text"))).withColumn("__w", _split("__norm"))
     t = t.select("template", "label", F.size("__w").alias("n_template"), F.posexplode(_windows("__w", k)).alias("at", "gram"))
     return t.select(F.xxhash64("gram").alias("h"), "gram", "template", "label", "at", "n_template")
 
 
-def spans(docs: DataFrame, templates=TEMPLATES, *, k: int = 3, slack: int = 3, min_coverage: float = 0.75) -> DataFrame:
-    """doc, label, template, first, last (words of the text), coverage, verified of every merged group of diagonals."""
+def votes(docs: DataFrame, templates=TEMPLATES, *, k: int = 3, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """doc, template, label, n_template, diagonal, pos of every window that a document (doc, __norm) shares with a template, once."""
     words = docs.select("doc", _split("__norm").alias("__w"))
     rolled = words.select("doc", F.posexplode(_windows("__w", k)).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
-    hits = rolled.join(F.broadcast(template_index(docs.sparkSession, templates, k)), ["h", "gram"])
-    covers = "|".join(f"shiftleft(1L, at + {j})" for j in range(k))
-    voted = hits.groupBy("doc", "template", "label", "n_template", F.expr("pos - at").alias("diagonal")).agg(
-        F.expr(f"bit_or({covers})").alias("covered"), F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last")
-    )
-    per = "PARTITION BY doc, template ORDER BY diagonal"
-    voted = voted.withColumn("__new", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({per}) <= {slack} THEN 0 ELSE 1 END"))
-    voted = voted.withColumn("__group", F.expr(f"sum(__new) OVER ({per})"))
-    merged = voted.groupBy("doc", "template", "label", "n_template", "__group").agg(
-        F.expr("bit_count(bit_or(covered))").alias("together"), F.expr("max(bit_count(covered))").alias("best"), F.min("first").alias("first"), F.max("last").alias("last")
+    index = template_index(docs.sparkSession, templates, k)
+    # a template has at most a word for every two characters
+    if sum(len(text) // 2 + 1 for _, text in templates) <= max_broadcast_rows:
+        index = F.broadcast(index)
+    # repeated rows of a document vote once: they are gathered before the shuffle
+    return rolled.join(index, ["h", "gram"]).select("doc", "template", "label", "n_template", F.expr("pos - at").alias("diagonal"), "pos").distinct()
+
+
+def spans(docs: DataFrame, templates=TEMPLATES, *, k: int = 3, slack: int = 3, max_gap: int = 8, enough: int = 12, min_score: float = 0.75, **index) -> DataFrame:
+    """doc, label, template, first, last (words of the text), covered, score, verified of every span."""
+    found = votes(docs, templates, k=k, **index).repartition("doc", "template")
+    by_diagonal = Window.partitionBy("doc", "template").orderBy("diagonal")
+    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= slack, 0).otherwise(1)
+    found = found.withColumn("__new", apart).withColumn("band", F.sum("__new").over(by_diagonal))
+    by_place = Window.partitionBy("doc", "template", "band").orderBy("pos")
+    step = F.coalesce(F.col("pos") - F.lag("pos").over(by_place), F.lit(max_gap + 1))
+    found = found.withColumn("__step", step).withColumn("span", F.sum(F.when(F.col("__step") > max_gap, 1).otherwise(0)).over(by_place))
+    # a window covers as many words as the last one has not covered
+    found = found.groupBy("doc", "template", "label", "n_template", "band", "span").agg(
+        F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last"), F.sum(F.least("__step", F.lit(k))).alias("covered")
     )
-    # many placements in a row merge into one long span, of which the best single diagonal is judged
-    share = F.expr("CASE WHEN last - first + 1 <= 2 * n_template THEN together ELSE best END / n_template")
-    merged = merged.withColumn("coverage", share).withColumn("verified", F.col("coverage") >= min_coverage)
-    return merged.select("doc", "label", "template", "first", "last", "coverage", "verified")
+    score = F.col("covered") / F.greatest(F.expr("last - first + 1"), F.least("n_template", F.lit(enough)))
+    found = found.withColumn("score", score).withColumn("stands", F.col("score") >= min_score)
+    # of those that stand, the best of each group that overlaps
+    earlier = Window.partitionBy("doc", "stands").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.when(F.col("first") <= F.max("last").over(earlier), 0).otherwise(1)
+    found = found.withColumn("__new", beyond).withColumn("__group", F.sum("__new").over(Window.partitionBy("doc", "stands").orderBy("first")))
+    rank = F.struct("score", F.col("covered") / F.col("n_template"), "covered")
+    best = F.max(rank).over(Window.partitionBy("doc", "stands", "__group"))
+    return found.select("doc", "label", "template", "first", "last", "covered", "score", (F.col("stands") & (rank == best)).alias("verified"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, **how) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of docs.
 
-    score is 1 where a phrase stands, else the best coverage of a template by the document, verified or not; 0 if none.
+    score is 1 where a phrase stands, else that of the best span, verified or not; 0 if none.
     """
     rows = keyed(docs.select("doc_id", "text"))
     base = base_counts(rows, phrases).drop("text")
     found = spans(rows.select("doc", license_words(F.col("text")).alias("__norm")), templates, **how)
-    found = found.groupBy("doc").agg(F.array_distinct(F.expr("collect_set(CASE WHEN verified THEN label END)")).alias("__more"), F.max("coverage").alias("__score"))
+    found = found.groupBy("doc").agg(F.array_distinct(F.expr("collect_set(CASE WHEN verified THEN label END)")).alias("__more"), F.max("score").alias("__score"))
     out = base.join(found, "doc", "left")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return out.select(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import SPACE_CLASS
+from .license_scan import PHRASES
+from .license_texts import TEMPLATES
 from .quality import BOILERPLATE, SYMBOLS
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,6 +21,10 @@ _BROKEN = (
     f" OR length(regexp_replace(x, '{SYMBOLS}', '', 'g')) * 10 <= length(x) * 9 OR regexp_matches(x, '(?i){'|'.join(BOILERPLATE)}')"
 )
 
+_folded = lambda c: _FOLDED.replace("text", c)
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+
 ORACLE_SQL = {
     "op2_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -48,5 +54,30 @@ WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload
 m AS (SELECT payload_digest, max(page_id) AS newest FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
 FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND payload_bytes >= 1000
+""",
+    "op10_license_scan": f"""
+WITH d AS (SELECT doc_id AS doc, {_folded('text')} AS w FROM documents),
+t AS (SELECT template, label, {_folded('body')} AS w FROM (VALUES {_TEMPLATES}) x(template, label, body)),
+tg AS (SELECT template, label, len(w) AS n, i AS spot, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
+dg AS (SELECT doc, i AS pos, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT doc, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+votes AS (SELECT DISTINCT doc, template, label, n, pos - spot AS diagonal, pos - 1 AS pos FROM dg JOIN tg USING (gram)),
+a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS fresh FROM votes),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY doc, template ORDER BY diagonal) AS band FROM a),
+c AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc, template, band ORDER BY pos), 9) AS step FROM b),
+e AS (SELECT *, sum(CASE WHEN step > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, template, band ORDER BY pos) AS span FROM c),
+f AS (SELECT doc, template, label, n, min(pos) AS first, max(pos) + 2 AS last, sum(least(step, 3)) AS covered FROM e GROUP BY doc, template, label, n, band, span),
+g AS (SELECT *, CAST(covered AS DOUBLE) / greatest(last - first + 1, least(n, 12)) AS score FROM f),
+h AS (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY doc ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM g WHERE score >= 0.75),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY first) AS island FROM h),
+best AS (SELECT doc, label FROM k QUALIFY rank() OVER (PARTITION BY doc, island ORDER BY score DESC, CAST(covered AS DOUBLE) / n DESC, covered DESC) = 1),
+top AS (SELECT doc, max(score) AS score FROM g GROUP BY doc),
+p AS (SELECT * FROM (VALUES {_PHRASES}) x(phrase, label, n)),
+places AS (SELECT doc, i - 1 AS place, label FROM (SELECT doc, w, phrase, label, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, p) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+base AS (SELECT doc, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY doc),
+own AS (SELECT doc, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc),
+every AS (SELECT doc, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc, label FROM places UNION ALL SELECT doc, label FROM best) GROUP BY doc)
+SELECT doc AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc) LEFT JOIN own USING (doc) LEFT JOIN every USING (doc) LEFT JOIN top USING (doc)
 """,
 }
