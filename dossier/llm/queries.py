@@ -17,7 +17,11 @@ def tokenizer_path() -> str:
 
 
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """url, bad: the pages whose id is labelled; bad if of low quality or toxic."""
+    """url, bad: the pages whose id is labelled; bad if of low quality or toxic.
+
+    The tables hold no labels of urls of their own. Documents and pages are numbered alike, so a label of a number stands
+    for both.
+    """
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return read(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id").select("url", "bad")
 

@@ -1,18 +1,27 @@
 """Association-rule URL filtering, from built-in functions and Spark's FP-growth.
 
 Labelled urls become sets of tokens (runs of ASCII letters and digits, and of anything beyond ASCII), with one item more
-for those labelled bad. FP-growth mines the frequent sets; rules that lead to that item are kept if their support and
-confidence reach the limits. A url is blocked if it has all tokens of a rule, which an inverted index finds: tokens of
-distinct urls are joined to the rules' tokens, and a rule matches if as many meet as it has.
+for those labelled bad. FP-growth mines the frequent sets; a rule leads from tokens to that item. It is kept if
+
+* ``min_rows`` bad urls have all of its tokens, at every size of the input (the support);
+* bad urls are at least ``min_confidence`` of those that have them, and ``min_lift`` times as many as among all;
+* their number is ``min_z`` standard deviations above what the share of bad ones among all would give by chance;
+* no rule of fewer tokens implies it.
+
+Tokens that ``max_share`` of the labelled urls or more have (the scheme, a common ending) tell nothing and would double the
+sets, so they are left out before the mining. A url is blocked if it has all tokens of a rule, which an inverted index
+finds: tokens of distinct urls are joined to the rules' tokens, and a rule matches if as many meet as it has.
 
 Rules for hosts and paths stated by hand come first: the longest that fits decides.
 
-The mining covers all labelled urls. Its result is bounded by the support limit, not by the input; the index is broadcast
-only if a count shows that it has at most ``max_broadcast_rows`` rows, else joined by shuffle.
+The mining covers all labelled urls. The index is broadcast only if a count shows that it has at most
+``max_broadcast_rows`` rows, else joined by shuffle; so are the urls that rules match.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no tokens if null, and no hand-written
 rule; without labels or without rules that reach the limits everything else is allowed; rows that share a page_id are
-judged each by its own url; a labelled id with several urls or labels counts once for each.
+judged each by its own url; a labelled id with several urls or labels counts once for each; of rules that match a url the
+surest is named (of equal ones that with more rows, then the first by its tokens); urls of any length are taken whole;
+columns besides page_id and url are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise
 
 BAD = "\u0001bad"
 
@@ -52,34 +61,59 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda t: t != ""))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.6) -> DataFrame:
-    """antecedent (array of tokens), confidence, support, rule_id; labelled has url and bad (boolean)."""
+RULE = "tokens array<string>, n_bad bigint, n_rows bigint, confidence double, lift double, rule_id bigint"
+
+
+def mine_rules(
+    labelled: DataFrame, *, min_rows: int = 10, min_confidence: float = 0.5, min_lift: float = 1.5, min_z: float = 4.0, max_share: float = 0.9
+) -> DataFrame:
+    """tokens (sorted), n_bad, n_rows (urls with them), confidence, lift, rule_id; labelled has url and bad (boolean)."""
     spark = labelled.sparkSession
-    items = F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    baskets = labelled.where("url IS NOT NULL AND bad IS NOT NULL").select(items.alias("items"))
-    n, n_bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
-    if n_bad < min_rows:
-        return spark.sql("SELECT CAST(array() AS ARRAY<STRING>) antecedent, 0D confidence, 0D support, 0L rule_id WHERE false")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.element_at("consequent", 1) == BAD)
-    return materialise(rules.select("antecedent", "confidence", "support", F.xxhash64(F.array_sort("antecedent")).alias("rule_id")))
-
-
-def blocked_urls(urls: DataFrame, rules: DataFrame, *, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """url, confidence of the urls (distinct) that have all tokens of a rule; the surest rule's confidence."""
-    index = rules.select("rule_id", "confidence", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
-    if index.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        index = F.broadcast(index)
-    met = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token")
-    met = met.groupBy("url", "rule_id", "size", "confidence").count().where("count = size")
-    return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
+    baskets = labelled.where("url IS NOT NULL AND bad IS NOT NULL").select(tokens_of(F.col("url")).alias("tokens"), "bad")
+    n, n_bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+    if n_bad < min_rows:  # no rule can have min_rows bad urls
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in RULE.split(", ")) + " WHERE false")
+    common = baskets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max_share * n)
+    common = [r["token"] for r in common.collect()]  # at most the mean number of tokens by max_share
+    kept = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
+    items = F.concat(kept, F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
+    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n, minConfidence=min_confidence).fit(baskets.select(items.alias("items")))
+    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") > 0))
+    base = n_bad / n
+    found = F.round(F.col("support") * n).cast("long")
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), found.alias("n_bad"), F.round(found / F.col("confidence")).cast("long").alias("n_rows"))
+    rules = rules.withColumn("confidence", F.col("n_bad") / F.col("n_rows")).withColumn("lift", F.col("confidence") / base)
+    beyond = F.col("n_bad") - F.col("n_rows") * base
+    sure = (F.col("n_bad") >= min_rows) & (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift) & (beyond > 0) & (beyond * beyond >= min_z**2 * base * (1 - base) * F.col("n_rows"))
+    rules = materialise(rules.where(sure).withColumn("rule_id", F.xxhash64("tokens")))
+    implied = _met(rules.select("tokens", F.col("rule_id").alias("whose")), rules).where("whose <> rule_id").select(F.col("whose").alias("rule_id")).distinct()
+    return materialise(rules.join(implied, "rule_id", "left_anti").select(*[c.split()[0] for c in RULE.split(", ")]))
+
+
+def _met(baskets: DataFrame, rules: DataFrame, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """whose, rule_id of the rules of which a basket (whose, tokens) has all tokens."""
+    index = rules.select("rule_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    met = baskets.select("whose", F.explode("tokens").alias("token")).join(few(index, max_broadcast_rows), "token")
+    return met.groupBy("whose", "rule_id", "size").count().where("count = size").select("whose", "rule_id")
+
+
+def blocked_urls(urls: DataFrame, rules: DataFrame, **limits) -> DataFrame:
+    """url, mined_rule (its tokens), confidence, lift of the urls (distinct) that a rule matches."""
+    met = _met(urls.select(F.col("url").alias("whose"), tokens_of(F.col("url")).alias("tokens")), rules, **limits)
+    surest = F.struct((-F.col("confidence")).alias("a"), (-F.col("n_rows")).alias("b"), "tokens")
+    met = met.join(few(rules), "rule_id").groupBy(F.col("whose").alias("url")).agg(F.min_by(F.struct("tokens", "confidence", "lift"), surest).alias("best"))
+    return met.select("url", F.array_join("best.tokens", " ").alias("mined_rule"), "best.confidence", "best.lift")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, hand_rules=HAND_RULES, **limits) -> DataFrame:
-    """page_id, host, path, rule, verdict and confidence (of the mined rule, null if none) of every row of pages."""
+    """page_id, host, path, rule, verdict, and mined_rule, confidence and lift (null without a mined rule) of every row of pages."""
     pages = pages.select("page_id", "url")
     hits = blocked_urls(pages.where("url IS NOT NULL").select("url").distinct(), mine_rules(labelled, **limits))
     which, verdict = hand_rule(hand_rules)
-    out = with_host_and_path(pages).join(hits, "url", "left")
-    mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", which.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "confidence")
+    # pages without a url find nobody, so they needn't meet at one place
+    own = F.when(F.col("url").isNull(), F.col("page_id"))
+    out = with_host_and_path(pages).withColumn("__own", own)
+    hits = few(hits.withColumn("__own", F.lit(None).cast(pages.schema["page_id"].dataType)))
+    out = out.join(hits, out.url.eqNullSafe(hits.url) & out["__own"].eqNullSafe(hits["__own"]), "left").drop(hits.url).drop(hits["__own"])
+    mined = F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("page_id", "host", "path", which.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "mined_rule", "confidence", "lift")
