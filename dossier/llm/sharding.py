@@ -1,14 +1,18 @@
 """Two-pass external shuffle into shards.
 
 Pass one scatters whole records by seeded hashes into buckets small enough for memory; pass two shuffles each bucket by
-Fisher-Yates (numpy's permutation) and writes it. A shard is a run of buckets, so its records stand in random order.
+Fisher-Yates (numpy's permutation) and writes it. A shard is a run of buckets, so its records stand in random order. Each
+shard has as many buckets as its own bytes need, and records are dealt over as many tasks as there are buckets.
 
 Law ``key``: the shard is the one of highest seeded hash of (doc_id, shard), so doc_id and the number of shards decide,
-and one more shard takes rows only into itself. Buckets within a shard also depend on the text and on the input partition
-(which a retried task shares), so that a doc_id on very many rows spreads over all buckets of its shard.
-
-Defined results: a null text has no bytes and stays null; a null doc_id is a key like any other; repeated rows each get a
-slot of their own; an input column named like an output column is replaced.
+and one more shard takes rows only into itself. The bucket within the shard follows from doc_id and text. Rows equal in both
+whose bytes together exceed a part of a bucket are dealt over all buckets of their shard by the input partition as well
+(which a retried task shares): a record that makes up a third of all rows is no single task. Without such rows the slots
+don't depend on how the input is partitioned.
+
+Defined results: a null text has no bytes and stays null; a null doc_id is a key like any other; ids of any type that sorts;
+repeated rows each get a slot of their own; a text of any length is one record; an input column named like an output
+column is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,19 +49,28 @@ def with_shard(docs: DataFrame, n_shards: int = 40, seed: int = 7) -> DataFrame:
 def shuffled(docs: DataFrame, n_shards: int = 40, *, seed: int = 7, bucket_bytes: int = 32 << 20) -> DataFrame:
     """docs with size, shard, grown_shard, bucket and place (from 0, in its bucket), written to the scratch folder."""
     docs = docs.drop("size", "shard", "grown_shard", "bucket", "place").withColumn("size", record_size(F.col("text")))
-    total = docs.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
-    scattered = with_shard(docs, n_shards, seed).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int"))
+    docs = with_shard(docs, n_shards, seed)
+    sizes = {r["shard"]: r["bytes"] for r in docs.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # one row a shard
+    buckets = [max(1, math.ceil(sizes.get(k, 0) / bucket_bytes)) for k in range(n_shards)]
+    n_buckets = F.element_at(F.array(*map(F.lit, buckets)), F.col("shard") + 1)
+    scattered = docs.withColumn("__of", F.xxhash64(F.lit(seed + 1), "doc_id", "text")).withColumn("__n", n_buckets)
+    if max(buckets) > 1:
+        heavy = scattered.where("__n > 1").groupBy("__of").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes / 4).select("__of", F.lit(True).alias("__heavy"))
+        scattered = scattered.join(few(heavy), "__of", "left")  # their number is bounded by the bytes of all over a quarter of a bucket
+        scattered = scattered.withColumn("__of", F.when(F.col("__heavy"), F.xxhash64("__of", F.spark_partition_id(), F.monotonically_increasing_id())).otherwise(F.col("__of"))).drop("__heavy")
+    scattered = scattered.withColumn("bucket", F.pmod("__of", "__n").cast("int")).drop("__of", "__n")
 
     def fisher_yates(key: tuple, bucket: pa.Table) -> pa.Table:
         # rows arrive in any order: a fixed one first, so that a retried task repeats the same shuffle
-        order = sorted(range(bucket.num_rows), key=lambda i, d=bucket["doc_id"].to_pylist(), t=bucket["text"].to_pylist(): (d[i] is not None, d[i] or 0, zlib.crc32((t[i] or "").encode())))
+        ids, texts = bucket["doc_id"].to_pylist(), bucket["text"].cast(pa.binary()).to_pylist()
+        order = sorted(range(bucket.num_rows), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, zlib.crc32(texts[i] or b""), texts[i] is not None, texts[i] or b""))
         rng = np.random.default_rng([seed, *(int(k.as_py()) for k in key)])
         bucket = bucket.take(pa.array(np.asarray(order, dtype=np.int64)[rng.permutation(len(order))]))
         return bucket.append_column("place", pa.array(np.arange(len(order), dtype=np.int64)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema) + ", place bigint"
-    return materialise(scattered.groupBy("shard", "bucket").applyInArrow(fisher_yates, schema))
+    dealt = scattered.repartition(min(sum(buckets), 100_000), "shard", "bucket")
+    return materialise(dealt.groupBy("shard", "bucket").applyInArrow(fisher_yates, schema))
 
 
 def with_slots(shuffled_docs: DataFrame) -> DataFrame:
