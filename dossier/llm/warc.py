@@ -3,16 +3,21 @@
 Each record is a gzip member of its own. The reader's tasks each take a range of bytes, look for the magic bytes of a gzip
 member, accept a place only if what it decompresses to begins with a WARC header, and own the records that start in their
 range, reading past its end for the last one. So one large file is read by many tasks, each holding a block of bytes and
-one record.
+one record. A member with a WARC header that is cut short or damaged is passed over and can be asked for
+(``with_damaged``); the reader goes on at the next magic bytes.
+
+Which records are revisits follows from ids and digests alone; payloads move only where more digests repeat than a
+broadcast may hold. A revisit names the response's record id, which follows from page_id and digest.
 
 A task writes to a file with a name that no other attempt uses, and the names that count come from the manifest, a table
 that only holds what successful attempts returned. Files are opened by URI (local paths, hdfs, s3, gs), as Spark has no
 writer for binary files.
 
-Defined results: a null html is an empty payload; a null url leaves the target out; records of equal payloads of
-``min_revisit_bytes`` or more refer to the one of largest page_id, and rows that repeat that page_id with the payload are
-responses each; a null page_id is never the largest while there are others, and such a record is a response only if all of
-its equals lack one too.
+Defined results: a null html is an empty payload; a null url leaves the target out; ids of any type that text can show;
+records of equal payloads of ``min_revisit_bytes`` or more refer to the one of largest page_id, and rows that repeat that
+page_id with the payload are responses each (with one record id); a null page_id is never the largest while there are
+others, and such a record is a response only if all of its equals lack one too; payloads of any length are one record; an
+empty table gives no file; columns besides page_id, url and html are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,22 +32,23 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir
+from .common import few, materialise, scratch_dir
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ID = "urn:page:"
 
 MANIFEST = "file string, records bigint, bytes bigint"
-RECORD = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+RECORD = "page_id string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
 def decide(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    same = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy(F.col("payload_digest").alias("__digest")).agg(F.max("page_id").alias("__first"), F.count("*").alias("__n"))
-    out = rows.join(same.where("__n > 1"), (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") >= min_revisit_bytes), "left")
+    # short payloads never meet: a key of its own for each keeps them from one place
+    rows = rows.withColumn("__key", F.when(F.col("payload_bytes") >= min_revisit_bytes, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), "payload_digest"))))
+    same = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("__key").agg(F.max("page_id").alias("__first"), F.count("*").alias("__n"))
+    out = rows.join(few(same.where("__n > 1").select("__key", "__first")), "__key", "left")
     out = out.withColumn("refers_to", F.expr("CASE WHEN NOT page_id <=> __first THEN __first END"))
     revisit = F.col("refers_to").isNotNull()
     return out.select(
@@ -51,32 +57,40 @@ def decide(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
     )
 
 
+def record_id(page_id, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}')}>"
+
+
+def _escaped(x: str) -> str:
+    return x.replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n")
+
+
+def _plain(x: str | None) -> str | None:
+    return x if x is None or "\\" not in x else "".join({"\\r": "\r", "\\n": "\n", "\\\\": "\\"}.get(y, y) for y in re.findall(r"\\.|[^\\]+", x))
+
+
 def encode_record(row: dict) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    block = http if row["record_type"] == "revisit" else http + row["payload"]
-    name = f"{row['page_id']}|{row['url']}|{row['payload_digest']}"
+    revisit = row["record_type"] == "revisit"
+    block = http if revisit else http + row["payload"]
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {record_id(row['page_id'], row['payload_digest'])}", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if row["page_id"] is not None:
-        head.append(f"X-Page-ID: {_ID}{row['page_id']}")
+        head.append("X-Page-ID: " + _escaped(str(row["page_id"])))
     if row["url"] is not None:
-        head.append("WARC-Target-URI: " + row["url"].replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n"))
-    if row["record_type"] == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_ID}{row['refers_to']}"]
+        head.append("WARC-Target-URI: " + _escaped(row["url"]))
+    if revisit:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(row['refers_to'], row['payload_digest'])}", "X-Refers-To-Page: " + _escaped(str(row["refers_to"]))]
     packer = zlib.compressobj(4, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
 def decode_record(raw: bytes) -> dict:
     head, block = raw.split(b"\r\n\r\n", 1)
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    url = fields.get("WARC-Target-URI")
-    if url is not None and "\\" in url:
-        url = "".join({"\\r": "\r", "\\n": "\n", "\\\\": "\\"}.get(x, x) for x in re.findall(r"\\.|[^\\]+", url))
-    page, to = fields.get("X-Page-ID"), fields.get("WARC-Refers-To")
-    out = {"page_id": page and int(page[len(_ID) :]), "url": url, "record_type": fields["WARC-Type"], "refers_to": to and int(to[len(_ID) :])}
+    fields = dict(x.partition(": ")[::2] for x in head.decode().split("\r\n")[1:])
+    out = {"page_id": _plain(fields.get("X-Page-ID")), "url": _plain(fields.get("WARC-Target-URI")), "record_type": fields["WARC-Type"], "refers_to": _plain(fields.get("X-Refers-To-Page"))}
     if out["record_type"] == "revisit":
         return out | {"payload": None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
     payload = block[: int(fields["Content-Length"])].split(b"\r\n\r\n", 1)[1]
@@ -106,64 +120,69 @@ def write(records: DataFrame, path: str) -> DataFrame:
     return materialise(records.mapInArrow(run, MANIFEST))
 
 
-def scan_range(data, start: int, end: int, size: int, block: int = 1 << 20):
-    """The decompressed records that start in the bytes start to end of an open file of the given size."""
-    buffer, base = b"", start  # the bytes of the file from base on
+def scan_range(data, start: int, end: int, size: int, block: int = 1 << 20, feed: int = 1 << 15):
+    """(place, record) of the members that start in the bytes start to end of an open file of the given size.
+
+    The record is decompressed, or None if the member has a WARC header but is cut short or damaged. Bytes are read by the
+    block and given to the decompressor in smaller parts, so that little is copied behind a record's end.
+    """
+    buffer, base, at = b"", start, 0  # the bytes of the file from base on, and the place in them
 
     def more() -> bool:
-        nonlocal buffer
-        at = base + len(buffer)
-        if at >= size:
+        nonlocal buffer, base, at
+        beyond = base + len(buffer)
+        if beyond >= size:
             return False
-        data.seek(at)
-        buffer += data.read(min(block, size - at))
+        data.seek(beyond)
+        buffer, base, at = buffer[at:] + data.read(min(block, size - beyond)), base + at, 0
         return True
 
-    more()
     while True:
-        at = buffer.find(MAGIC)
-        while at < 0 and base + len(buffer) < min(end + 2, size):
-            keep = buffer[-2:]
-            base += len(buffer) - len(keep)
-            buffer = keep
-            more()
-            at = buffer.find(MAGIC)
-        if at < 0 or base + at >= end:
+        found = buffer.find(MAGIC, at)
+        while found < 0:
+            at = max(at, len(buffer) - 2)
+            if base + at >= end or not more():
+                return
+            found = buffer.find(MAGIC, at)
+        at = found
+        if base + at >= end:
             return
-        buffer, base = buffer[at:], base + at
-        unpack, out, fed = zlib.decompressobj(31), b"", 0
-        parts: list[bytes] = []
-        valid = None
-        while not unpack.eof:
-            if fed == len(buffer) and not more():
-                break
-            try:
-                parts.append(unpack.decompress(buffer[fed:]))
-            except zlib.error:
-                valid = False
-                break
-            fed = len(buffer)
-            if valid is None and sum(map(len, parts)) >= 5:
-                out = b"".join(parts)
-                parts, valid = [out], out.startswith(b"WARC/")
-                if not valid:
-                    break
-        if valid and unpack.eof:
-            yield b"".join(parts)
-            step = len(buffer) - len(unpack.unused_data)
-        else:
-            step = 1  # magic bytes by chance
-        buffer, base = buffer[step:], base + step
-
-
-def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
-    """The records of the manifest's files (file, bytes), each file read in ranges of split_bytes."""
+        unpack, parts, fed, valid = zlib.decompressobj(31), [], at, None
+        try:
+            while not unpack.eof:
+                if fed == len(buffer):
+                    fed -= at  # reading on drops what lies before the member
+                    if not more():
+                        break
+                chunk = buffer[fed : fed + (64 if valid is None else feed)]  # little until the header is seen
+                parts.append(unpack.decompress(chunk))
+                fed += len(chunk)
+                if valid is None and sum(map(len, parts)) >= 5:
+                    parts = [b"".join(parts)]
+                    valid = parts[0].startswith(b"WARC/")
+                    if not valid:
+                        break
+        except zlib.error:
+            pass
+        whole = unpack.eof and valid
+        if valid:
+            yield base + at, b"".join(parts) if whole else None
+        # else magic bytes by chance
+        at = fed - len(unpack.unused_data) if whole else at + 1
+
+
+def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20, with_damaged: bool = False) -> DataFrame:
+    """The records of the manifest's files (file, bytes), each file read in ranges of split_bytes.
+
+    with_damaged adds a row for each damaged member, of record_type damaged, with its place in payload_bytes.
+    """
     ranges = manifest.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
     # a fixed number of partitions: the rows are tiny, so adaptive execution would put all ranges into one task
     n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     ranges = ranges.repartition(min(int(n), 20_000), F.col("file"), F.col("start"))
     names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    batch = lambda held: pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
 
     def run(batches):
         for b in batches:
@@ -171,19 +190,23 @@ def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20
                 fs, path = pyarrow.fs.FileSystem.from_uri(row["file"])
                 with fs.open_input_file(path) as data:
                     held, size = [], 0
-                    for raw in scan_range(data, row["start"], row["start"] + split_bytes, row["bytes"]):
-                        held.append(decode_record(raw))
-                        size += len(raw)
+                    for place, raw in scan_range(data, row["start"], row["start"] + split_bytes, row["bytes"]):
+                        if raw is not None:
+                            held.append(decode_record(raw))
+                            size += len(raw)
+                        elif with_damaged:
+                            held.append({"record_type": "damaged", "payload_bytes": place})
                         if size > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
+                            yield batch(held)
                             held, size = [], 0
                     if held:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
+                        yield batch(held)
 
     return ranges.mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, *, path: str | None = None, min_revisit_bytes: int = 1000, split_bytes: int = 8 << 20) -> DataFrame:
-    """Writes pages as WARC (to path, else the scratch folder) and reads the records back."""
+    """Writes pages as WARC (to path, else the scratch folder) and reads the records back, ids in the type of page_id."""
     manifest = write(decide(pages, min_revisit_bytes), path or scratch_dir(pages.sparkSession))
-    return read(pages.sparkSession, manifest, split_bytes=split_bytes)
+    kind = pages.schema["page_id"].dataType
+    return read(pages.sparkSession, manifest, split_bytes=split_bytes).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
