@@ -9,12 +9,15 @@ Labels belong to texts, not to windows, so training goes in rounds: each text's
 first by the words' leaning, which the embeddings start from) become the examples of the next round. A logistic fit on
 the training texts' worst windows puts the decision at 0.5.
 
-The fit uses at most ``max_per_class`` labelled texts of each class, those of smallest hash of their id; scoring covers
-all texts, with the weights (about a megabyte) sent to each task.
+The fit uses at most ``max_per_class`` labelled texts of each class, those of smallest hash of their id, one text an id, and
+of these as many as ``max_bytes`` hold, so what comes to the driver is bounded however often an id is repeated and however
+long its text is. Scoring covers all texts, with the weights (about a megabyte) sent to each task.
 
 Defined results: null, empty and wordless texts score 0; a null doc_id counts as held out; labels whose toxic is null are
 not learned from; without labels of both classes every text with words scores the share of toxic ones (0 without any);
-equal texts score alike.
+equal texts score alike; of windows that score alike the score is one; texts of any length are scored whole, in batches of
+windows; columns besides doc_id, text and toxic are not looked at, so their names can't clash; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import normalised
@@ -291,13 +294,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1500, **how) -> dict:
-    """Parameters learned from labelled texts that are not held out; {"share": s} without both classes."""
+def sample(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_bytes: int = 48 << 20) -> DataFrame:
+    """doc_id, y, text (binary) of the labelled texts to learn from: not held out, one an id and label, bounded in rows and bytes."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     parts = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
-    sample = parts[0].union(parts[1])  # at most 2 * max_per_class rows, so fit to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").select(F.col("text").cast("binary").alias("text"), "doc_id", "y")
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"], r["y"]))
+    chosen = parts[0].union(parts[1])  # at most 2 * max_per_class rows, so fit to broadcast
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")  # two windows of max_per_class rows
+    rows = rows.withColumn("__bytes", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where(F.col("__bytes") <= max_bytes // 2).drop("__bytes")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1500, max_bytes: int = 48 << 20, **how) -> dict:
+    """Parameters learned from labelled texts that are not held out; {"share": s} without both classes."""
+    rows = sorted(sample(docs, labels, max_per_class, max_bytes).collect(), key=lambda r: (r["doc_id"], r["y"]))  # max_bytes at most
     rows = [r for r in rows if normalised(bytes(r["text"]))]
     y = np.array([r["y"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
