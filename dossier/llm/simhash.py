@@ -10,10 +10,12 @@ itself, so each variant's fingerprints are linked to their smallest one, without
 ways; it drops nothing.
 
 Components are found among distinct fingerprints by spreading the smallest label over the links, with pointer jumping,
-each round written to the scratch folder.
+each round written to the scratch folder. Their joins go by shuffle: the tables grow with the input, and a compressed size
+says little about the memory that a broadcast would take.
 
 Defined results: a null or blank text has the fingerprint zero, linked like any other; a null doc_id is never the smallest
-while a component has others; equal rows get equal results.
+while a component has others; equal rows get equal results; a text of any length is read whole; columns besides doc_id and
+text are not looked at, so their names can't clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise
+from .common import materialise
 
 MAX_BITS = 2
 
@@ -71,7 +73,7 @@ def _without(bits: tuple[int, ...]) -> int:
 def _star(keys: DataFrame, by: list[str]) -> DataFrame:
     """Links of all fp of a key to the smallest one; keys has by and fp, each pair once."""
     least = keys.groupBy(*by).agg(F.min("fp").alias("a"), F.max("fp").alias("__hi")).where("a <> __hi").drop("__hi")
-    return keys.join(least, by).where("fp <> a").select("a", F.col("fp").alias("b"))
+    return keys.hint("merge").join(least, by).where("fp <> a").select("a", F.col("fp").alias("b"))
 
 
 def links(nodes: DataFrame, dense: int = 64) -> DataFrame:
@@ -79,7 +81,7 @@ def links(nodes: DataFrame, dense: int = 64) -> DataFrame:
     segment = F.expr("CASE WHEN bit < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END & ~shiftleft(1L, bit % 32)")
     keys = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select("fp", (segment + F.expr("shiftleft(CAST(bit AS BIGINT), 32)")).alias("key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(keys.join(counts, "key"))
+    shared = materialise(keys.hint("merge").join(counts, "key"))
     sparse, crowded = shared.where(F.col("n") <= dense), shared.where(F.col("n") > dense)
     pairs = sparse.select("key", F.col("fp").alias("a")).join(sparse.select("key", F.col("fp").alias("b")), "key")
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
@@ -92,14 +94,14 @@ def links(nodes: DataFrame, dense: int = 64) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """fp, label (the same for all fp that edges connect) of every fp in edges (a, b)."""
     edges = materialise(edges)
-    both = edges.union(edges.select("b", "a"))
+    both = edges.union(edges.select("b", "a")).hint("merge")
     labels = materialise(both.select(F.col("a").alias("fp")).distinct().withColumn("label", F.col("fp")))
     while True:
         near = both.join(labels, both.b == labels.fp).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.fp == near.a, "left").select("fp", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        step = labels.hint("merge").join(near, labels.fp == near.a, "left").select("fp", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         step = materialise(step)
         jump = step.select(F.col("fp").alias("via"), F.col("label").alias("further"))
-        step = materialise(step.join(jump, step.label == jump.via).select("fp", "was", F.least("label", "further").alias("label")))
+        step = materialise(step.hint("merge").join(jump, step.label == jump.via).select("fp", "was", F.least("label", "further").alias("label")))
         labels = step.select("fp", "label")
         if step.where("label <> was").limit(1).count() == 0:
             return labels
@@ -110,18 +112,7 @@ def group(docs: DataFrame, words: int = 3, seed: int = 42, *, dense: int = 64) -
     prints = materialise(fingerprints(docs, words, seed))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fp"), dense))
-    nodes = nodes.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    nodes = nodes.hint("merge").join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The smallest document (by doc_id, then text hash; a null doc_id last) of each component, other columns as they are.
-
-    Rows that share a doc_id but not the text are different documents; of rows that repeat both, one stays.
-    """
-    rows = keyed(docs)
-    prints = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc.doc_id", "doc.of").alias("doc_id"), "text")
-    kept = group(prints, **how).where("doc_id = component_id").select(F.struct("doc_id.doc_id", "doc_id.of").alias("doc")).distinct()
-    return rows.join(kept, "doc", "left_semi").dropDuplicates(["doc"]).select(*[f"`{c}`" for c in docs.columns])
+    named = nodes.select("fp", "label").hint("merge").join(least, "label").select("fp", "component_id")
+    return prints.hint("merge").join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
