@@ -13,8 +13,9 @@ or near-duplicates, each that has an earlier one (by doc_id, then line number) g
 Defined results: words are separated by white space and compared as they stand; lines under ``min_words`` words
 have no near-duplicates (one edit would change a large share of them), those under ``exact_words`` always stay, and so do
 blank ones; null texts have no lines and stay; rows with equal doc_id and text
-count as one document, those with equal doc_id and other texts as several; a null doc_id comes before all others; input
-columns named n_lines or n_removed are replaced.
+count as one document, those with equal doc_id and other texts as several; a null doc_id comes before all others; texts and
+lines of any length are compared whole; input columns named n_lines or n_removed are replaced, all others stay as they are;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def _variants(lines: DataFrame) -> DataFrame:
     the terms of the words before the deleted one, and those after it moved up by one place. The terms have 40 bits, and
     two sums make a key.
     """
-    words = lines.select("place", "sides", F.size("__w").alias("n"), F.posexplode("__w").alias("i", "word"))
+    # the lines move once, before their words become rows: the windows below find each line's words together
+    words = lines.repartition("place").select("place", "sides", F.size("__w").alias("n"), F.posexplode("__w").alias("i", "word"))
     term = lambda seed, at: F.expr(f"shiftrightunsigned(xxhash64({seed}, word, {at}), 24)")
     words = words.select("place", "sides", "n", "i", *[term(s, "i").alias(f"own{s}") for s in (1, 2)], *[term(s, "i - 1").alias(f"moved{s}") for s in (1, 2)])
     line = "OVER (PARTITION BY place)"
