@@ -10,7 +10,9 @@ Numbering deals each length over as many groups as its count needs (``rows_per_g
 pieces share is no single task.
 
 Defined results: a null or empty text gives one piece, the end id alone; repeated rows are packed each on its own; texts
-that contain a special token's string give its id, as the tokeniser does.
+that contain a special token's string give its id, as the tokeniser does; a text of any length is tokenised whole, and its
+pieces may stand in several sequences; columns besides doc_id and text are not looked at, so their names can't clash; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations

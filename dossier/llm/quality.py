@@ -4,7 +4,8 @@ Every line is held against punctuation, navigation and boilerplate rules; lines
 document that loses too large a share of its text that way is rejected, as is one that fails the base counts.
 
 Defined results: a null text counts as empty (no words, rejected by ``min_words``); lines without a word are never
-judged; equal rows get equal results; input columns named like an output column are replaced.
+judged; equal rows get equal results; texts of any length are judged whole; input columns named like an output column are
+replaced, all others stay as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations

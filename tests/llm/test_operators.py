@@ -143,25 +143,25 @@ def test_packing(spark, odd):
 
 
 def test_decontamination(spark, odd):
-    items = spark.createDataFrame([(1, "One"), (2, "c d e f g h i j. a b c d"), (3, None), (4, "...")], "item_id bigint, text string").union(spark.read.parquet(f"{SF}/benchmark.parquet"))
+    items = spark.createDataFrame([(1, "One"), (2, "c d e f g h i j. a b c d"), (3, None), (4, "..."), (None, "no id"), (1, "x x"), (1, "One")], "item_id bigint, text string").union(spark.read.parquet(f"{SF}/benchmark.parquet"))
     windows = defaultdict(set)
     for r in items.collect():
         w = FOLDED.findall(low(r["text"]))
         n = min(10, len(w))
         for j in range(len(w) - n + 1) if n else ():
-            windows[tuple(w[j : j + n])].add(str(r["item_id"]))
+            windows[tuple(w[j : j + n])] |= {str(r["item_id"])} - {"None"}
     df = both(spark, odd)
     want = Counter()
     for r in df.collect():
         w, hit, met = FOLDED.findall(low(r["text"])), set(), set()
         for n in set(map(len, windows)):
             for j in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[j : j + n])):
+                if (found := windows.get(tuple(w[j : j + n]))) is not None:
                     hit.update(range(j, j + n))
                     met |= found
         want[r["doc_id"], len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)] += 1
-    for block_words in (2_000_000, 300):  # one automaton, and several
-        assert Counter(map(tuple, decontaminate.report(df, items, block_words=block_words).collect())) == want
+    for block_bytes in (1 << 20, 2000):  # one automaton, and several
+        assert Counter(map(tuple, decontaminate.report(df, items, block_bytes=block_bytes).collect())) == want
     kept = decontaminate.clean(odd, items)
     assert kept.columns == odd.columns and not decontaminate.report(kept, items).where("contaminated").count()
 
@@ -189,7 +189,7 @@ def test_license_base(spark, odd):
 def test_url_rules(spark):
     urls = ["http://WWW.Spam.example.ORG/fr/x?y#z", None, "no scheme", "https://a.net", "https://a.net/", "http://x.example.net/en/1", "http://spam-farm.example.com/q"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    labelled = spark.createDataFrame([("http://spam-farm.example.com/a", True)] * 12 + [("http://ham.example.com/a", False)] * 12, "url string, bad boolean")
+    labelled = spark.createDataFrame([("http://spam-farm.example.com/a", True)] * 20 + [("http://ham.example.com/a", False)] * 20, "url string, bad boolean")
     got = [tuple(r)[1:5] for r in url_filters.judge(pages, labelled).orderBy("page_id").collect()]
     assert got == [
         ("www.spam.example.org", "/fr/x", "org/fr/", "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.net", "", None, "allow"), ("a.net", "/", "net/", "block"),
@@ -214,6 +214,6 @@ def test_clean_leaves_no_hit(spark):
     items = spark.createDataFrame([("a", " ".join(words)), ("b", "q0 q1 q2")], "item_id string, text string")
     rest = " ".join(f"r{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"{rest} {' '.join(words)} end"), (2, rest), (3, f"q0 q1 q2 {rest}"), (4, None)], "doc_id bigint, text string")
-    for block_words in (2_000_000, 5):
-        got = {r["doc_id"]: r["text"] for r in decontaminate.clean(docs, items, block_words=block_words).collect()}
+    for block_bytes in (1 << 20, 5):
+        got = {r["doc_id"]: r["text"] for r in decontaminate.clean(docs, items, block_bytes=block_bytes).collect()}
         assert " ".join(got[1].split()) == f"{rest} end" and got[2] == rest and got[3].split() == rest.split() and got[4] is None
