@@ -13,6 +13,12 @@ SITE_FIELDS = ("overview.description", "products.list", "markets.target_markets"
 STALENESS = {"identity": (365, 730), "overview": (180, 365), "products": (90, 180), "size": (180, 365), "markets": (180, 365), "leadership": (180, 365), "innovation": (60, 120)}
 CRITICAL_FIELDS = ("identity.legal_name", "identity.tax_id", "identity.registration_number")
 HIGH_FIELDS = ("overview.hq_address", "size.employee_count_range", "size.revenue_range")
+WEIGHTS = {"authority": "0.40", "support": "0.30", "reliability": "0.15", "freshness": "0.15"}
+RECENCY = {30: "1.00", 180: "0.90", 365: "0.80"}
+OLDER, CORROBORATED, CONFLICTING = "0.65", "0.10", "0.25"
+RATINGS = {"High": 0.8, "Medium": 0.6}
+TIER_NAMES = {1: "Tier 1 Official Registry", 2: "Tier 2 Official Site", 3: "Tier 3 News/Directory", 4: "Tier 4 General Web"}
+BY_HAND, CORROBORATION, WARNING = "manually verified by human reviewer", "corroborated by %d independent domains", "WARNING: conflicting candidate detected"
 
 
 def dec(x: str) -> Column:
@@ -38,19 +44,34 @@ def authority(field: Column, tier: Column) -> Column:
 def confidence(field: Column, tier: Column, support: Column, seen: Column, origin: Column, hint: Column, as_of: Column, domains: Column | None = None, conflict: Column | None = None) -> Column:
     """0.00 to 1.00 as a double; a missing time of observation counts as new, a missing hint as 0.80."""
     days = F.coalesce(age_days(seen, as_of), F.lit(0))
-    fresh = F.when(days <= 30, dec("1.00")).when(days <= 180, dec("0.90")).when(days <= 365, dec("0.80")).otherwise(dec("0.65"))
+    fresh = dec(OLDER)
+    for limit, value in sorted(RECENCY.items(), reverse=True):
+        fresh = F.when(days <= limit, dec(value)).otherwise(fresh)
     hinted = F.least(dec("1.00"), F.greatest(dec("0.50"), F.coalesce(hint.cast("decimal(5,2)"), dec("0.80")) * dec("0.95")))
     reliable = F.when(origin.isin("reviewer", "user", "deterministic"), dec("1.00")).when(origin == "ai", hinted).otherwise(dec("0.80"))
-    total = authority(field, tier) * dec("0.40") + _cases(support, SUPPORT, dec("0.80")) * dec("0.30") + reliable * dec("0.15") + fresh * dec("0.15")
+    parts = {"authority": authority(field, tier), "support": _cases(support, SUPPORT, dec("0.80")), "reliability": reliable, "freshness": fresh}
+    total = sum((parts[k] * dec(w) for k, w in WEIGHTS.items()), dec("0.00"))
     if domains is not None:
-        total = total + F.when(domains >= 2, dec("0.10")).otherwise(dec("0.00"))
+        total = total + F.when(domains >= 2, dec(CORROBORATED)).otherwise(dec("0.00"))
     if conflict is not None:
-        total = total - F.when(conflict, dec("0.25")).otherwise(dec("0.00"))
+        total = total - F.when(conflict, dec(CONFLICTING)).otherwise(dec("0.00"))
     return F.round(F.greatest(dec("0.00"), F.least(dec("1.00"), total)), 2).cast("double")
 
 
 def rating(score: Column) -> Column:
-    return F.when(score >= 0.8, "High").when(score >= 0.6, "Medium").otherwise("Low")
+    return F.when(score >= RATINGS["High"], "High").when(score >= RATINGS["Medium"], "Medium").otherwise("Low")
+
+
+def explanation(score: Column, tier: Column, support: Column, origin: Column, domains: Column | None = None, conflict: Column | None = None) -> Column:
+    """The score in words: rating, what supports it, and what adds to it or speaks against it."""
+    named = _cases(tier, TIER_NAMES, F.concat(F.lit("Tier "), tier.cast("string")), F.lit)
+    said = F.concat(rating(score), F.lit(" confidence ("), F.format_string("%.2f", score), F.lit("): supported by "), named, F.lit(" ("), support, F.lit(" evidence)"))
+    more = [F.when(origin.isin("reviewer", "user"), F.lit(BY_HAND))]
+    if domains is not None:
+        more.append(F.when(domains >= 2, F.format_string(CORROBORATION, domains)))
+    if conflict is not None:
+        more.append(F.when(conflict, F.lit(WARNING)))
+    return F.concat(F.concat_ws("; ", said, *more), F.lit("."))
 
 
 def freshness(field: Column, seen: Column, as_of: Column) -> Column:

@@ -23,6 +23,7 @@ INJECTIONS = (
 SENSITIVE = ("api_key", "secret", "password", "token", "auth_token", "access_token", "private_key")
 
 SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Control characters that values are rid of (fixed value).
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -59,7 +60,8 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
-def infer_language(c: Column) -> Column:
+def infer_language(c: Column, html: Column | None = None, tag: Column | None = None) -> Column:
+    """The tag if one is given, else the html element's, else by marker words, else und."""
     low = F.lower(c)
     out = F.lit("und")
     for language, words in reversed(MARKERS.items()):
@@ -67,7 +69,11 @@ def infer_language(c: Column) -> Column:
         for w in words[1:]:
             hit = hit | F.contains(low, F.lit(w))
         out = F.when(hit, language).otherwise(out)
-    return out
+    plain = lambda t: F.nullif(F.substring(F.replace(F.lower(F.trim(t)), F.lit("_"), F.lit("-")), 1, 16), F.lit(""))
+    given = [plain(tag)] if tag is not None else []
+    if html is not None:
+        given.append(plain(F.regexp_extract(html, "(?i)<html[^>]*[ \\t\\n]lang=[\"']?([^\"' >]*)", 1)))
+    return F.coalesce(*given, out)
 
 
 def injection_hits(c: Column) -> Column:
@@ -83,14 +89,24 @@ def redact(key: Column, value: Column) -> Column:
     return F.when(F.lower(key).rlike("|".join(SENSITIVE)), F.lit("[REDACTED]")).otherwise(value)
 
 
-def needs_render(html: Column) -> Column:
-    """Under 80 visible characters, and a script or root element."""
+def needs_render(html: Column, status: Column | None = None, kind: Column | None = None) -> Column:
+    """Under 80 visible characters, and a script or root element; also what is gone (404, 410), but nothing that is refused.
+
+    status and kind (the content type) count as 200 and text/html where they aren't given.
+    """
     visible = clean_text(F.regexp_replace(html, "<[^>]+>", " "))
-    return (F.length(visible) < 80) & (F.contains(F.lower(html), F.lit("<script")) | F.contains(F.lower(html), F.lit('id="root"')))
+    thin = (F.length(visible) < 80) & (F.contains(F.lower(html), F.lit("<script")) | F.contains(F.lower(html), F.lit('id="root"')))
+    if kind is not None:
+        thin = thin & (kind.startswith("text/html") | kind.startswith("application/xhtml"))
+    return thin if status is None else F.when(status.isin(404, 410), True).otherwise((status == 200) & thin)
+
+
+#: What the test file for virus scanners holds (fixed value).
+SIGNATURE = "EICAR-STANDARD-ANTIVIRUS-TEST-FILE"
 
 
 def malware_flag(content: Column) -> Column:
-    return F.contains(content, F.lit("EICAR-STANDARD-ANTIVIRUS-TEST-FILE"))
+    return F.contains(content, F.lit(SIGNATURE))
 
 
 def entity_match(name: Column, tax_id: Column, text: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Path words of pages that never describe a company, in order of precedence (fixed values).
@@ -55,12 +56,6 @@ def source_class(domain: Column, url: Column) -> Column:
     )
 
 
-def excluded_token(url: Column) -> Column:
-    """The first excluded token that path or query holds, null without one."""
-    where = F.lower(F.concat(part(url, 5), F.lit(" "), part(url, 7)))
-    return F.coalesce(*[F.when(F.contains(where, F.lit(t)), F.lit(t)) for t in EXCLUDED_TOKENS])
-
-
 def ensure_scheme(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
 
@@ -108,3 +103,48 @@ def content_problem(kind: Column, url: Column, content: Column) -> Column:
     signed = F.coalesce(content, F.lit("")).rlike("^[\\x09-\\x0D ]*%PDF")
     known = kind.isin(*CONTENT_TYPES) | kind.endswith("+json") | kind.endswith("+xml")
     return F.when(~known, "UNSUPPORTED_TYPE").when(ends & ~pdf, "PDF_EXTENSION").when(signed & ~pdf, "PDF_SIGNATURE").when(pdf & ~signed, "NO_PDF_SIGNATURE")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose segments . and .. are worked out."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
+    )
+    joined = F.array_join(kept, "/")
+    return F.when(path.rlike(r"(^|/)\.\.?$") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """The url that a reference on the page of a base url leads to; without a base the reference itself."""
+    href, base = F.trim(F.coalesce(href, F.lit(""))), F.trim(F.coalesce(base, F.lit("")))
+    scheme, root = part(base, 2), F.regexp_extract(base, r"^([^:/?#]+:(//[^/?#]*)?)", 1)
+    folder = F.regexp_replace(part(base, 5), "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    return (
+        F.when((base == "") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
+        .when(href.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
+def ascii_hosts(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the hosts of a column in the letters that name servers know; only hosts beyond ASCII go through Python, once each."""
+    @F.pandas_udf("string")
+    def encoded(hosts: pd.Series) -> pd.Series:
+        def one(host):
+            try:
+                return host.encode("idna").decode("ascii")
+            except UnicodeError:
+                return host
+        return hosts.map(one)
+
+    odd = rows.select(F.col(column).alias("__host")).where(F.col("__host").rlike(r"[^\x00-\x7F]")).distinct()
+    known = odd.select("__host", encoded("__host").alias("__ascii"))
+    return rows.join(known, F.col(column) == F.col("__host"), "left").withColumn(column, F.coalesce("__ascii", column)).drop("__host", "__ascii")

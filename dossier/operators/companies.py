@@ -33,27 +33,59 @@ def default_aliases(companies: DataFrame) -> DataFrame:
     return out.agg(F.min("alias_type").alias("alias_type"))
 
 
-def list_companies(companies: DataFrame, status: str, term: str, limit: int) -> DataFrame:
-    """The first companies by name of a status whose name or identifiers hold the term."""
-    holds = [F.contains(F.lower(c), F.lit(term)) for c in ("company_name", "tax_id", "registration_number")]
-    found = companies.where((F.col("status") == status) & (F.coalesce(holds[0], F.lit(False)) | F.coalesce(holds[1], F.lit(False)) | F.coalesce(holds[2], F.lit(False))))
-    return found.select("workspace_id", "company_id", "company_name").orderBy("company_name", "company_id").limit(limit)
+def list_companies(companies: DataFrame, *, status: str | None = None, term: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Of each workspace the companies of a status whose name or identifiers hold the term, by name: from offset on, at most limit."""
+    found = companies if status is None else companies.where(F.col("status") == status)
+    if term is not None:
+        holds = [F.coalesce(F.contains(F.lower(c), F.lit(term)), F.lit(False)) for c in ("company_name", "tax_id", "registration_number")]
+        found = found.where(holds[0] | holds[1] | holds[2])
+    w = Window.partitionBy("workspace_id").orderBy("company_name", "company_id")
+    out = found.select("workspace_id", "company_id", "company_name", F.row_number().over(w).alias("place"))
+    return out.where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+
+
+def apply_company_changes(companies: DataFrame, changes: DataFrame) -> DataFrame:
+    """workspace_id, company_id, status, company_name, version_steps, refused after a batch of changes, one a company.
+
+    changes has action (archive, restore or update) and company_name (for updates, null keeps it). Archiving what is
+    archived changes nothing; merged companies can't be restored.
+    """
+    out = companies.join(changes.select("workspace_id", "company_id", "action", F.col("company_name").alias("new_name")), ["workspace_id", "company_id"], "left")
+    action, status = F.col("action"), F.col("status")
+    refused = F.coalesce((action == "restore") & (status == "merged"), F.lit(False))
+    idle = action.isNull() | refused | ((action == "archive") & (status == "archived"))
+    now = F.when(idle | (action == "update"), status).when(action == "archive", "archived").otherwise("published")
+    name = F.when(~idle & (action == "update"), F.coalesce("new_name", "company_name")).otherwise(F.col("company_name"))
+    return out.select("workspace_id", "company_id", now.alias("status"), name.alias("company_name"), F.when(idle, 0).otherwise(1).alias("version_steps"), refused.alias("refused"))
 
 
 def merge_candidates(candidates: DataFrame, normalized: Column) -> DataFrame:
-    """One row for each company and normalized url: preferred origin, all origins in order, least depth, provided.
+    """One row for each company and normalized url of enriched candidates.
 
-    Rows are first gathered by origin, of which there are eight, so a url with very many rows makes no long list.
+    The preferred origin has the highest priority, the earlier row among equals; provenance holds all origins in order; of
+    tiers (also by field), scores, relevance and depth the best counts; title, snippet and page group are the first that
+    say something. Rows are first gathered by origin, of which there are eight, so a url with very many rows makes no long
+    list. Columns that the rows lack count as null.
     """
+    for column, kind in (("authority_tier", "int"), ("authority_by_field", "map<string,int>"), ("entity_match_score", "double"), ("relevance_score", "double"), ("title", "string"), ("snippet", "string"), ("page_group", "string")):
+        if column not in candidates.columns:
+            candidates = candidates.withColumn(column, F.lit(None).cast(kind))
     priority = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     keys = ["workspace_id", "company_id", "normalized"]
-    by_origin = candidates.withColumn("normalized", normalized).groupBy(*keys, "discovered_via").agg(
-        F.min("ord").alias("ord"), F.min("crawl_depth").alias("crawl_depth"), F.bool_or("provided").alias("provided"))
-    return by_origin.groupBy(*keys).agg(
-        F.max_by("discovered_via", F.coalesce(priority[F.col("discovered_via")], F.lit(0))).alias("preferred"),
+    said = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("ord")))
+    whole = [F.min("crawl_depth").alias("crawl_depth"), F.bool_or("provided").alias("provided"), F.min("authority_tier").alias("authority_tier"), F.max("entity_match_score").alias("entity_match_score"), F.max("relevance_score").alias("relevance_score")]
+    rows = candidates.withColumn("normalized", normalized)
+    firsts = [F.struct(F.min(F.when(F.col(c) != "", F.col("ord"))).alias("ord"), said(c).alias("v")).alias(c) for c in ("title", "snippet", "page_group")]
+    by_origin = rows.groupBy(*keys, "discovered_via").agg(F.min("ord").alias("ord"), *whole, *firsts)
+    rank = F.struct(F.coalesce(priority[F.col("discovered_via")], F.lit(0)), -F.col("ord"))
+    out = by_origin.groupBy(*keys).agg(
+        F.max_by("discovered_via", rank).alias("preferred"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "discovered_via"))), lambda x: x["discovered_via"]), ",").alias("provenance"),
-        F.min("crawl_depth").alias("crawl_depth"), F.bool_or("provided").alias("provided"),
+        *whole, *[F.min(F.when(F.col(f"{c}.ord").isNotNull(), F.col(c))).getField("v").alias(c) for c in ("title", "snippet", "page_group")],
     )
+    by_field = rows.select(*keys, F.explode("authority_by_field").alias("field", "tier")).groupBy(*keys, "field").agg(F.min("tier").alias("tier"))
+    by_field = by_field.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "tier")))).alias("authority_by_field"))
+    return out.join(by_field, keys, "left")
 
 
 def source_policy(sources: DataFrame, companies: DataFrame, blocked: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def ai_usage(runs: DataFrame) -> DataFrame:
     return runs.groupBy("workspace_id").agg(F.count("*").alias("n_runs"), F.round(F.sum("cost_usd"), 4).cast("double").alias("cost_usd"))
@@ -31,10 +33,25 @@ def fetch_stats(attempts: DataFrame) -> DataFrame:
     return out.select(F.coalesce("adapter", F.lit("all")).alias("adapter"), F.coalesce("outcome_code", F.lit("all")).alias("outcome_code"), "n", "n_server_errors")
 
 
-def source_status(sources: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Each source with its latest attempt."""
+def source_status(sources: DataFrame, attempts: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Each source with its latest attempt and its latest snapshot."""
     last = attempts.groupBy("source_id").agg(F.max_by(F.struct("attempt_id", "outcome_code", "http_status"), F.struct("started_at", "attempt_id")).alias("last"))
-    return sources.join(last, "source_id", "left").select("source_id", "last.attempt_id", "last.outcome_code", "last.http_status")
+    seen = snapshots.groupBy("source_id").agg(F.max_by("snapshot_id", F.struct("retrieved_at", "snapshot_id")).alias("snapshot_id"), F.count("*").alias("n_snapshots"))
+    out = sources.join(last, "source_id", "left").join(seen, "source_id", "left")
+    return out.select("source_id", "last.attempt_id", "last.outcome_code", "last.http_status", "snapshot_id", F.coalesce("n_snapshots", F.lit(0)).alias("n_snapshots"))
+
+
+def audit_trail(log: DataFrame, *, action: str | None = None, actor_id: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The rows of an action and an actor, newest first: of each workspace those from offset on, at most limit."""
+    for column, value in (("action", action), ("actor_id", actor_id)):
+        if value is not None:
+            log = log.where(F.col(column) == value)
+    return recent(log, "workspace_id", "created_at", "audit_id", offset + limit).where(F.col("place") > offset)
+
+
+def children(rows: DataFrame, parent: str, order: list) -> DataFrame:
+    """The rows of each parent with their place in the given order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
 
 
 def recent(rows: DataFrame, key: str, order: str, tie: str, n: int = 50) -> DataFrame:
@@ -61,11 +78,26 @@ def unique_snapshots(snapshots: DataFrame, content_hash: Column) -> DataFrame:
     return hashed.groupBy("workspace_id", "source_id", "content_hash").agg(F.min("snapshot_id").alias("snapshot_id"))
 
 
-def identifier_duplicates(companies: DataFrame, key: str, score: float, reason: str) -> DataFrame:
-    """Pairs of companies of a workspace that share an identifier: a key's companies are paired with its first one.
+def duplicate_pairs(new: DataFrame, companies: DataFrame) -> DataFrame:
+    """workspace_id, new_id, company_id: companies that a new one shares a tax id or registration number with, or its name.
 
-    A key that very many companies share so gives one pair for each of them, not the square of their number.
+    Identifiers lead to their first company. Of two names one must hold the other: each company's name gives all of its
+    pieces as long as some new name, and each new one all of its pieces as long as some company's, so equal pieces join and
+    no pair is tried in vain. Merged companies are found by identifiers only, and an empty name finds nobody.
     """
-    known = companies.where(F.col(key).isNotNull())
-    first = known.groupBy("workspace_id", key).agg(F.min("company_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return known.join(first, ["workspace_id", key]).where("company_id <> first_id").select("workspace_id", "first_id", "company_id", F.lit(score).alias("score"), F.lit(reason).alias("reason"))
+    def by(key: str) -> DataFrame:
+        first = companies.where(F.col(key) != "").groupBy("workspace_id", key).agg(F.min("company_id").alias("company_id"))
+        return new.where(F.col(key) != "").join(first, ["workspace_id", key]).select("workspace_id", "new_id", "company_id")
+
+    def named(rows: DataFrame, id_: str) -> DataFrame:
+        return rows.select("workspace_id", id_, text.normalize_name(F.col("company_name")).alias("name")).where("name <> ''")
+
+    def within(long: DataFrame, short: DataFrame, id_: str) -> DataFrame:
+        lengths = short.select("workspace_id", F.length("name").alias("n")).distinct()
+        piece = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n")))))
+        pieces = long.join(lengths, "workspace_id").where("n <= length(name)").select("workspace_id", id_, piece.alias("name"))
+        return pieces.join(short, ["workspace_id", "name"])
+
+    open_, wanted = named(companies.where("status <> 'merged'"), "company_id"), named(new, "new_id")
+    names = within(open_, wanted, "company_id").select("workspace_id", "new_id", "company_id").union(within(wanted, open_, "new_id").select("workspace_id", "new_id", "company_id"))
+    return by("tax_id").union(by("registration_number")).union(names).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .facts import ACTIVE, FACT_KEY, detect_conflicts, missing_fields
 
 STEPS = 9
@@ -37,13 +38,30 @@ def publishable(companies: DataFrame, blockers: DataFrame) -> DataFrame:
     return companies.select("workspace_id", "company_id").join(critical, ["workspace_id", "company_id"], "left_anti")
 
 
-def published_content(versions: DataFrame, values: DataFrame) -> DataFrame:
-    """Counts and content hash of each version, its fields in order of their keys."""
-    line = F.struct("field_key", "context_key", "display_value")
-    out = values.groupBy("version_id").agg(F.count("*").alias("n_fields"), F.sum("evidence_count").alias("n_evidence"), F.array_sort(F.collect_list(line)).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda x: F.concat_ws("|", x["field_key"], x["context_key"], x["display_value"])), "\n")
-    out = out.select("version_id", "n_fields", "n_evidence", F.sha2(text, 256).alias("content_hash"))
-    return versions.select("version_id").join(out, "version_id")
+def publish(drafts: DataFrame, selections: DataFrame, facts: DataFrame, evidence: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next version of each draft (workspace_id, company_id), its field values, and the copies of their evidence.
+
+    selections has the chosen fact of each field, facts its value and status, versions what is published already. Sources
+    are counted by themselves, and the hash covers the fields in order of their keys.
+    """
+    company = ["workspace_id", "company_id"]
+    last = versions.groupBy(*company).agg(F.max("version_number").alias("last"))
+    chosen = drafts.select(*company).join(selections.select(*company, "fact_id", "score"), company)
+    status = F.when(F.col("fact_status").isin("accepted", "validated"), "verified").otherwise("inferred")
+    values = chosen.join(facts.select("fact_id", "field_key", "context_key", "value_type", "value_json", "fact_status"), "fact_id")
+    values = values.select(*company, "field_key", "context_key", "fact_id", "value_type", "value_json", status.alias("display_status"), "score")
+    copies = values.select(*company, "field_key", "context_key", "fact_id").join(evidence.select("fact_id", "source_id", "block_key"), "fact_id")
+    counted = copies.groupBy(*company).agg(F.count("*").alias("n_evidence"), F.count_distinct("source_id").alias("n_sources"))
+    lines = F.array_sort(F.collect_list(F.struct("field_key", "context_key", "value_json", "display_status")))
+    # the mean in whole hundredths, halves upwards, which no binary fraction disturbs
+    total, n = F.sum(F.round(F.col("score") * 100).cast("long")), F.count("*")
+    hundredths = F.floor((total * 2 + n) / (n * 2)) / 100
+    whole = values.groupBy(*company).agg(F.count("*").alias("n_fields"), hundredths.alias("confidence"), lines.alias("lines"))
+    text_ = F.array_join(F.transform("lines", lambda x: F.concat_ws("|", x["field_key"], x["context_key"], F.coalesce(x["value_json"], F.lit("")), x["display_status"])), "\n")
+    out = drafts.select(*company).join(whole, company).join(counted, company, "left").join(last, company, "left")
+    number = (F.coalesce("last", F.lit(0)) + 1).cast("int")
+    out = out.select(*company, number.alias("version_number"), "n_fields", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "confidence", F.sha2(text_, 256).alias("content_hash"))
+    return out, values, copies
 
 
 def current_profiles(versions: DataFrame) -> DataFrame:
@@ -57,10 +75,15 @@ def superseded_drafts(drafts: DataFrame) -> DataFrame:
     return drafts.select("version_id", F.when(F.row_number().over(w) == 1, "ready").otherwise("superseded").alias("status"))
 
 
-def inbox(tasks: DataFrame, status: str) -> DataFrame:
-    """The tasks of a status, numbered by age from the newest within their workspace."""
+def inbox(tasks: DataFrame, decisions: DataFrame, *, status: str | None = None, company_id: str | None = None, task_type: str | None = None, assigned_to: str | None = None) -> DataFrame:
+    """The tasks that fit, numbered from the newest within their workspace, each with its decisions (seq, action) in order."""
+    wanted = {"status": status, "company_id": company_id, "task_type": task_type, "assigned_to": assigned_to}
+    for column, value in wanted.items():
+        if value is not None:
+            tasks = tasks.where(F.col(column) == value)
+    own = decisions.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("decisions"))
     w = Window.partitionBy("workspace_id").orderBy(F.desc("created_at"), F.desc("task_id"))
-    return tasks.where(F.col("status") == status).select("workspace_id", "company_id", "task_id", "priority", F.row_number().over(w).alias("place"))
+    return tasks.join(own, "task_id", "left").select("workspace_id", "company_id", "task_id", "task_type", "priority", F.row_number().over(w).alias("place"), "decisions")
 
 
 def job_status(tasks: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -79,19 +102,39 @@ def latest_state(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'completed'").groupBy("job_id").agg(last).select("job_id", "s.step_rank", "s.partial")
 
 
-def counters(attempts: DataFrame) -> DataFrame:
-    """Attempts by outcome and HTTP status, and by adapter, in one pass."""
-    sets = [[F.col("outcome_code"), F.col("http_status")], [F.col("adapter")]]
-    return attempts.groupingSets(sets, "outcome_code", "http_status", "adapter").agg(F.count("*").alias("n"))
+def counters(logs: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """metric, labels, n: rows of each log by its labels (name: (log, labels)), of which there are few."""
+    def counted(name: str, log: DataFrame, labels: list[str]) -> DataFrame:
+        said = F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.coalesce(F.col(x).cast("string"), F.lit(""))) for x in labels])
+        return log.groupBy(said.alias("labels")).agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "labels", "n")
 
+    parts = [counted(name, log, labels) for name, (log, labels) in logs.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-def stale_tasks(tasks: DataFrame, before: Column) -> DataFrame:
-    return tasks.where((F.col("status") == "pending") & (F.col("created_at") < before)).groupBy("job_id").agg(F.count("*").alias("n"), F.min("created_at").alias("since"))
 
+def mean_confidence(versions: DataFrame) -> DataFrame:
+    """Versions of each workspace and the mean of their whole confidence, to four digits."""
+    return versions.groupBy("workspace_id").agg(F.count("*").alias("n"), F.round(F.avg("overall_confidence"), 4).alias("mean_confidence"))
 
-def text_blocks(pages: DataFrame, cap: int) -> DataFrame:
-    """Lines with text of each page, with stable keys, as far as their bytes together stay within the cap."""
-    rows = pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block")).where(F.trim("block") != "")
-    w = Window.partitionBy("doc_id").orderBy("line")
-    rows = rows.withColumn("n", F.row_number().over(w)).withColumn("bytes", F.sum(F.octet_length("block")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where(F.col("bytes") <= cap).select("doc_id", F.concat(F.lit("p1_b"), F.col("n").cast("string")).alias("block_key"), "block")
+
+def stale_tasks(tasks: DataFrame, as_of: Column) -> DataFrame:
+    """job_id, n_expired, n_exhausted, since: running tasks past their lease, and failed ones without an attempt left."""
+    expired = (F.col("status") == "running") & (F.col("lease_until") < as_of)
+    spent = (F.col("status") == "failed") & (F.col("attempts") >= F.col("max_attempts"))
+    out = tasks.where(expired | spent).groupBy("job_id")
+    return out.agg(F.count_if(expired).alias("n_expired"), F.count_if(spent).alias("n_exhausted"), F.min("created_at").alias("since"))
+
+
+def text_blocks(pages: DataFrame, cap: int = 10_000_000) -> DataFrame:
+    """doc_id, block_key, block: the paragraphs of each page, up to the first that takes their bytes together beyond the cap.
+
+    Paragraphs stand between blank lines; their white space is collapsed, and keys count blank ones as well.
+    """
+    trimmed = F.regexp_replace("text", f"^{text.SPACES}|{text.SPACES}$", "")
+    rows = pages.select("doc_id", F.posexplode(F.split(trimmed, "\n[ \t\n\x0B\f\r]*\n")).alias("at", "raw")).select("doc_id", "at", text.clean_text(F.col("raw")).alias("block")).where("block <> ''")
+    w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("block")).over(w))
+    return rows.where(F.col("bytes") <= cap).select("doc_id", F.concat(F.lit("p1_b"), (F.col("at") + 1).cast("string")).alias("block_key"), "block")

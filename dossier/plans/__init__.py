@@ -1,3 +1,3 @@
 """Binding views and the registry of queries."""
 
-from . import changes, extraction, profiles, registry, streams  # noqa: F401
+from . import blocks, changes, discovery, extraction, outputs, profiles, registry, streams  # noqa: F401
