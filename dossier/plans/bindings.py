@@ -287,6 +287,19 @@ FROM orders o JOIN b_company c ON c.company_id = concat('C', CAST(o.o_custkey AS
 SELECT DISTINCT l_orderkey AS task_id, l_linenumber AS seq, concat('U', CAST((l_orderkey + l_linenumber) % 5 AS STRING)) AS actor,
        CASE CAST((l_orderkey * 3 + l_linenumber * 2) % 5 AS INT) WHEN 0 THEN 'claim' WHEN 1 THEN 'release' WHEN 2 THEN 'complete' WHEN 3 THEN 'reopen' ELSE 'claim' END AS action
 FROM lineitem
+""",
+    "b_order_fact": """
+SELECT CAST(o_custkey % 5 AS INT) AS workspace_id, concat('C', CAST(o_custkey AS STRING)) AS company_id, o_orderkey AS fact_id,
+       CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'size.office_count' WHEN 1 THEN 'identity.legal_name' ELSE 'overview.hq_address' END AS field_key, '' AS context_key,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'integer' ELSE 'string' END AS value_type,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) % 5 * 25 AS STRING) ELSE concat('"v', CAST(CAST(floor(o_totalprice / 100) AS BIGINT) % 3 AS STRING), '"') END AS value_json,
+       CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'candidate' END AS fact_status
+FROM orders
+""",
+    "b_order_event": """
+SELECT o_custkey AS task_id, o_orderkey AS seq, concat('U', CAST(o_orderkey % 5 AS STRING)) AS actor,
+       CASE CAST((o_orderkey * 3 + o_custkey) % 5 AS INT) WHEN 0 THEN 'claim' WHEN 1 THEN 'release' WHEN 2 THEN 'complete' WHEN 3 THEN 'reopen' ELSE 'claim' END AS action
+FROM orders
 """,
     "b_error": """
 SELECT event_id, CAST(user_id AS BIGINT) AS job_id, ts AS created_at, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'timeout' WHEN 1 THEN 'connect' ELSE 'other' END AS kind,

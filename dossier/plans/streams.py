@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import facts
 from ..streaming import steps
 from .bindings import bound
-from .registry import query
+from .outputs import _FOLD
+from .registry import _KEY, _MEMBERS, _in, query
 
 
 @query("n1_stream_snapshots", "SELECT DISTINCT workspace_id, source_id, sha256(content) AS content_hash FROM b_snapshot")
@@ -17,3 +19,21 @@ def stream_snapshots(s, d):
 @query("n5_stream_audit", "SELECT date_trunc('hour', created_at) AS starts, action, count(*) AS n, count(*) FILTER (len(list_filter(json_keys(metadata_json), lambda k: regexp_matches(lower(k), 'api_key|secret|password|token|private_key'))) > 0) AS n_redacted FROM b_audit GROUP BY ALL")
 def stream_audit(s, d):
     return steps.audit_counts(bound(s, d, "b_audit", stream=True))
+
+
+@query("n2_stream_page_facts", "SELECT page_id, 'identity.legal_name' AS field_key, concat('\"N', page_id, '\"') AS value FROM b_marked_page")
+def stream_page_facts(s, d):
+    return steps.page_facts(bound(s, d, "b_marked_page", stream=True))
+
+
+_LEVEL = f"CASE WHEN field_key IN {_in(facts.scoring.CRITICAL_FIELDS)} THEN 'critical' WHEN field_key IN {_in(facts.scoring.HIGH_FIELDS)} THEN 'high' ELSE 'medium' END"
+
+
+@query("n3_stream_conflicts", f"SELECT {_KEY}, count(*) AS n_facts, count(*) FILTER (differs) AS n_differing, {_LEVEL} AS materiality FROM ({_MEMBERS.replace('b_fact', 'b_order_fact')}) GROUP BY {_KEY} HAVING count(*) FILTER (differs) > 0")
+def stream_conflicts(s, d):
+    return steps.conflicts(bound(s, d, "b_order_fact", stream=True))
+
+
+@query("n4_stream_reviews", _FOLD.replace("b_review_event", "b_order_event"))
+def stream_reviews(s, d):
+    return steps.review_states(bound(s, d, "b_order_event", stream=True))

@@ -7,12 +7,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_fallback: dict[str, str] = {}
+_local: list[tempfile.TemporaryDirectory] = []
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests on one machine, a local temporary one."""
+    """A new folder under spark.checkpoint.dir. Only a session on one machine may do without that setting; its folder goes with the process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _fallback.setdefault("root", "file://" + tempfile.mkdtemp(prefix="dossier-"))
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append(tempfile.TemporaryDirectory(prefix="dossier-", ignore_cleanup_errors=True))
+        root = "file://" + _local[0].name
     return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"

@@ -6,10 +6,16 @@ from the checkpoint neither loses rows nor doubles them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
+from ..operators import blocks, changes, facts, structured
+from ..operators.review import ACTIONS
 from ..sources.scratch import new_folder
 
 
@@ -55,3 +61,87 @@ def audit_counts(stream: DataFrame, *, folder: str | None = None, window: str =
     _run(counts, write, "update", folder)
     rows = spark.read.schema("starts timestamp, action string, n bigint, n_redacted bigint, batch bigint").parquet(f"{folder}/table")
     return rows.groupBy("starts", "action").agg(F.max_by(F.struct("n", "n_redacted"), "batch").alias("last")).select(F.col("starts").cast("timestamp_ntz").alias("starts"), "action", "last.*")
+
+
+def page_facts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
+    """page_id, field_key, value of the facts that captured pages (page_id, url, html) state, each once, in the first batch that has it."""
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark)
+    schema, keys = "page_id bigint, field_key string, value string", ["page_id", "field_key", "value"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        made = blocks.html_blocks(batch.select("page_id", "url", "html").dropDuplicates(["page_id"]))
+        stated = structured.structured_facts(made.where(F.col("block_key").startswith("json_ld")), ["page_id", "block_key"]).select(*keys)
+        lines = changes.label_facts(made.select(F.lit(0).alias("workspace_id"), F.col("page_id").alias("company_id"), "block_key", "text_content"))
+        rows = stated.union(lines.select("company_id", "field_key", F.to_json(F.array("value")).alias("value")).select("company_id", "field_key", F.expr("substring(value, 2, length(value) - 2)"))).distinct()
+        if number:
+            stored = batch.sparkSession.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").where(F.col("batch") < number)
+            rows = rows.join(stored, keys, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    _run(stream, write, "append", folder)
+    return spark.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").select(*keys)
+
+
+def conflicts(stream: DataFrame, *, folder: str | None = None, n_buckets: int = 64) -> DataFrame:
+    """The conflicts (key, n_facts, n_differing, materiality) among all facts that arrived, a field's first fact by id being the primary.
+
+    Facts are kept by buckets of their key. A batch judges only the fields that it touches, over what is stored of them in
+    their buckets, so an earlier fact that comes late makes a new primary. Of a field's results that of its last batch holds.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark)
+    key = list(facts.FACT_KEY)
+    schema = "workspace_id int, company_id string, fact_id bigint, field_key string, context_key string, value_type string, value_json string, fact_status string"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    found = "workspace_id int, company_id string, field_key string, context_key string, n_facts bigint, n_differing bigint, materiality string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n_buckets)).cast("int"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/facts/batch={number}")
+        stored = batch.sparkSession.read.schema(schema + ", batch bigint, bucket int").parquet(f"{folder}/facts").where(F.col("batch") <= number)
+        touched = stored.where(F.col("batch") == number).select(*key, "bucket").distinct()
+        known = stored.join(touched, [*key, "bucket"], "left_semi").select(*columns).dropDuplicates([*key, "fact_id"])
+        judged = touched.select(*key).join(facts.detect_conflicts(known), key, "left")
+        judged.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in found.split(", ")]).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    _run(stream, write, "append", folder)
+    rows = spark.read.schema(found + ", batch bigint").parquet(f"{folder}/table")
+    last = rows.groupBy(*key).agg(F.max_by(F.struct("n_facts", "n_differing", "materiality"), "batch").alias("last")).select(*key, "last.*")
+    return last.where("n_differing > 0")
+
+
+REVIEW = "task_id bigint, status string, assigned_to string, row_version int, n_refused int"
+
+
+def review_states(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
+    """task_id, status, assigned_to, row_version, n_refused after all events (task_id, seq, action, actor) that arrived.
+
+    A task's state is kept between batches; the events of a batch are applied in order of seq. An event that arrives after
+    a later one of an earlier batch is applied where it arrives.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, who, version, refused = state.get if state.exists else ("open", None, 1, 0)
+        events = sorted((int(s), a, str(w)) for b in batches for s, a, w in zip(b["seq"], b["action"], b["actor"], strict=True))
+        for _, action, actor in events:
+            allowed, leads = ACTIONS.get(action, ((), None))
+            if allowed is not None and status not in allowed:
+                refused += 1
+                continue
+            status, version = leads, version + 1
+            who = actor if action == "claim" else None if action == "release" else who
+        state.update((status, who, version, refused))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "assigned_to": [who], "row_version": [version], "n_refused": [refused]})
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    kinds = REVIEW.split(", ", 1)[1]
+    states = stream.groupBy("task_id").applyInPandasWithState(fold, REVIEW, kinds, "update", GroupStateTimeout.NoTimeout)
+    _run(states, write, "update", folder)
+    rows = spark.read.schema(REVIEW + ", batch bigint").parquet(f"{folder}/table")
+    last = F.max_by(F.struct("status", "assigned_to", "row_version", "n_refused"), "batch").alias("last")
+    return rows.groupBy("task_id").agg(last).select("task_id", "last.*")

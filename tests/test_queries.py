@@ -3,27 +3,16 @@
 from __future__ import annotations
 
 import math
-import os
-import sys
 
 import duckdb
 import pytest
-from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from dossier.plans import registry  # noqa: E402
+from dossier.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="session")
-def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
-    s.sparkContext.setLogLevel("ERROR")
-    return s
-
-
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
@@ -46,5 +35,19 @@ def test_against_sql(spark, duck, name):
     assert got == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+def test_pages_as_blocks(spark):
+    """What SQL can't say of the walk over real pages: every page has its title, headings and links, numbered without gaps."""
+    rows = registry.QUERIES["d1_html_blocks"](spark, SF).collect()
+    pages = {r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert {r["page_id"] for r in rows if r["block_key"] == "title_0001"} == pages and all(r["text_content"] for r in rows)
+    numbers = {}
+    for r in rows:
+        prefix, n = r["block_key"].rsplit("_", 1)
+        numbers.setdefault((r["page_id"], prefix), []).append(int(n))
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in numbers.values())
+    links = {(r["page_id"], r["href"]) for r in rows if r["block_type"] == "link"}
+    assert len(links) > len(pages)
+
+
 def test_entry(spark):
     assert registry.flagship(spark, SF).count() > 0
