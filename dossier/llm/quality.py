@@ -62,7 +62,7 @@ def assess(
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "n_chars_judged", "n_chars_lost")
     out = docs.drop(*(n for n in names if n != text)).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     line_has_word = lambda x: x.rlike(f"[^{SPACE_CLASS}]")
-    out = out.withColumn("__w", words_of(F.col("__t"))).withColumn("__lines", F.filter(F.split("__t", "\n"), line_has_word))
+    out = out.withColumn("__w", words_of(F.col("__t"))).withColumn("__every", F.split("__t", "\n")).withColumn("__lines", F.filter("__every", line_has_word))
     gram = ", ".join(f"__w[i + {j}]" for j in range(window))
     out = out.withColumn("__h", F.expr(f"CASE WHEN size(__w) >= {window} THEN transform(sequence(0, size(__w) - {window}), i -> xxhash64({gram})) ELSE array() END"))
     # only a document in which a window repeats needs its windows sorted to find where
@@ -74,7 +74,9 @@ def assess(
             " OR (j < size(__s) - 1 AND __s[least(j + 1, size(__s) - 1)].h = x.h)), x -> x.i))"
         ),
     )
-    out = out.withColumn("__bad", F.filter("__lines", broken))
+    # each line is held against the rules once; null where none is broken, which spares most texts the rest
+    out = out.withColumn("__flags", F.transform("__every", lambda x: line_has_word(x) & broken(x)))
+    out = out.withColumn("__bad", F.when(F.array_contains("__flags", True), F.filter("__every", lambda x, i: F.get("__flags", i))).otherwise(F.array().cast("array<string>")))
     measured = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     out = (
         out.withColumn("n_words", F.size("__w").cast("long"))
@@ -92,9 +94,9 @@ def assess(
         .withColumn("n_chars_lost", measured("__bad"))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_chars_lost") * 100 <= F.col("n_chars_judged") * max_lost_percent))
-        .withColumn("clean_text", F.when(F.size("__bad") == 0, F.col("__t")).otherwise(F.array_join(F.filter(F.split("__t", "\n"), lambda x: ~(line_has_word(x) & broken(x))), "\n")))
+        .withColumn("clean_text", F.when(F.size("__bad") == 0, F.col("__t")).otherwise(F.array_join(F.filter("__every", lambda x, i: ~F.get("__flags", i)), "\n")))
     )
-    return out.drop("__t", "__w", "__lines", "__h", "__s", "__at", "__bad")
+    return out.drop("__t", "__w", "__lines", "__h", "__s", "__at", "__bad", "__every", "__flags")
 
 
 def filter_documents(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
