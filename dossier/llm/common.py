@@ -38,13 +38,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the scratch folders that this session's operators wrote; their results must have been read or written by then."""
+def handed_out() -> int:
+    """How many scratch folders stand, as a mark for release."""
+    return len(_handed)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes this session's scratch folders handed out since a mark, but for the last few to keep.
+
+    What stands in them must have been read or written on by then.
+    """
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for of, folder in [h for h in _handed if h[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    own = [h for h in _handed[since:] if h[0] is spark]
+    for h in own[: len(own) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(h[1])
         path.getFileSystem(conf).delete(path, True)
-        _handed.remove((of, folder))
+        _handed.remove(h)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(rows: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def few(rows: DataFrame, max_broadcast_rows: int = 400_000) -> DataFrame:
     """The rows (of a few numbers each), to be joined by broadcast if a count shows that they are few."""
     rows = materialise(rows)
     return F.broadcast(rows) if rows.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else rows

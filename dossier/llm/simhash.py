@@ -9,6 +9,9 @@ are indexed instead under all their variants with two wildcards among all 64 bit
 itself, so each variant's fingerprints are linked to their smallest one, without pairs. The limit chooses between two exact
 ways; it drops nothing.
 
+The keys have 31 bits, so of n fingerprints some n * n / 2**26 pairs meet by chance: as many as there are fingerprints at
+some 67 million, a hundred for each at seven thousand million. Beyond that the keys are crowded, and the other way holds.
+
 Components are found among distinct fingerprints by spreading the smallest label over the links, with pointer jumping,
 each round written to the scratch folder. Their joins go by shuffle: the tables grow with the input, and a compressed size
 says little about the memory that a broadcast would take.
