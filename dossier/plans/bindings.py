@@ -269,7 +269,7 @@ SELECT CAST(page_id % 7 AS BIGINT) AS job_id, page_id AS url, CAST(page_id % 4 A
 SELECT page_id AS src, page_id + k AS url, CAST((page_id + k) % 4 AS INT) AS domain, k AS pos FROM pages CROSS JOIN (SELECT 4 AS k UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 20) j
 """,
     "b_run_fact": """
-SELECT c.workspace_id, c.company_id, c.company_name, CAST(o.o_custkey % 300 AS BIGINT) AS run_id, o.o_orderkey AS fact_id,
+SELECT c.workspace_id, c.company_id, c.company_name, CAST(floor(o.o_orderkey / 4) AS BIGINT) AS run_id, o.o_orderkey AS fact_id,
        CASE CAST(o.o_orderkey % 5 AS INT) WHEN 0 THEN 'extract_identity' WHEN 1 THEN 'extract_size' WHEN 2 THEN 'extract_markets' WHEN 3 THEN 'extract_leadership' ELSE 'extract_overview' END AS operation,
        CASE CAST(o.o_orderkey % 5 AS INT) WHEN 0 THEN CASE CAST(o.o_custkey % 4 AS INT) WHEN 0 THEN 'identity.legal_name' WHEN 1 THEN 'identity.founding_year' WHEN 2 THEN 'identity.country' ELSE 'identity.tax_id' END
             WHEN 1 THEN 'size.office_count' WHEN 2 THEN CASE WHEN o.o_orderkey % 40 = 2 THEN 'markets.other' ELSE 'markets.key_partners' END WHEN 3 THEN CASE WHEN o.o_custkey % 2 = 0 THEN 'leadership.ceo' ELSE 'leadership.founders' END ELSE 'overview.description' END AS field_key,

@@ -192,4 +192,4 @@ over("l8_attempts_of_sources", "b_attempt", "SELECT source_id, attempt_id, CAST(
 over("a8_c5_unique_snapshots", "b_snapshot", "SELECT workspace_id, source_id, sha256(content) AS content_hash, min(snapshot_id) AS snapshot_id FROM b_snapshot GROUP BY ALL", lambda s: logs.unique_snapshots(s, F.sha2("content", 256)))
 over("q1_vocab_violations", "b_fact", "SELECT support_type AS value, count(*) AS n FROM b_fact WHERE support_type NOT IN ('structured', 'direct') GROUP BY support_type", lambda f: logs.vocab_violations(f, "support_type", ("structured", "direct")))
 over("q2_key_violations", "b_fact", f"SELECT {_KEY}, count(*) AS n FROM b_fact GROUP BY {_KEY} HAVING count(*) > 1", lambda f: logs.key_violations(f, facts.FACT_KEY))
-over("q3_orphans", "b_evidence b_fact", "SELECT fact_id, source_id, block_key FROM b_evidence e ANTI JOIN b_fact f USING (fact_id)", lambda e, f: logs.orphans(e, f, "fact_id"))
+over("q3_orphans", "b_evidence b_fact", "SELECT fact_id, source_id, block_key FROM b_evidence e ANTI JOIN (SELECT fact_id FROM b_fact WHERE fact_status <> 'rejected') f USING (fact_id)", lambda e, f: logs.orphans(e, f.where("fact_status <> 'rejected'"), "fact_id"))
