@@ -8,7 +8,7 @@ from ..functions import ranking, text, url
 from ..operators import blocks, structured
 from ..sources import snapshots
 from .bindings import bound
-from .profiles import _clean
+from .profiles import _clean, _match
 from .registry import _DOMAIN, _JOINED, _PART, _in, over, query, rows_only
 
 
@@ -121,6 +121,7 @@ _LIST = ", ".join(f"{{'k': '{k}', 'v': {c}}}" for k, c in _FACTS.items())
 _STRUCTURED = f"SELECT company_id, block_key, '$' AS path, f.k AS field_key, f.v AS value FROM (SELECT company_id, block_key, unnest([{_LIST}]) AS f FROM (SELECT *, CAST(text_content AS JSON) AS j FROM b_rich_json)) WHERE f.v IS NOT NULL"
 over("f2_structured_facts", "b_rich_json", _STRUCTURED, lambda b: structured.structured_facts(b, ["company_id", "block_key"]))
 over("f2_all_objects", "b_rich_json", _STRUCTURED + " UNION ALL SELECT company_id, block_key, '$.product', 'identity.legal_name', '\"Thing\"' FROM b_rich_json UNION ALL SELECT company_id, block_key, '$.ceo', 'identity.legal_name', concat('\"', json(text_content) ->> '$.ceo.name', '\"') FROM b_rich_json", lambda b: structured.structured_facts(b, ["company_id", "block_key"], strict_reference=True))
+over("f3_gated_blocks", "b_rich_json b_company", f"SELECT company_id, block_key FROM (SELECT j.company_id, block_key, text_content, company_name, tax_id FROM b_rich_json j JOIN b_company c ON c.workspace_id = j.workspace_id AND c.company_id = j.company_id) WHERE {_match('lower(text_content)')} >= 0.3", lambda b, c: structured.gate_blocks(b, c).select("company_id", "block_key"))
 over("c11_person_values", "b_rich_json", "SELECT company_id, text_content ->> '$.ceo.name' AS name, text_content ->> '$.ceo.jobTitle' AS role FROM b_rich_json", lambda b: b.select("company_id", structured.person_value(F.expr("try_variant_get(try_parse_json(text_content), '$.ceo', 'variant')")).alias("p")).select("company_id", "p.name", "p.role"))
 
 _U = "trim(coalesce(url, ''))"
