@@ -37,6 +37,22 @@ c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce({_LENGTHS.
   coalesce(n, 0) AS n_repeat_words, CAST(coalesce({_LENGTHS.format('lines')}, 0) AS BIGINT) AS n_chars_judged,
   CAST(coalesce({_LENGTHS.format(f'list_filter(lines, lambda x: {_BROKEN})')}, 0) AS BIGINT) AS n_chars_lost FROM s LEFT JOIN rep USING (doc_id))
 SELECT *, NOT base_failed AND n_chars_lost * 100 <= n_chars_judged * 50 AS kept FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM c)
+""",
+    "op3_line_dedup": f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT DISTINCT doc_id, i, regexp_extract_all(l[i], '[^{_SP}]+') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d WHERE text IS NOT NULL)),
+k AS (SELECT (coalesce(doc_id, -1), i) AS place, doc_id, i, w, array_to_string(w, ' ') AS line FROM x WHERE len(w) > 0),
+f AS (SELECT line, any_value(w) AS w, min(place) AS place FROM k GROUP BY line),
+v AS (SELECT line, place, n, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:]), ' ') AS cut FROM (SELECT *, len(w) AS n, unnest(range(1, len(w) + 1)) AS j FROM f WHERE len(w) >= 5)),
+replaced AS (SELECT n, j, cut, min(place) AS least FROM v GROUP BY n, j, cut),
+longer AS (SELECT cut, min(place) AS least FROM v GROUP BY cut),
+near AS (SELECT line FROM v JOIN replaced USING (n, j, cut) WHERE least < place
+  UNION SELECT f.line FROM f JOIN longer ON cut = f.line WHERE len(w) >= 5 AND least < place
+  UNION SELECT v.line FROM v JOIN f ON f.line = v.cut WHERE len(f.w) >= 5 AND f.place < v.place),
+gone AS (SELECT doc_id, list(i) AS lines FROM k JOIN (SELECT line, place AS first_place FROM f) USING (line) WHERE place <> first_place OR line IN (SELECT line FROM near) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(lines, i)), chr(10)) END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN gone ON gone.doc_id IS NOT DISTINCT FROM d.doc_id
 """,
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
