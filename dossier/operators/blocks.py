@@ -83,29 +83,30 @@ class _Walk(HTMLParser):
 FRAMES = "what string, name string, content string, extra string, ord int"
 
 
-def html_frames(pages: DataFrame, id_: str = "page_id") -> DataFrame:
-    """id, what, name, content, extra, ord of all that a page (id, html) is made of, in the order in which blocks are built.
+def html_frames(pages: DataFrame, id_: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, what, name, content, extra, ord of all that a page (id, html) is made of, in the order in which blocks are built, and the columns to keep.
 
     what is json_ld (content: the payload with its keys in order, extra: its number), meta (name, content), element (name:
     the tag, content), link (content: its text, extra: href), plain (the visible text) or language. White space is
     collapsed. A null html gives no rows; a page that can't be read to its end gives what was read.
     """
-    kind = pages.schema[id_].dataType.simpleString()
+    own = (id_, *keep)
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in own)
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 32):
                 part = b.slice(at, 32)
                 whose, rows = [], []
-                for k, html in enumerate(part.column(1).to_pylist()):
-                    own = frames_of(html)
-                    whose += [k] * len(own)
-                    rows += own
-                ids = part.column(0).take(pa.array(whose, pa.int64()))
+                for k, html in enumerate(part.column(len(own)).to_pylist()):
+                    found = frames_of(html)
+                    whose += [k] * len(found)
+                    rows += found
+                index = pa.array(whose, pa.int64())
                 columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array([r[4] for r in rows], pa.int32())], [id_, "what", "name", "content", "extra", "ord"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(index) for i in range(len(own))), *columns, pa.array([r[4] for r in rows], pa.int32())], [*own, "what", "name", "content", "extra", "ord"])
 
-    return pages.select(id_, "html").mapInArrow(run, f"`{id_}` {kind}, {FRAMES}")
+    return pages.select(*own, "html").mapInArrow(run, f"{kinds}, {FRAMES}")
 
 
 def frames_of(html: str | None) -> list[tuple[str, str | None, str, str | None, int]]:
@@ -139,8 +140,8 @@ def frames_of(html: str | None) -> list[tuple[str, str | None, str, str | None,
     return out
 
 
-def number_blocks(frames: DataFrame, id_: str = "page_id") -> DataFrame:
-    """id, block_key, block_type, content, extra, ord and section_path of the blocks that frames make.
+def number_blocks(frames: DataFrame, id_: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, block_key, block_type, content, extra, ord, section_path and the columns to keep of the blocks that frames make.
 
     Keys count within their prefix. A heading of level L keeps L - 1 of the headings before it, fewer if there are fewer:
     of the i-th heading the stack is i + min(0, least level_j - j for j up to i) long, which is its place in the path, and
@@ -167,7 +168,7 @@ def number_blocks(frames: DataFrame, id_: str = "page_id") -> DataFrame:
     rows = rows.withColumn("section_path", path).where(F.col("what").isin("json_ld", "meta", "element", "link")).withColumn("__prefix", prefix)
     number = F.row_number().over(Window.partitionBy(id_, "__prefix").orderBy("ord"))
     key = F.concat(F.col("__prefix"), F.lit("_"), F.lpad(number.cast("string"), 4, "0"))
-    return rows.select(id_, key.alias("block_key"), kind.alias("block_type"), content.alias("content"), "extra", "ord", "section_path")
+    return rows.select(id_, key.alias("block_key"), kind.alias("block_type"), content.alias("content"), "extra", "ord", "section_path", *keep)
 
 
 def html_blocks(pages: DataFrame, id_: str = "page_id") -> DataFrame:
@@ -176,19 +177,17 @@ def html_blocks(pages: DataFrame, id_: str = "page_id") -> DataFrame:
     Links are resolved against the page's url and shown by it where they have no text. A page without a title, heading,
     paragraph, list or table has its visible text as one paragraph.
     """
-    frames = html_frames(pages, id_)
-    said = frames.where(F.col("what").isin("plain", "language")).groupBy(id_).agg(
-        F.max(F.when(F.col("what") == "plain", F.col("content"))).alias("__plain"), F.max(F.when(F.col("what") == "language", F.col("content"))).alias("__tag")
-    )
-    body = frames.groupBy(id_).agg(F.max((F.col("what") == "element") | (F.col("what") == "json_ld")).alias("__has"))
-    lone = said.join(body, id_).where("NOT __has AND __plain <> ''")
-    lone = lone.select(id_, F.lit("paragraph_0001").alias("block_key"), F.lit("paragraph").alias("block_type"), F.col("__plain").alias("content"), F.lit(None).cast("string").alias("extra"), F.lit(0).alias("ord"), F.array().cast("array<string>").alias("section_path"))
-    blocks = number_blocks(frames, id_).unionByName(lone)
-    blocks = blocks.join(pages.select(id_, "url"), id_).join(said, id_, "left")
+    # pages are walked once; what is said of a whole page comes by windows over its own rows
+    page = Window.partitionBy(id_)
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("content"))).over(page)
+    frames = html_frames(pages, id_, ("url",)).withColumns({"__plain": of("plain"), "__tag": of("language"), "__has": F.max(F.col("what").isin("element", "json_ld")).over(page)})
+    lone = (F.col("what") == "plain") & ~F.col("__has")
+    frames = frames.withColumn("name", F.when(lone, "p").otherwise(F.col("name"))).withColumn("what", F.when(lone, "element").otherwise(F.col("what")))
+    blocks = number_blocks(frames, id_, ("url", "__plain", "__tag"))
     href = F.when(F.col("block_type") == "link", url.resolve(F.col("extra"), F.col("url")))
-    shown = F.when((F.col("block_type") == "link") & (F.col("content") == ""), href).otherwise(F.col("content"))
+    blocks = blocks.withColumn("href", href).withColumn("text_content", F.when((F.col("block_type") == "link") & (F.col("content") == ""), F.col("href")).otherwise(F.col("content")))
     language = text.infer_language(F.coalesce("__plain", F.lit("")), tag=F.col("__tag"))
-    return blocks.select(id_, "block_key", "block_type", shown.alias("text_content"), F.sha2(shown, 256).alias("block_hash"), language.alias("language"), "section_path", href.alias("href"), "ord")
+    return blocks.select(id_, "block_key", "block_type", "text_content", F.sha2("text_content", 256).alias("block_hash"), language.alias("language"), "section_path", "href", "ord")
 
 
 def json_blocks(snapshots: DataFrame, id_: str = "snapshot_id", content: str = "content") -> DataFrame:
@@ -254,23 +253,33 @@ def parse_summary(snapshots: DataFrame, blocks: DataFrame, id_: str = "snapshot_
     return out.select(id_, F.lit(version).alias("parser_version"), F.coalesce("__language", "language").alias("language"), status.alias("parser_status"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
 
 
+def _roots(rows: DataFrame, id_: list[str], json_column: str) -> DataFrame:
+    node = rows.select(*id_, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(json_column).alias("value"), F.lit(True).alias("open"))
+    return node.where("value IS NOT NULL")
+
+
+def _step(nodes: DataFrame, id_: list[str], enter: Column, keep_entered: bool) -> DataFrame:
+    """The nodes after one level more: open ones that enter holds for give their children, all others stay as they are."""
+    path, value = F.col("path"), F.col("value")
+    node = lambda p, k, v, is_open: F.struct(p.alias("path"), k.cast("string").alias("key"), v.alias("value"), F.lit(is_open).alias("open"))
+    members = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: node(F.concat(path, F.lit("."), e["key"]), e["key"], e["value"], True))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), F.lit(None), x, True))
+    own = F.array(node(path, F.col("key"), value, False))
+    below = F.when(F.schema_of_variant(value).startswith("OBJECT"), members).otherwise(items)
+    entered = F.concat(own, below) if keep_entered else below
+    return nodes.select(*id_, F.explode(F.when(F.col("open") & enter, entered).otherwise(own)).alias("n")).select(*id_, "n.*")
+
+
 def walk_json(rows: DataFrame, id_: list[str], json_column: str, depth: int = 8) -> DataFrame:
     """id columns, path, key, kind, value (variant) of every node of a JSON payload, level by level, at most depth levels.
 
     kind is OBJECT, ARRAY or LEAF. Paths look like $.a.b[0]; what can't be read gives no rows.
     """
-    kind = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), "OBJECT").when(F.schema_of_variant(v).startswith("ARRAY"), "ARRAY").otherwise("LEAF")
-    spark = rows.sparkSession
-    level = rows.select(*id_, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(json_column).alias("value")).where("value IS NOT NULL").withColumn("kind", kind(F.col("value")))
-    out = level
-    names = ", ".join(f"t.{c}" for c in id_)
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^(OBJECT|ARRAY)", 1)
+    nodes = _roots(rows, id_, json_column)
     for _ in range(depth):
-        level = spark.sql(
-            f"SELECT {names}, CASE WHEN t.kind = 'ARRAY' THEN concat(t.path, '[', e.pos, ']') ELSE concat(t.path, '.', e.key) END AS path, e.key AS key, e.value AS value FROM (SELECT * FROM {{level}} WHERE kind <> 'LEAF') t, LATERAL variant_explode(t.value) e",
-            level=level,
-        ).withColumn("kind", kind(F.col("value")))
-        out = out.unionByName(level)
-    return out
+        nodes = _step(nodes, id_, kind != "", True)
+    return nodes.select(*id_, "path", "key", "value", F.coalesce(F.nullif(kind, F.lit("")), F.lit("LEAF")).alias("kind"))
 
 
 def json_paths(rows: DataFrame, id_: list[str], json_column: str, depth: int = 8) -> DataFrame:
@@ -284,19 +293,13 @@ def redacted_paths(rows: DataFrame, id_: list[str], json_column: str, depth: int
 
     Objects are entered, lists stand as they are.
     """
-    spark, names = rows.sparkSession, ", ".join(f"t.{c}" for c in id_)
     secret = F.coalesce(text.redact(F.col("key"), F.lit("")) == "[REDACTED]", F.lit(False))
-    is_object = F.schema_of_variant("value").startswith("OBJECT")
-    level = rows.select(*id_, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(json_column).alias("value")).where("value IS NOT NULL")
-    out = None
-    for n in range(depth + 1):
-        level = level.withColumn("secret", secret).withColumn("inner", ~F.col("secret") & is_object & (F.to_json("value") != "{}"))
-        leaves = level.where(~F.col("inner") | F.lit(n == depth)).select(*id_, "path", F.when(F.col("secret"), F.lit("[REDACTED]")).otherwise(F.to_json("value")).alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        if n < depth:
-            level = spark.sql(f"SELECT {names}, concat(t.path, '.', e.key) AS path, e.key AS key, e.value AS value FROM (SELECT * FROM {{level}} WHERE inner) t, LATERAL variant_explode(t.value) e", level=level)
-    return out
-
+    kind = F.schema_of_variant("value")
+    inner = ~secret & kind.startswith("OBJECT") & (kind != "OBJECT<>")
+    nodes = _roots(rows, id_, json_column)
+    for _ in range(depth):
+        nodes = _step(nodes, id_, inner, False)
+    return nodes.select(*id_, "path", F.when(secret, F.lit("[REDACTED]")).otherwise(F.to_json("value")).alias("value"))
 
 
 def as_text(value: Column) -> Column:
