@@ -24,6 +24,7 @@ import uuid
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,22 +139,22 @@ class Automaton:
         self.names = table["names"][0].as_py()
         self.sizes = sorted({int(n) for n in np.unique(arrays["key"] % (window + 1))})
 
-    def matches(self, uniques: list[bytes], codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, last word, items) of every window met in texts laid one after the other from starts on.
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, -1 for those that no item has."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
 
-        codes are the words as numbers of uniques. A window's words come in order of their last one.
+    def matches(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
+        """(first word, last word, items) of every window met in texts, as numbers of their words, laid one after the other from starts on.
+
+        A window's words come in order of their last one.
         """
-        if not self.sizes or not len(codes):
-            return
-        own = np.fromiter((self.vocabulary.get(w, -1) for w in uniques), np.int64, len(uniques))
-        if not (own >= 0).any():
+        if not self.sizes or not (ids >= 0).any():
             return
-        ids = own[codes]
         known, v = ids >= 0, max(1, len(self.vocabulary))
         joined = known[:-1] & known[1:]
-        joined[starts[(starts > 0) & (starts < len(codes))] - 1] = False
+        joined[starts[(starts > 0) & (starts < len(ids))] - 1] = False
         some = np.flatnonzero(joined)
-        pairs = ids[some] * v + ids[some + 1]
+        pairs = ids[some].astype(np.int64) * v + ids[some + 1]
         at = np.searchsorted(self.pair, pairs)
         joined[some] = (self.pair[np.minimum(at, len(self.pair) - 1)] == pairs) if len(self.pair) else False
         # runs of neighbours that may stand together
@@ -245,19 +246,21 @@ def automaton(file: str, window: int) -> Automaton:
 
 def find(texts: list[bytes | None], files: list[str], window: int) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """(number of words, ranges of hit words, items met) of each text, block after block."""
-    numbers, codes = _Numbers(), []
-    for t in texts:
-        w = normalised(t)
-        codes.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
+    blocks = [automaton(file, window) for file in files] if len(files) == 1 else []
+    every = _Numbers()
+    # with several blocks, words are looked up once each and block
+    number = blocks[0].numbers if blocks else lambda w: np.fromiter(map(every.__getitem__, w), np.int32, len(w))
+    codes = [number(normalised(t)) for t in texts]
     counts = np.fromiter(map(len, codes), np.int64, len(codes))
-    starts, uniques = np.cumsum(counts) - counts, list(numbers)
+    starts, uniques = np.cumsum(counts) - counts, list(every)
     codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
     ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
     met: list[set[str]] = [set() for _ in texts]
     ends = starts + counts
     for file in files:
         k = 0
-        for first, last, names in automaton(file, window).matches(uniques, codes, starts):
+        block = automaton(file, window)
+        for first, last, names in block.matches(codes if blocks else block.numbers(uniques)[codes] if uniques else codes, starts):
             if not starts[k] <= first < ends[k]:
                 k = int(np.searchsorted(ends, first, "right"))
             own, base = ranges[k], int(starts[k])
