@@ -69,7 +69,9 @@ def shuffled(docs: DataFrame, n_shards: int = 40, *, seed: int = 7, bucket_bytes
         return bucket.append_column("place", pa.array(np.arange(len(order), dtype=np.int64)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema) + ", place bigint"
-    dealt = scattered.repartition(min(sum(buckets), 100_000), "shard", "bucket")
+    # keys fall on tasks by hash: where buckets are few, more tasks than buckets keep several from one
+    n_tasks = max(sum(buckets), min(4 * sum(buckets), 2000))
+    dealt = scattered.repartition(min(n_tasks, 100_000), "shard", "bucket")
     return materialise(dealt.groupBy("shard", "bucket").applyInArrow(fisher_yates, schema))
 
 
