@@ -31,53 +31,45 @@ class _Walk(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, dict, list[str], int]] = []
-        self.rows: list[tuple[str, str, str]] = []  # what, name, content
+        super().__init__()
+        self.open: list[tuple[str, dict[str, str], list[str]]] = []  # tag, attributes, text
+        self.elements: list[tuple[str, str]] = []
         self.links: list[tuple[str, str]] = []
         self.meta: list[tuple[str, str]] = []
-        self.scripts: list[str] = []
+        self.scripts: list[tuple[str, str]] = []  # type, text
         self.plain: list[str] = []
-        self.language, self.script_type, self.script = "", None, []
+        self.language = ""
 
     def handle_starttag(self, tag, attrs):
-        own = {k.lower(): v or "" for k, v in attrs}
-        if tag == "html" and own.get("lang", "").strip():
-            self.language = own["lang"].strip().lower().replace("_", "-")[:16]
-        elif tag == "meta":
-            name, content = own.get("name") or own.get("property") or own.get("http-equiv", ""), own.get("content", "").strip()
-            if name and content:
-                self.meta.append((name.strip(), content))
-        elif tag == "script":
-            self.script_type, self.script = own.get("type", "").lower().strip(), []
-        self.open.append((tag, own, [], len(self.open)))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
+        own = {k: v or "" for k, v in attrs}
+        said = lambda *names: next((own[n].strip() for n in names if own.get(n, "").strip()), "")
+        if tag == "html":
+            self.language = said("lang").lower().replace("_", "-")[:16] or self.language
+        if tag == "meta" and said("name", "property", "http-equiv") and said("content"):
+            self.meta.append((said("name", "property", "http-equiv"), said("content")))
+        self.open.append((tag, own, []))
 
     def handle_data(self, data):
-        if self.script_type is not None:
-            self.script.append(data)
-        else:
+        within = {tag for tag, *_ in self.open}
+        if "script" not in within:
             self.plain.append(data)
-        for tag, _, parts, _ in self.open:
-            if tag not in HIDDEN:
+        for tag, _, parts in self.open:
+            if tag == "script" or tag not in HIDDEN:
                 parts.append(data)
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
-            _, own, parts, _ = self.open[at]
-            del self.open[at:]
-            if tag in ELEMENTS:
-                self.rows.append(("element", tag, " ".join(parts)))
-            if tag == "a" and own.get("href", "").strip():
-                self.links.append((own["href"].strip(), " ".join("".join(parts).split())))
-        if tag == "script":
-            if self.script_type == "application/ld+json" and "".join(self.script).strip():
-                self.scripts.append("".join(self.script).strip())
-            self.script_type = None
+        tags = [t for t, *_ in self.open]
+        if tag not in tags:
+            return
+        at = len(tags) - 1 - tags[::-1].index(tag)
+        _, own, parts = self.open[at]
+        self.open = self.open[:at]
+        if tag in ELEMENTS:
+            self.elements.append((tag, " ".join(parts)))
+        elif tag == "script":
+            self.scripts.append((own.get("type", "").strip().lower(), "".join(parts)))
+        elif tag == "a" and own.get("href", "").strip():
+            self.links.append((own["href"].strip(), " ".join("".join(parts).split())))
 
 
 FRAMES = "what string, name string, content string, extra string, ord int"
@@ -124,15 +116,16 @@ def frames_of(html: str | None) -> list[tuple[str, str | None, str, str | None,
         if content:
             out.append((what, name, content, extra, len(out)))
 
-    for n, raw in enumerate(walk.scripts, 1):
+    payloads = [raw for kind, raw in walk.scripts if kind == "application/ld+json" and raw.strip()]
+    for n, raw in enumerate(payloads, 1):
         try:
             add("json_ld", None, json.dumps(json.loads(raw), ensure_ascii=False, sort_keys=True), str(n))
         except ValueError:
             continue
     for name, content in walk.meta:
         add("meta", name, content)
-    for what, name, content in walk.rows:
-        add(what, name, content)
+    for name, content in walk.elements:
+        add("element", name, content)
     for href, label in walk.links:
         out.append(("link", None, label, href, len(out)))
     add("plain", None, " ".join(walk.plain))
