@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a character class without brackets, and as plain characters.
@@ -63,10 +63,38 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(rows: DataFrame, max_broadcast_rows: int = 400_000) -> DataFrame:
-    """The rows (of a few numbers each), to be joined by broadcast if a count shows that they are few."""
+def few(rows: DataFrame, max_broadcast_rows: int = 400_000, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows, to be joined by broadcast if a count shows that they are few, and a sum of their texts that they are short."""
     rows = materialise(rows)
-    return F.broadcast(rows) if rows.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else rows
+    width = sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in rows.schema if f.dataType.typeName() in ("string", "binary")), F.lit(16 * len(rows.columns)).cast("long"))
+    n, size = rows.limit(max_broadcast_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(rows) if n <= max_broadcast_rows and size <= max_broadcast_bytes else rows
+
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    """The rows, written out, with the file that each stands in and its place there."""
+    return materialise(rows).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """The rows with number, their place from 0 within their group by an order, without a task for each group.
+
+    All rows are sorted by group and order over as many tasks as they need and written; a row's number follows from the
+    rows of the files before its own. Rows that tie come in the order of their place in the input's written form, so that
+    a third of all rows may be equal and still go to many tasks. What is broadcast has a row for each task that wrote.
+    """
+    salt = F.xxhash64("__file", "__at")
+    placed = _with_place(_with_place(rows).orderBy(*[F.asc_nulls_first(g) for g in group], *order, salt).drop("__file", "__at"))
+    part = F.regexp_extract("__file", r"part-(\d+)", 1).cast("int")
+    files = placed.groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
+    before = Window.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    out = placed.join(F.broadcast(starts), "__file").withColumn("number", F.col("__start") + F.col("__at")).drop("__file", "__at", "__start")
+    if not group:
+        return out
+    first = few(out.groupBy(*group).agg(F.min("number").alias("__first"))).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], "__first")
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    return out.join(first, same).withColumn("number", F.col("number") - F.col("__first")).select(*rows.columns, "number")
 
 
 def stripped(text: Column) -> Column:

@@ -25,6 +25,14 @@ _folded = lambda c: _FOLDED.replace("text", c)
 _TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
 _PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
 
+_part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+_leaf = lambda n="n_chars": f"sha256({' || '.join(_part(c) for c in ('doc_id', 'source', 'lang', n, 'text'))})"
+#: The CRC-32 of the decimal doc_id, bit by bit.
+_BIT = "lambda x, _: xor(x >> 1, (x & 1) * 3988292384)"
+_BYTE = f"lambda z, c: list_reduce(list_concat([xor(z, c)], CAST(range(8) AS BIGINT[])), {_BIT})"
+_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+_CRC32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), {_BYTE}), 4294967295)"
+
 ORACLE_SQL = {
     "op2_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -95,5 +103,40 @@ every AS (SELECT doc, string_agg(DISTINCT label, ',' ORDER BY label) AS labels F
 SELECT doc AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
 FROM d LEFT JOIN base USING (doc) LEFT JOIN own USING (doc) LEFT JOIN every USING (doc) LEFT JOIN top USING (doc)
+""",
+    "op11_mixing": rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^{_SP}]+')), 0) AS BIGINT) AS size,
+  CAST('0x' || md5(concat_ws(':', '0', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(source, '-'), coalesce(text, '')))[1:15] AS BIGINT) AS h FROM documents),
+s AS (SELECT source, source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+t AS (SELECT *, cap / weight AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+u AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio RANGE UNBOUNDED PRECEDING EXCLUDE GROUP), 0)) / sum(weight) OVER (ORDER BY ratio RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > ratio AS above FROM t),
+v AS (SELECT *, CASE WHEN above THEN cap ELSE least(cap, (total - coalesce(sum(cap) FILTER (above) OVER (), 0)) * weight / sum(weight) FILTER (NOT above) OVER ()) END AS target FROM u),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM v),
+x AS (SELECT doc_id, size, source_size, target, passes, target - passes * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN before + size / 2.0 <= rest AND rest > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+""",
+    "op12_merkle": f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf()} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(level, lang, pos, n, digest) AS (SELECT 0, lang, pos, n, leaf FROM p
+  UNION ALL SELECT level + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, pos, n, digest) AS (SELECT 0, pos, n, subroot FROM s
+  UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+a AS (SELECT lang, leaf, pos, unnest(range(40)) AS level, n FROM p),
+b AS (SELECT lang, pos, unnest(range(40)) AS level, n FROM s),
+x AS (SELECT a.lang, a.pos, a.level, CASE WHEN (a.pos >> a.level) % 2 = 1 THEN 'b' ELSE 'a' END || coalesce(t.digest, '') AS step
+  FROM a LEFT JOIN t ON t.lang IS NOT DISTINCT FROM a.lang AND t.level = a.level AND t.pos = xor(a.pos >> a.level, 1) WHERE (1::BIGINT << a.level) < a.n),
+y AS (SELECT b.lang, b.level, CASE WHEN (b.pos >> b.level) % 2 = 1 THEN 'b' ELSE 'a' END || coalesce(u.digest, '') AS step
+  FROM b LEFT JOIN u ON u.level = b.level AND u.pos = xor(b.pos >> b.level, 1) WHERE (1::BIGINT << b.level) < b.n),
+own AS (SELECT lang, pos, list(step ORDER BY level) AS steps FROM x GROUP BY lang, pos),
+above AS (SELECT lang, list(step ORDER BY level) AS steps FROM y GROUP BY lang),
+q AS (SELECT p.*, subroot, list_concat(coalesce(own.steps, []), coalesce(above.steps, [])) AS steps FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN own ON own.lang IS NOT DISTINCT FROM p.lang AND own.pos = p.pos LEFT JOIN above ON above.lang IS NOT DISTINCT FROM p.lang),
+r AS (SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(changed, leaf)], steps), lambda z, x: CASE WHEN x[1] = 'b' THEN sha256(x[2:] || z) ELSE sha256(z || x[2:]) END) AS folded_root FROM q)
+SELECT *, folded_root = root AS verified FROM r
 """,
 }
