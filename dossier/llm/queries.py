@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, merkle, mixing, packing, quality, sharding, simhash, toxicity, url_filters, warc
+from . import alignment, decontaminate, license_scan, line_dedup, merkle, mixing, packing, quality, sharding, simhash, toxicity, url_filters, warc
 from .common import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -77,10 +77,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_quality_rules, op3_line_dedup, op4_sharding, op5_toxicity, op6_simhash, op7_packing, op8_decontamination, op9_warc, op10_license_scan,
-        op11_mixing, op12_merkle,
+        op11_mixing, op12_merkle, op13_alignment,
     )
 }
