@@ -295,14 +295,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_bytes: int = 48 << 20) -> DataFrame:
-    """doc_id, y, text (binary) of the labelled texts to learn from: not held out, one an id and label, bounded in rows and bytes."""
+    """doc_id, y, text (binary) of the labelled texts to learn from: not held out, one an id and label, bounded in rows and bytes.
+
+    Of each class the shortest texts are taken that max_bytes / 2 hold together, so a text too long is left out and no other.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     parts = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
     chosen = parts[0].union(parts[1])  # at most 2 * max_per_class rows, so fit to broadcast
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")  # two windows of max_per_class rows
-    rows = rows.withColumn("__bytes", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    shortest = Window.partitionBy("y").orderBy(F.octet_length("text"), F.xxhash64("doc_id"), "doc_id")  # two windows of max_per_class rows
+    rows = rows.withColumn("__bytes", F.sum(F.octet_length("text").cast("long")).over(shortest.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where(F.col("__bytes") <= max_bytes // 2).drop("__bytes")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 from dossier.llm import toxicity
@@ -114,3 +116,13 @@ def test_odd_tables(spark):
     rows = toxicity.score(docs, labels).collect()
     assert len(rows) == 4 and rows[0]["score"] == rows[1]["score"] and set(rows[0].asDict()) == {"doc_id", "held_out", "score", "predicted"}
     assert toxicity.score(docs.limit(0), labels).count() == 0 and toxicity.score(docs, labels.limit(0)).count() == 4
+
+
+def test_a_very_long_labelled_text_is_left_out_and_no_other(spark):
+    rows = [(i, f"bad ugly words {i}" if i % 2 else f"kind good words {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(61)], "doc_id bigint, quality int, toxic int")
+    docs = lambda more: spark.createDataFrame(rows + more, "doc_id bigint, text string")
+    take = lambda df: sorted((r["doc_id"], r["y"]) for r in toxicity.sample(df, labels, max_bytes=10_000).collect())
+    first = next(i for i in (61, 63, 65, 67, 69, 71) if zlib.crc32(str(i).encode()) % 5)
+    labels = labels.union(spark.createDataFrame([(first, 1, 1)], labels.schema))
+    assert take(docs([(first, "long " * 100_000)])) == take(docs([])) and {y for _, y in take(docs([]))} == {0, 1}
