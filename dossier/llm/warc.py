@@ -3,7 +3,7 @@
 Each record is a gzip member of its own. The reader's tasks each take a range of bytes, look for the magic bytes of a gzip
 member, accept a place only if what it decompresses to begins with a WARC header, and own the records that start in their
 range, reading past its end for the last one. So one large file is read by many tasks, each holding a block of bytes and
-one record. A member with a WARC header that is cut short or damaged is passed over and can be asked for
+one record. A member with a WARC header that is cut short or damaged, or of which a record is, is passed over and can be asked for
 (``with_damaged``); the reader goes on at the next magic bytes.
 
 Which records are revisits follows from ids and digests alone; payloads move only where more digests repeat than a
@@ -22,6 +22,7 @@ empty table gives no file; columns besides page_id, url and html are not looked
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -38,7 +39,7 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "file string, records bigint, bytes bigint"
-RECORD = "page_id string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
+RECORD = "page_id string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to string, record_id string"
 
 
 def decide(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
@@ -87,14 +88,47 @@ def encode_record(row: dict) -> bytes:
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def decode_record(raw: bytes) -> dict:
-    head, block = raw.split(b"\r\n\r\n", 1)
-    fields = dict(x.partition(": ")[::2] for x in head.decode().split("\r\n")[1:])
-    out = {"page_id": _plain(fields.get("X-Page-ID")), "url": _plain(fields.get("WARC-Target-URI")), "record_type": fields["WARC-Type"], "refers_to": _plain(fields.get("X-Refers-To-Page"))}
-    if out["record_type"] == "revisit":
-        return out | {"payload": None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
-    payload = block[: int(fields["Content-Length"])].split(b"\r\n\r\n", 1)[1]
-    return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by their names in small letters; a line that starts with white space goes on with the one before."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _hex_digest(said: str | None) -> str | None:
+    """The hex digits of a SHA-1 that is given in them or, as is usual, in base 32; other digests as they stand."""
+    name, _, value = (said or "").partition(":")
+    if name.lower() != "sha1":
+        return said
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def decode_records(raw: bytes) -> list[dict]:
+    """The records of a gzip member, which are one unless the whole file is a member; ValueError if one is cut short.
+
+    Only blocks of HTTP messages have headers of their own before the payload; of all others the block is the payload.
+    """
+    out, at = [], 0
+    while raw.startswith(b"WARC/", at):
+        end = raw.find(b"\r\n\r\n", at)
+        fields = _fields(raw[at : max(end, at)])
+        start, size = end + 4, int(fields.get("content-length", -1))
+        block = raw[start : start + size]
+        if end < 0 or size < 0 or len(block) < size:
+            raise ValueError("a record is cut short")
+        kind = fields.get("warc-type", "").lower()
+        row = {"page_id": _plain(fields.get("x-page-id")), "url": _plain(fields.get("warc-target-uri")), "record_type": kind, "record_id": fields.get("warc-record-id"), "refers_to": _plain(fields.get("x-refers-to-page", fields.get("warc-refers-to")))}
+        if kind == "revisit":
+            length = fields.get("x-payload-length", "")
+            out.append(row | {"payload": None, "payload_bytes": int(length) if length.isdigit() else None, "payload_digest": _hex_digest(fields.get("warc-payload-digest"))})
+        else:
+            payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").lower().startswith("application/http") else block
+            out.append(row | {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()})
+        at = start + size
+        while raw.startswith(b"\r\n", at):
+            at += 2
+    if not out or at < len(raw):
+        raise ValueError("what follows is no record")
+    return out
 
 
 def write(records: DataFrame, path: str) -> DataFrame:
@@ -171,8 +205,16 @@ def scan_range(data, start: int, end: int, size: int, block: int = 1 << 20, feed
         at = fed - len(unpack.unused_data) if whole else at + 1
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes of the archives at a path (a folder or a pattern), as read wants them; none is opened."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
 def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20, with_damaged: bool = False) -> DataFrame:
-    """The records of the manifest's files (file, bytes), each file read in ranges of split_bytes.
+    """The records of the manifest's files (file, bytes; those of files() will do), each file read in ranges of split_bytes.
+
+    Archives of other writers have records of further types (warcinfo, request, metadata, ...), revisits that name a record
+    in place of a page, and no page_id.
 
     with_damaged adds a row for each damaged member, of record_type damaged, with its place in payload_bytes.
     """
@@ -181,7 +223,7 @@ def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20
     n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     ranges = ranges.repartition(min(int(n), 20_000), F.col("file"), F.col("start"))
     names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
     batch = lambda held: pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
 
     def run(batches):
@@ -191,11 +233,13 @@ def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20
                 with fs.open_input_file(path) as data:
                     held, size = [], 0
                     for place, raw in scan_range(data, row["start"], row["start"] + split_bytes, row["bytes"]):
-                        if raw is not None:
-                            held.append(decode_record(raw))
+                        try:
+                            if raw is None:
+                                raise ValueError("a member is damaged")
+                            held += decode_records(raw)
                             size += len(raw)
-                        elif with_damaged:
-                            held.append({"record_type": "damaged", "payload_bytes": place})
+                        except ValueError:
+                            held += [{"record_type": "damaged", "payload_bytes": place}] * with_damaged
                         if size > 4 << 20:
                             yield batch(held)
                             held, size = [], 0
@@ -209,4 +253,4 @@ def round_trip(pages: DataFrame, *, path: str | None = None, min_revisit_bytes:
     """Writes pages as WARC (to path, else the scratch folder) and reads the records back, ids in the type of page_id."""
     manifest = write(decide(pages, min_revisit_bytes), path or scratch_dir(pages.sparkSession))
     kind = pages.schema["page_id"].dataType
-    return read(pages.sparkSession, manifest, split_bytes=split_bytes).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+    return read(pages.sparkSession, manifest, split_bytes=split_bytes).drop("record_id").withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

@@ -66,7 +66,7 @@ def test_damaged_members_are_told_and_the_rest_is_read(spark, tmp_path):
         assert warc.read(spark, manifest, split_bytes=split).count() == 5
     # small blocks and feeds find the same members
     found = [raw for _, raw in warc.scan_range(io.BytesIO(data), 0, len(data), len(data), block=100, feed=7) if raw]
-    assert [warc.decode_record(r)["payload"] for r in found] == texts
+    assert [row["payload"] for r in found for row in warc.decode_records(r)] == texts
 
 
 def test_revisits_name_the_record_of_the_response(spark, tmp_path):
@@ -92,3 +92,33 @@ def test_odd_pages(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
     same = spark.createDataFrame([(None, "u", "s" * 2000), (None, "v", "s" * 2000)], PAGES)
     assert {r["record_type"] for r in warc.round_trip(same).collect()} == {"response"}
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Records of all types, headers in any case and folded, base-32 digests, several records a member."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def record(kind, block, *more, version="WARC/1.0"):
+        head = [version, f"WARC-Type: {kind}", f"warc-record-id: <urn:x:{kind}>", *more, f"content-length:{len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    zipped = lambda raw: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(raw) + z.flush()
+    digest = "sha1:" + __import__("base64").b32encode(hashlib.sha1(b"<p>x").digest()).decode()
+    members = [
+        record("warcinfo", b"software: other/1.0\r\nformat: WARC File Format 1.0\r\n", "Content-Type: application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: a.example\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a.example/"),
+        record("response", http + b"<p>x", "CONTENT-TYPE: application/http;msgtype=response", "WARC-Target-URI:\r\n http://a.example/", version="WARC/1.1"),
+        record("revisit", http, "Content-Type: application/http", "WARC-Refers-To: <urn:x:response>", f"WARC-Payload-Digest: {digest}"),
+        record("metadata", b"via: http://b.example/\r\n\r\nrest") + record("resource", b"plain\r\n\r\ntext") + record("response", b"HTTP/1.1 204 None", "Content-Type: application/http"),
+        record("conversion", b""), record("response", http + b"<p>", "Content-Type: application/http")[:-20],
+    ]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(map(zipped, members)))
+    rows = warc.read(spark, warc.files(spark, f"file://{tmp_path}/*.warc.gz"), split_bytes=100, with_damaged=True).collect()
+    got = [(r["record_type"], r["url"], r["payload"] and bytes(r["payload"]), r["payload_bytes"]) for r in rows]
+    assert Counter(got) == Counter([
+        ("warcinfo", None, b"software: other/1.0\r\nformat: WARC File Format 1.0\r\n", 51), ("request", "http://a.example/", b"", 0), ("response", "http://a.example/", b"<p>x", 4), ("revisit", None, None, None),
+        ("metadata", None, b"via: http://b.example/\r\n\r\nrest", 30), ("resource", None, b"plain\r\n\r\ntext", 13), ("response", None, b"", 0), ("conversion", None, b"", 0),
+        ("damaged", None, None, next(r["payload_bytes"] for r in rows if r["record_type"] == "damaged")),
+    ])
+    revisit = next(r for r in rows if r["record_type"] == "revisit")
+    assert revisit["refers_to"] == "<urn:x:response>" and revisit["payload_digest"] == hashlib.sha1(b"<p>x").hexdigest()
