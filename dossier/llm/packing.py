@@ -174,7 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most one row for each length
     table = _lookup(plan_bins(counts, capacity))
     groups = max(1, math.ceil(max(counts.values(), default=0) / rows_per_group), 16)
-    dealt = found.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # by place, so that rows of one id or of none go to all groups; the table is written, so the place is the same if read again
+    dealt = found.select("*", F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(groups)).alias("__group"))
     starts = dealt.groupBy("length", "__group").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("length", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
