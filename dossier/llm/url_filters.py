@@ -1,7 +1,8 @@
 """Association-rule URL filtering, from built-in functions and Spark's FP-growth.
 
 Labelled urls become sets of tokens (runs of ASCII letters and digits, and of anything beyond ASCII), with one item more
-for those labelled bad. FP-growth mines the frequent sets; a rule leads from tokens to that item. It is kept if
+for those labelled bad. FP-growth mines the sets that are frequent with that item, which are those frequent among the bad
+urls; a rule leads from a set's tokens to it. It is kept if
 
 * ``min_rows`` bad urls have all of its tokens, at every size of the input (the support);
 * bad urls are at least ``min_confidence`` of those that have them, and ``min_lift`` times as many as among all;
@@ -10,7 +11,8 @@ for those labelled bad. FP-growth mines the frequent sets; a rule leads from tok
 
 Tokens that ``max_share`` of the labelled urls or more have (the scheme, a common ending) tell nothing and would double the
 sets, so they are left out before the mining. A url is blocked if it has all tokens of a rule, which an inverted index
-finds: tokens of distinct urls are joined to the rules' tokens, and a rule matches if as many meet as it has.
+finds: tokens of distinct urls are joined to the rules under one of their tokens each, and a rule matches if the url has
+its other tokens as well.
 
 Rules for hosts and paths stated by hand come first: the longest that fits decides.
 
@@ -32,8 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import few, materialise
 
-BAD = "\u0001bad"
-
 #: (host, path, verdict)
 HAND_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -76,25 +76,32 @@ def mine_rules(
     common = baskets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max_share * n)
     common = [r["token"] for r in common.collect()]  # at most the mean number of tokens by max_share
     kept = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
-    items = F.concat(kept, F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n, minConfidence=min_confidence).fit(baskets.select(items.alias("items")))
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") > 0))
+    # a rule's tokens stand together in min_rows bad urls, so those are mined alone; all urls only count what is found
+    bad = baskets.where("bad").select(kept.alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n_bad).fit(bad).freqItemsets
+    sets = materialise(sets.where(F.size("items") > 0).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad"), F.xxhash64(F.array_sort("items")).alias("rule_id")))
+    same = baskets.groupBy("tokens").agg(F.count("*").alias("n")).withColumn("whose", F.col("tokens"))
+    counts = _met(same, sets, "n").groupBy("rule_id").agg(F.sum("n").alias("n_rows"))
     base = n_bad / n
-    found = F.round(F.col("support") * n).cast("long")
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), found.alias("n_bad"), F.round(found / F.col("confidence")).cast("long").alias("n_rows"))
-    rules = rules.withColumn("confidence", F.col("n_bad") / F.col("n_rows")).withColumn("lift", F.col("confidence") / base)
+    rules = sets.join(counts, "rule_id").withColumn("confidence", F.col("n_bad") / F.col("n_rows")).withColumn("lift", F.col("confidence") / base)
     beyond = F.col("n_bad") - F.col("n_rows") * base
     sure = (F.col("n_bad") >= min_rows) & (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift) & (beyond > 0) & (beyond * beyond >= min_z**2 * base * (1 - base) * F.col("n_rows"))
-    rules = materialise(rules.where(sure).withColumn("rule_id", F.xxhash64("tokens")))
+    rules = materialise(rules.where(sure))
     implied = _met(rules.select("tokens", F.col("rule_id").alias("whose")), rules).where("whose <> rule_id").select(F.col("whose").alias("rule_id")).distinct()
     return materialise(rules.join(implied, "rule_id", "left_anti").select(*[c.split()[0] for c in RULE.split(", ")]))
 
 
-def _met(baskets: DataFrame, rules: DataFrame, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """whose, rule_id of the rules of which a basket (whose, tokens) has all tokens."""
-    index = rules.select("rule_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    met = baskets.select("whose", F.explode("tokens").alias("token")).join(few(index, max_broadcast_rows), "token")
-    return met.groupBy("whose", "rule_id", "size").count().where("count = size").select("whose", "rule_id")
+def _met(baskets: DataFrame, rules: DataFrame, *carried: str, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """whose, rule_id (and what is carried) of the rules of which a basket (whose, tokens) has all tokens.
+
+    A rule stands in the index under the one of its tokens that the fewest rules have, so that a token of many rules brings
+    no basket to all of them.
+    """
+    each = rules.select("rule_id", "tokens", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    index = each.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("often", "token")).alias("key"), F.any_value("tokens").alias("needed")).select("rule_id", "needed", F.col("key.token").alias("token"))
+    met = baskets.select("whose", "tokens", *carried, F.explode("tokens").alias("token")).join(few(index, max_broadcast_rows), "token")
+    return met.where(F.size(F.array_except("needed", "tokens")) == 0).select("whose", "rule_id", *carried)
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame, **limits) -> DataFrame:
