@@ -93,7 +93,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return both.where(F.expr(f"abs(size(a) - size(b)) <= 1 AND {within}")).select("place")
 
 
-def removed_lines(docs: DataFrame, *, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, *, min_words: int = 5, exact_words: int | None = None, often: int = 10_000) -> DataFrame:
     """doc, line_no (from 0) of every line that goes; docs has doc, text."""
     place = F.struct("doc", "line_no").alias("place")
     occurrences = materialise(_hashed(docs, min_words, max(min_words, 2) if exact_words is None else exact_words))
@@ -103,16 +103,18 @@ def removed_lines(docs: DataFrame, *, min_words: int = 5, exact_words: int | Non
     candidates = by_half.join(shared, "half", "left_semi").groupBy("place").agg(F.expr("bit_or(shiftleft(1, side))").alias("sides"))
     candidates = candidates.groupBy("place.doc").agg(F.collect_list(F.struct("place.line_no", "sides")).alias("wanted"))
     lines = docs.join(candidates, "doc").dropDuplicates(["doc"])
-    wanted = F.expr(
-        "transform(filter(transform(split(text, '\n'), (x, i) -> struct(i AS line_no, x AS line)), l -> exists(wanted, c -> c.line_no = l.line_no)),"
-        " l -> struct(l.line_no, l.line, filter(wanted, c -> c.line_no = l.line_no)[0].sides AS sides))"
-    )
+    # the lines of a text are bound once, and found by their number
+    wanted = F.expr("transform(array(split(text, '\n')), l -> transform(wanted, c -> struct(c.line_no, l[c.line_no] AS line, c.sides)))[0]")
     lines = lines.select("doc", F.explode(wanted).alias("l")).select(F.struct("doc", "l.line_no").alias("place"), "l.sides", words_of(F.col("l.line")).alias("__w"))
     near = materialise(near_lines(materialise(lines)))
     # equal lines share one hash: all but the earliest go, and the earliest too if it has an earlier near-duplicate
     first = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
-    doomed = first.join(near.withColumn("near", F.lit(True)), "place", "left").where("copies > 1 OR near")
-    out = occurrences.select("doc", "line_no", "k1", "k2").join(doomed, ["k1", "k2"])
+    doomed = materialise(first.join(near.withColumn("near", F.lit(True)), "place", "left").where("copies > 1 OR near"))
+    # occurrences of the commonest lines don't meet: those lines are few, and the others have few occurrences each
+    common, mark = few(doomed.where(F.col("copies") > often).select("k1", "k2")), F.lit(True).alias("common")
+    rows = occurrences.select("doc", "line_no", "k1", "k2").join(common.select("*", mark), ["k1", "k2"], "left")
+    out = rows.where("common IS NULL").join(doomed.where(F.col("copies") <= often), ["k1", "k2"]).drop("common", "copies")
+    out = out.unionByName(rows.where("common").join(few(doomed.where(F.col("copies") > often)), ["k1", "k2"]).drop("common", "copies"))
     return out.where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line_no") != F.col("place"))).select("doc", "line_no")
 
 
@@ -126,6 +128,6 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, exact_words: int | None
     gone = removed_lines(texts, min_words=min_words, exact_words=exact_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     out = docs.select(with_columns_of(docs, ("n_lines", "n_removed", "text")).alias("row"), "doc_id", "text")
     out = keyed(out).join(gone, "doc", "left")
-    kept = F.expr("CASE WHEN gone IS NULL OR text IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(gone, i)), '\n') END")
+    kept = F.expr("CASE WHEN gone IS NULL OR text IS NULL THEN text ELSE transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\n'))[0] END")
     columns = [kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*columns, F.expr("CASE WHEN text IS NULL THEN 0L ELSE CAST(size(split(text, '\n')) AS BIGINT) END").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

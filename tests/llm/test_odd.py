@@ -91,3 +91,24 @@ def test_scratch_folders(spark):
         spark.read.parquet(first.inputFiles()[0]).count()
     common.release(spark, since=mark)
     assert common.handed_out() == mark
+
+
+def test_texts_of_very_many_lines(spark):
+    """Two texts of 60,000 lines, all of them but some in both, and one line that most texts have."""
+    own = [f"line {i} has {i * 7} some words of its own" for i in range(60_000)]
+    other = [x if i % 1000 else x.replace("some", "other") for i, x in enumerate(own)]
+    docs = spark.createDataFrame([(1, "\n".join(own)), (2, "\n".join(other)), *((i, "a footer of five words\nhello") for i in range(3, 300))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["text"] == "\n".join(own)
+    assert got[2]["n_removed"] == 60_000 and got[2]["text"] == "" and got[3]["n_removed"] == 0 and got[299]["text"] == "hello"
+    usual = sorted(map(tuple, line_dedup.removed_lines(common.keyed(docs.where("doc_id > 2"))).collect()))
+    assert usual == sorted(map(tuple, line_dedup.removed_lines(common.keyed(docs.where("doc_id > 2")), often=5).collect())) and len(usual) == 296
+
+
+def test_one_repeated_id_packs_over_many_groups(spark):
+    docs = spark.range(3000).selectExpr("IF(id % 2 = 0, NULL, 7) AS doc_id", "'two words' AS text").repartition(6)
+    rows = packing.pack(docs, tokenizer_path(), capacity=16, rows_per_group=100).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 3000 and all(sorted(b) == [(3 * k, 3) for k in range(len(b))] for b in bins.values()) and len(bins) == 600
