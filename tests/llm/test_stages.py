@@ -54,3 +54,26 @@ def test_near_dedup_catches_copies_of_similarity_from_four_fifths(spark):
     # a group above the limit for pairs
     many = [(n, " ".join("other" if i == n % 300 else f"g{i}" for i in range(300))) for n in range(100)]
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame(many, DOCS), "").count() == 1
+
+
+def template_rows(n: int, planted: int, seed: int = 3):
+    """Texts of 300 words that share 262, none a copy of another, and copies of some at a similarity of about 0.82."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(262)]
+    rows = [(k, " ".join(template[:100] + [f"own{k}x{i}" for i in range(38)] + template[100:])) for k in range(n)]
+    for k in range(planted):
+        words = rows[k * (n // planted)][1].split()
+        for i, at in enumerate(sorted(rng.sample(range(4, 290), 6))):
+            words[at] = f"new{k}x{i}"
+        rows.append((1_000_000 + k, " ".join(words)))
+    return rows
+
+
+def test_near_dedup_finds_copies_among_texts_that_share_a_template(spark):
+    rows = template_rows(600, 60)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    copies = {1_000_000 + k for k in range(60) if like(k * 10, 1_000_000 + k) >= 0.8}
+    assert len(copies) > 40 and max(like(a, a + 1) for a in range(500)) < 0.8
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == {i for i, _ in rows} - copies
