@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, url
+from .json_walk import leaves_of
 
 #: Elements that make blocks, with the kind of block (fixed values).
 ELEMENTS = {"title": "title", "p": "paragraph", "li": "list", "table": "table", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading"}
@@ -27,12 +28,15 @@ class _Walk(HTMLParser):
     """The elements, metadata, links and JSON scripts of one page, as tags close.
 
     A closing tag ends the innermost open element of its name and drops those opened inside it unclosed; a nested
-    element's text counts for the outer ones too.
+    element's text counts for the outer ones too. Texts stand in one list, and an open element is the place at which it
+    starts there, so tags that never close, as those of breaks and images, cost a number each.
     """
 
     def __init__(self):
         super().__init__()
-        self.open: list[tuple[str, dict[str, str], list[str]]] = []  # tag, attributes, text
+        self.texts: list[str] = []
+        self.open: list[tuple[str, dict[str, str], int]] = []  # tag, attributes, start among the texts
+        self.places: dict[str, list[int]] = {}  # of the open elements by tag
         self.elements: list[tuple[str, str]] = []
         self.links: list[tuple[str, str]] = []
         self.meta: list[tuple[str, str]] = []
@@ -47,29 +51,28 @@ class _Walk(HTMLParser):
             self.language = said("lang").lower().replace("_", "-")[:16] or self.language
         if tag == "meta" and said("name", "property", "http-equiv") and said("content"):
             self.meta.append((said("name", "property", "http-equiv"), said("content")))
-        self.open.append((tag, own, []))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, own, len(self.texts)))
 
     def handle_data(self, data):
-        within = {tag for tag, *_ in self.open}
-        if "script" not in within:
+        if not self.places.get("script"):
             self.plain.append(data)
-        for tag, _, parts in self.open:
-            if tag == "script" or tag not in HIDDEN:
-                parts.append(data)
+        self.texts.append(data)
 
     def handle_endtag(self, tag):
-        tags = [t for t, *_ in self.open]
-        if tag not in tags:
+        if not self.places.get(tag):
             return
-        at = len(tags) - 1 - tags[::-1].index(tag)
-        _, own, parts = self.open[at]
-        self.open = self.open[:at]
+        at = self.places[tag][-1]
+        _, own, start = self.open[at]
+        for name, *_ in self.open[at:]:
+            self.places[name].pop()
+        del self.open[at:]
         if tag in ELEMENTS:
-            self.elements.append((tag, " ".join(parts)))
+            self.elements.append((tag, " ".join(self.texts[start:])))
         elif tag == "script":
-            self.scripts.append((own.get("type", "").strip().lower(), "".join(parts)))
+            self.scripts.append((own.get("type", "").strip().lower(), "".join(self.texts[start:])))
         elif tag == "a" and own.get("href", "").strip():
-            self.links.append((own["href"].strip(), " ".join("".join(parts).split())))
+            self.links.append((own["href"].strip(), " ".join("".join(self.texts[start:]).split())))
 
 
 FRAMES = "what string, name string, content string, extra string, ord int"
@@ -78,9 +81,9 @@ FRAMES = "what string, name string, content string, extra string, ord int"
 def html_frames(pages: DataFrame, id_: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, what, name, content, extra, ord of all that a page (id, html) is made of, in the order in which blocks are built, and the columns to keep.
 
-    what is json_ld (content: the payload with its keys in order, extra: its number), meta (name, content), element (name:
-    the tag, content), link (content: its text, extra: href), plain (the visible text) or language. White space is
-    collapsed. A null html gives no rows; a page that can't be read to its end gives what was read.
+    what is json_ld (content: the payload with its keys in order, extra: its number, name: its field paths as JSON), meta
+    (name, content, extra: its number), element (name: the tag, content), link (content: its text, extra: href), plain (the
+    visible text), markup (the whole html, of pages that show no text) or language. White space is collapsed. A null html gives no rows; a page that can't be read to its end gives what was read.
     """
     own = (id_, *keep)
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in own)
@@ -119,22 +122,24 @@ def frames_of(html: str | None) -> list[tuple[str, str | None, str, str | None,
     payloads = [raw for kind, raw in walk.scripts if kind == "application/ld+json" and raw.strip()]
     for n, raw in enumerate(payloads, 1):
         try:
-            add("json_ld", None, json.dumps(json.loads(raw), ensure_ascii=False, sort_keys=True), str(n))
-        except ValueError:
+            payload = json.dumps(json.loads(raw), ensure_ascii=False, sort_keys=True)
+        except (ValueError, RecursionError):
             continue
-    for name, content in walk.meta:
-        add("meta", name, content)
+        add("json_ld", json.dumps([path for path, _, _ in leaves_of(payload)], ensure_ascii=False), payload, str(n))
+    for n, (name, content) in enumerate(walk.meta, 1):
+        add("meta", name, content, str(n))
     for name, content in walk.elements:
         add("element", name, content)
     for href, label in walk.links:
         out.append(("link", None, label, href, len(out)))
-    add("plain", None, " ".join(walk.plain))
+    plain = " ".join(walk.plain)
+    add("plain" if plain.strip() else "markup", None, plain if plain.strip() else html)
     add("language", None, walk.language)
     return out
 
 
 def number_blocks(frames: DataFrame, id_: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, block_key, block_type, content, extra, ord, section_path and the columns to keep of the blocks that frames make.
+    """id, block_key, block_type, what, name, content, extra, number (of its tag), ord, section_path and the columns to keep of the blocks that frames make.
 
     Keys count within their prefix. A heading of level L keeps L - 1 of the headings before it, fewer if there are fewer:
     of the i-th heading the stack is i + min(0, least level_j - j for j up to i) long, which is its place in the path, and
@@ -161,26 +166,47 @@ def number_blocks(frames: DataFrame, id_: str = "page_id", keep: tuple[str, ...]
     rows = rows.withColumn("section_path", path).where(F.col("what").isin("json_ld", "meta", "element", "link")).withColumn("__prefix", prefix)
     number = F.row_number().over(Window.partitionBy(id_, "__prefix").orderBy("ord"))
     key = F.concat(F.col("__prefix"), F.lit("_"), F.lpad(number.cast("string"), 4, "0"))
-    return rows.select(id_, key.alias("block_key"), kind.alias("block_type"), content.alias("content"), "extra", "ord", "section_path", *keep)
+    return rows.select(id_, key.alias("block_key"), kind.alias("block_type"), "what", "name", content.alias("content"), F.col("content").alias("bare"), "extra", number.alias("number"), "ord", "section_path", *keep)
 
 
-def html_blocks(pages: DataFrame, id_: str = "page_id") -> DataFrame:
-    """id, block_key, block_type, text_content, block_hash, language, section_path, href of the blocks of pages (id, url, html).
+def html_blocks(pages: DataFrame, id_: str = "page_id", language: str | None = None) -> DataFrame:
+    """id, block_key, block_type, text_content, block_hash, language, section_path, href, location, metadata, ord of the blocks of pages (id, url, html).
 
     Links are resolved against the page's url and shown by it where they have no text. A page without a title, heading,
-    paragraph, list or table has its visible text as one paragraph.
+    paragraph, list or table has its visible text as one paragraph. The language is the source's tag, from the column
+    that language names, else the page's, else follows from its visible text, or from its html if it shows none. location
+    (where in the page) and metadata (what the block's kind adds) are JSON.
     """
     # pages are walked once; what is said of a whole page comes by windows over its own rows
-    page = Window.partitionBy(id_)
-    of = lambda what: F.max(F.when(F.col("what") == what, F.col("content"))).over(page)
-    frames = html_frames(pages, id_, ("url",)).withColumns({"__plain": of("plain"), "__tag": of("language"), "__has": F.max(F.col("what").isin("element", "json_ld")).over(page)})
+    page, keep = Window.partitionBy(id_), ("url",) if language is None else ("url", language)
+    of = lambda what: F.max(F.when(F.col("what").isin(*what), F.col("content"))).over(page)
+    frames = html_frames(pages, id_, keep).withColumns({"__plain": of(("plain", "markup")), "__tag": of(("language",)), "__has": F.max(F.col("what").isin("element", "json_ld")).over(page)})
     lone = (F.col("what") == "plain") & ~F.col("__has")
-    frames = frames.withColumn("name", F.when(lone, "p").otherwise(F.col("name"))).withColumn("what", F.when(lone, "element").otherwise(F.col("what")))
-    blocks = number_blocks(frames, id_, ("url", "__plain", "__tag"))
-    href = F.when(F.col("block_type") == "link", url.resolve(F.col("extra"), F.col("url")))
-    blocks = blocks.withColumn("href", href).withColumn("text_content", F.when((F.col("block_type") == "link") & (F.col("content") == ""), F.col("href")).otherwise(F.col("content")))
-    language = text.infer_language(F.coalesce("__plain", F.lit("")), tag=F.col("__tag"))
-    return blocks.select(id_, "block_key", "block_type", "text_content", F.sha2("text_content", 256).alias("block_hash"), language.alias("language"), "section_path", "href", "ord")
+    frames = frames.withColumns({"__lone": lone, "name": F.when(lone, "p").otherwise(F.col("name")), "what": F.when(lone, "element").otherwise(F.col("what"))})
+    blocks = number_blocks(frames, id_, (*keep, "__plain", "__tag", "__lone"))
+    link = F.col("block_type") == "link"
+    blocks = blocks.withColumn("href", F.when(link, url.resolve(F.col("extra"), F.coalesce("url", F.lit("")))))
+    blocks = blocks.withColumn("text_content", F.when(link & (F.col("content") == ""), F.col("href")).otherwise(F.col("content")))
+    given = F.col("__tag") if language is None else F.coalesce(F.nullif(F.col(language), F.lit("")), "__tag")
+    known = text.infer_language(F.coalesce("__plain", F.lit("")), tag=given)
+    what, name, number = F.col("what"), F.col("name"), F.col("number").cast("int")
+    at = lambda *fields: F.to_json(F.struct(*fields))
+    nth = lambda alias, n=number: n.cast("int").alias(alias)
+    location = (
+        F.when(what == "json_ld", at(F.lit("json-ld").alias("kind"), nth("script_ordinal", F.col("extra")))).when(what == "meta", at(F.lit("meta").alias("kind"), nth("ordinal", F.col("extra"))))
+        .when(link, at(F.lit("a").alias("tag"), nth("ordinal"))).when(F.col("__lone"), at(F.lit("plain-text-fallback").alias("kind"), nth("ordinal", F.lit(1)))).otherwise(at(name.alias("tag"), nth("ordinal")))
+    )
+    source = F.coalesce("url", F.lit("")).alias("source_url")
+    provenance = F.struct(source, F.concat(F.lit("script[type=application/ld+json]["), "extra", F.lit("]")).alias("evidence_location")).alias("provenance")
+    metadata = (
+        F.when(what == "json_ld", at(F.lit("json-ld").alias("format"), F.from_json("name", "array<string>").alias("field_paths"), provenance))
+        .when(what == "meta", at(F.when(F.lower("name").startswith("og:"), "opengraph").otherwise("meta").alias("kind"), name.alias("name"), F.col("bare").alias("content")))
+        .when(link, at(F.col("href").alias("href"), F.col("content").alias("label"), source)).when(F.col("block_type") == "title", at(F.lit("document_title").alias("kind")))
+        .when(F.col("block_type") == "heading", at(F.substring("name", 2, 1).cast("int").alias("level"))).otherwise(F.lit("{}"))
+    )
+    return blocks.select(
+        id_, "block_key", "block_type", "text_content", F.sha2("text_content", 256).alias("block_hash"), known.alias("language"), "section_path", "href", location.alias("location"), metadata.alias("metadata"), "ord"
+    )
 
 
 def json_blocks(snapshots: DataFrame, id_: str = "snapshot_id", content: str = "content") -> DataFrame:
@@ -244,58 +270,3 @@ def parse_summary(snapshots: DataFrame, blocks: DataFrame, id_: str = "snapshot_
     out = snapshots.join(own, id_, "left")
     status = F.when(F.col("content").isNull(), "failed").otherwise("success")
     return out.select(id_, F.lit(version).alias("parser_version"), F.coalesce("__language", "language").alias("language"), status.alias("parser_status"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
-
-
-def _roots(rows: DataFrame, id_: list[str], json_column: str) -> DataFrame:
-    node = rows.select(*id_, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(json_column).alias("value"), F.lit(True).alias("open"))
-    return node.where("value IS NOT NULL")
-
-
-def _step(nodes: DataFrame, id_: list[str], enter: Column, keep_entered: bool) -> DataFrame:
-    """The nodes after one level more: open ones that enter holds for give their children, all others stay as they are."""
-    path, value = F.col("path"), F.col("value")
-    node = lambda p, k, v, is_open: F.struct(p.alias("path"), k.cast("string").alias("key"), v.alias("value"), F.lit(is_open).alias("open"))
-    members = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: node(F.concat(path, F.lit("."), e["key"]), e["key"], e["value"], True))
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), F.lit(None), x, True))
-    own = F.array(node(path, F.col("key"), value, False))
-    below = F.when(F.schema_of_variant(value).startswith("OBJECT"), members).otherwise(items)
-    entered = F.concat(own, below) if keep_entered else below
-    return nodes.select(*id_, F.explode(F.when(F.col("open") & enter, entered).otherwise(own)).alias("n")).select(*id_, "n.*")
-
-
-def walk_json(rows: DataFrame, id_: list[str], json_column: str, depth: int = 8) -> DataFrame:
-    """id columns, path, key, kind, value (variant) of every node of a JSON payload, level by level, at most depth levels.
-
-    kind is OBJECT, ARRAY or LEAF. Paths look like $.a.b[0]; what can't be read gives no rows.
-    """
-    kind = F.regexp_extract(F.schema_of_variant("value"), "^(OBJECT|ARRAY)", 1)
-    nodes = _roots(rows, id_, json_column)
-    for _ in range(depth):
-        nodes = _step(nodes, id_, kind != "", True)
-    return nodes.select(*id_, "path", "key", "value", F.coalesce(F.nullif(kind, F.lit("")), F.lit("LEAF")).alias("kind"))
-
-
-def json_paths(rows: DataFrame, id_: list[str], json_column: str, depth: int = 8) -> DataFrame:
-    """id columns and path of every leaf of a JSON payload; an empty object or list is a leaf as well."""
-    empty = F.to_json("value").isin("{}", "[]")
-    return walk_json(rows, id_, json_column, depth).where((F.col("kind") == "LEAF") | empty).select(*id_, "path")
-
-
-def redacted_paths(rows: DataFrame, id_: list[str], json_column: str, depth: int = 8) -> DataFrame:
-    """id columns, path, value (JSON text) of every leaf of nested metadata, secret-like keys and all below them redacted.
-
-    Objects are entered, lists stand as they are.
-    """
-    secret = F.coalesce(text.redact(F.col("key"), F.lit("")) == "[REDACTED]", F.lit(False))
-    kind = F.schema_of_variant("value")
-    inner = ~secret & kind.startswith("OBJECT") & (kind != "OBJECT<>")
-    nodes = _roots(rows, id_, json_column)
-    for _ in range(depth):
-        nodes = _step(nodes, id_, inner, False)
-    return nodes.select(*id_, "path", F.when(secret, F.lit("[REDACTED]")).otherwise(F.to_json("value")).alias("value"))
-
-
-def as_text(value: Column) -> Column:
-    """How a JSON value is shown: a string by itself, all else as JSON."""
-    v = F.try_parse_json(value)
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))

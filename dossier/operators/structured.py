@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from .blocks import walk_json
+from .json_walk import json_objects
 
 #: Titles that make an employee a member of the board (fixed values).
 BOARD = ("ceo", "chief executive officer", "director", "board member")
-#: Types of objects that describe an organisation, besides the payload itself.
+#: Types of objects that describe an organisation, besides the payload itself; the library's own choice.
 ORGANISATIONS = ("Organization", "Corporation", "LocalBusiness", "Company")
 
 
@@ -46,16 +46,16 @@ def _list(v: Column, path: str) -> Column:
     return F.when(_is(v, path, "ARRAY"), listed).when(_is(v, path, "OBJECT"), F.array(F.try_variant_get(v, path, "variant"))).otherwise(F.array().cast("array<variant>"))
 
 
-def structured_facts(blocks: DataFrame, id_: list[str], content: str = "text_content", *, depth: int = 8, strict_reference: bool = False) -> DataFrame:
+def structured_facts(blocks: DataFrame, id_: list[str], content: str = "text_content", *, strict_reference: bool = False) -> DataFrame:
     """id columns, path, field_key, value (JSON) of the facts that a payload's objects state.
 
     The payload itself, the elements of its lists and objects typed as organisations speak for the company; with
     strict_reference every object does, persons and products as well.
     """
     v = F.col("value")
-    nodes = walk_json(blocks, id_, content, depth).where("kind = 'OBJECT'")
+    nodes = json_objects(blocks, id_, content)
     if not strict_reference:
-        nodes = nodes.where((F.col("path").rlike(r"^\$(\.@graph)?(\[[0-9]+\])?$")) | F.coalesce(_get(v, "$.@type").isin(*ORGANISATIONS), F.lit(False)))
+        nodes = nodes.where((F.col("path").rlike(r"^\$(\.@graph)?(\[[0-9]+\])?$")) | F.coalesce(F.col("type").isin(*ORGANISATIONS), F.lit(False)))
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     address = F.coalesce(_string(v, "$.address"), F.nullif(F.concat_ws(", ", *[F.nullif(F.trim(_get(v, f"$.address.{p}")), F.lit("")) for p in values.ADDRESS]), F.lit("")))
     web = lambda c: c.startswith("http://") | c.startswith("https://")

@@ -157,7 +157,8 @@ SELECT CAST(user_id AS BIGINT) AS job_id, event_id AS task_id, ts AS created_at,
 FROM events
 """,
     "b_nested_audit": """
-SELECT event_id AS audit_id, CASE CAST(event_id % 3 AS INT)
+SELECT event_id AS audit_id, CASE CAST(event_id % 4 AS INT)
+         WHEN 3 THEN concat(repeat('{"d":', 11), '{"n":', CAST(event_id % 5 AS STRING), ',"password":"deep ', CAST(event_id AS STRING), '"}', repeat('}', 11))
          WHEN 0 THEN concat('{"api_key":"k","note":"n","outer":{"inner":{"n":', CAST(event_id % 5 AS STRING), ',"password_hint":"p"},"token":{"a":1}}}')
          WHEN 1 THEN concat('{"list":[{"secret":"kept"}],"plain":"v', CAST(event_id % 7 AS STRING), '"}')
          ELSE '{"auth_token":null,"empty":{},"x":{"y":{"z":{"private_key_id":"q"}}}}' END AS metadata_json
@@ -194,7 +195,7 @@ FROM b_company c JOIN (SELECT workspace_id, registration_number, min(company_id)
   ON c.workspace_id = t.workspace_id AND c.registration_number = t.registration_number WHERE c.company_id <> t.target_id
 """,
     "b_json_doc": """
-SELECT page_id AS snapshot_id, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN concat('{"a":', CAST(page_id AS STRING), ',"b":{"c":[1,"x",{"d":true}],"e":{}},"f":[]}')
+SELECT page_id AS snapshot_id, CASE CAST(page_id % 5 AS INT) WHEN 4 THEN concat(repeat('{"d":[', 10), CAST(page_id AS STRING), repeat(']}', 10)) WHEN 0 THEN concat('{"a":', CAST(page_id AS STRING), ',"b":{"c":[1,"x",{"d":true}],"e":{}},"f":[]}')
          WHEN 1 THEN concat('[{"name":"n', CAST(page_id AS STRING), '"},2.5,null]') WHEN 2 THEN concat('{"broken":', CAST(page_id AS STRING)) ELSE '"only text"' END AS content
 FROM pages
 """,

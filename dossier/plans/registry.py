@@ -27,16 +27,6 @@ def query(name: str, sql: str):
     return add
 
 
-def rows_only(name: str):
-    """Registers a query that SQL can't express."""
-
-    def add(f):
-        QUERIES[name] = f
-        return f
-
-    return add
-
-
 def over(name: str, views: str, sql: str, f: Callable[..., DataFrame]) -> None:
     """Registers a query over views, named in a string."""
     query(name, sql)(lambda s, d: f(*(bound(s, d, v) for v in views.split())))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import ranking, scoring, text, url
-from dossier.operators import blocks, companies, discovery, extraction, facts, logs, model_runs, review, structured
+from dossier.operators import blocks, companies, discovery, extraction, facts, json_walk, logs, model_runs, review, structured
 
 NOW = dt.datetime(2024, 6, 1)
 
@@ -188,7 +188,7 @@ def test_version_diff(spark):
 
 def test_redaction_enters_objects(spark):
     df = spark.createDataFrame([(1, '{"api_key":"s","nested":{"token":"t","safe_field":"ok","deep":{"db_password":{"a":1}}},"list":[{"secret":"kept"}]}')], "i int, m string")
-    got = {r["path"]: r["value"] for r in blocks.redacted_paths(df, ["i"], "m").collect()}
+    got = {r["path"]: r["value"] for r in json_walk.redacted_paths(df, ["i"], "m").collect()}
     assert got == {"$.api_key": "[REDACTED]", "$.nested.token": "[REDACTED]", "$.nested.safe_field": '"ok"', "$.nested.deep.db_password": "[REDACTED]", "$.list": '[{"secret":"kept"}]'}
 
 
@@ -228,7 +228,7 @@ def test_section_paths_are_a_stack(spark):
 
 def test_json_paths(spark):
     df = spark.createDataFrame([(1, '{"b":[1,{"c":null}],"a":"x","d":{}}'), (2, "{broken"), (3, "[]")], "i int, j string")
-    assert sorted((r["i"], r["path"]) for r in blocks.json_paths(df, ["i"], "j").collect()) == [(1, "$.a"), (1, "$.b[0]"), (1, "$.b[1].c"), (1, "$.d"), (3, "$")]
+    assert sorted((r["i"], r["path"]) for r in json_walk.json_paths(df, ["i"], "j").collect()) == [(1, "$.a"), (1, "$.b[0]"), (1, "$.b[1].c"), (1, "$.d"), (3, "$")]
 
 
 def test_structured_facts_of_graphs_and_people(spark):
