@@ -296,6 +296,11 @@ SELECT CAST(o_custkey % 5 AS INT) AS workspace_id, concat('C', CAST(o_custkey AS
        CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) % 5 * 25 AS STRING) ELSE concat('"v', CAST(CAST(floor(o_totalprice / 100) AS BIGINT) % 3 AS STRING), '"') END AS value_json,
        CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'candidate' END AS fact_status
 FROM orders
+""",
+    "b_conflict_event": """
+SELECT workspace_id, company_id, field_key, context_key, fact_id, value_type, value_json, fact_status, CAST(CASE WHEN floor(fact_id / 3) % 3 = 1 THEN 3 ELSE 1 END AS BIGINT) AS seq, CAST(NULL AS STRING) AS action FROM b_order_fact
+UNION ALL
+SELECT workspace_id, company_id, field_key, context_key, CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(2 AS BIGINT), 'resolved' FROM b_order_fact WHERE floor(fact_id / 3) % 3 <> 1
 """,
     "b_order_event": """
 SELECT o_custkey AS task_id, o_orderkey AS seq, concat('U', CAST(o_orderkey % 5 AS STRING)) AS actor,

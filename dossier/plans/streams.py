@@ -31,7 +31,22 @@ _LEVEL = f"CASE WHEN field_key IN {_in(facts.scoring.CRITICAL_FIELDS)} THEN 'cri
 
 @query("n3_stream_conflicts", f"SELECT {_KEY}, count(*) AS n_facts, count(*) FILTER (differs) AS n_differing, {_LEVEL} AS materiality FROM ({_MEMBERS.replace('b_fact', 'b_order_fact')}) GROUP BY {_KEY} HAVING count(*) FILTER (differs) > 0")
 def stream_conflicts(s, d):
-    return steps.conflicts(bound(s, d, "b_order_fact", stream=True))
+    return steps.conflicts(bound(s, d, "b_order_fact", stream=True)).where("n_differing > 0").select(*facts.FACT_KEY, "n_facts", "n_differing", "materiality")
+
+
+_ATTACHED_BY = lambda where: (
+    f"SELECT {_KEY}, fact_id FROM (SELECT *, bool_or(differs) OVER (PARTITION BY {_KEY}) AS any_differs FROM ({_MEMBERS.replace('b_fact', '(SELECT * FROM b_order_fact WHERE ' + where + ')')})) WHERE any_differs AND (differs OR role = 'primary')"
+)
+_CLOSED = f"SELECT * FROM ({_ATTACHED_BY('floor(fact_id / 3) % 3 <> 1')})"
+
+
+@query(
+    "n3_stream_reopened",
+    f"WITH m AS ({_CLOSED}) SELECT {_KEY}, min(fact_id) AS first_new, count(*) AS n_new FROM ({_ATTACHED_BY('TRUE')}) SEMI JOIN m USING ({_KEY}) ANTI JOIN m USING ({_KEY}, fact_id) GROUP BY {_KEY}",
+)
+def stream_reopened(s, d):
+    """All conflicts are closed before the last third of the facts arrives, earlier ones by their id among them."""
+    return steps.conflicts(bound(s, d, "b_conflict_event", stream=True)).where("status = 'reopened'").select(*facts.FACT_KEY, "first_new", "n_new")
 
 
 @query("n4_stream_reviews", _FOLD.replace("b_review_event", "b_order_event"))

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import text
+from ..functions import scoring, text
 from ..operators import blocks, changes, facts, structured
 from ..operators.review import ACTIONS
 from ..sources.scratch import new_folder
+from .conflict_state import FOUND, Conflicts
 
 
 def _run(stream: DataFrame, write, mode: str, folder: str) -> None:
@@ -83,32 +84,39 @@ def page_facts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
     return spark.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").select(*keys)
 
 
-def conflicts(stream: DataFrame, *, folder: str | None = None, n_buckets: int = 64) -> DataFrame:
-    """The conflicts (key, n_facts, n_differing, materiality) among all facts that arrived, a field's first fact by id being the primary.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Facts are kept by buckets of their key. A batch judges only the fields that it touches, over what is stored of them in
-    their buckets, so an earlier fact that comes late makes a new primary. Of a field's results that of its last batch holds.
+
+def conflicts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
+    """The conflicts among all facts that arrived, a field's first fact by id being the primary.
+
+    stream has the key, fact_id, value_type, value_json and fact_status, and if it is to close conflicts, action (one of the
+    statuses of closed ones, on rows without a fact) and seq, the order of events. The result has the key, n_facts,
+    n_differing, materiality, status (open, a closed one or reopened), n_attached, and of the last reopening first_new and
+    n_new. A field's facts are keyed state, so a batch reads what is stored of its own fields only. Of a field's results
+    that of its last batch holds.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark)
     key = list(facts.FACT_KEY)
-    schema = "workspace_id int, company_id string, fact_id bigint, field_key string, context_key string, value_type string, value_json string, fact_status string"
-    columns = [c.split()[0] for c in schema.split(", ")]
-    found = "workspace_id int, company_id string, field_key string, context_key string, n_facts bigint, n_differing bigint, materiality string"
+    events = stream if "action" in stream.columns else stream.withColumns({"action": F.lit(None).cast("string"), "seq": F.lit(0).cast("bigint")})
+    kinds = dict(c.split() for c in "workspace_id int, company_id string, field_key string, context_key string, fact_id bigint, value_type string, value_json string, fact_status string, action string, seq bigint".split(", "))
+    events = events.select(*[F.col(c).cast(kind) for c, kind in kinds.items()])
+    states = events.groupBy(*key).transformWithStateInPandas(Conflicts(), FOUND, "Update", "none")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n_buckets)).cast("int"))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/facts/batch={number}")
-        stored = batch.sparkSession.read.schema(schema + ", batch bigint, bucket int").parquet(f"{folder}/facts").where(F.col("batch") <= number)
-        touched = stored.where(F.col("batch") == number).select(*key, "bucket").distinct()
-        known = stored.join(touched, [*key, "bucket"], "left_semi").select(*columns).dropDuplicates([*key, "fact_id"])
-        judged = touched.select(*key).join(facts.detect_conflicts(known), key, "left")
-        judged.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in found.split(", ")]).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    _run(stream, write, "append", folder)
-    rows = spark.read.schema(found + ", batch bigint").parquet(f"{folder}/table")
-    last = rows.groupBy(*key).agg(F.max_by(F.struct("n_facts", "n_differing", "materiality"), "batch").alias("last")).select(*key, "last.*")
-    return last.where("n_differing > 0")
+    before = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        _run(states, write, "update", folder)
+    finally:
+        spark.conf.unset(_STORE[0]) if before is None else spark.conf.set(_STORE[0], before)
+    rows = spark.read.schema(FOUND + ", batch bigint").parquet(f"{folder}/table")
+    own = [c.split()[0] for c in FOUND.split(", ")[len(key) :]]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*own), "batch").alias("last")).select(*key, "last.*")
+    return last.where("n_differing > 0 OR status IS NOT NULL").withColumn("materiality", scoring.materiality(F.col("field_key")))
 
 
 REVIEW = "task_id bigint, status string, assigned_to string, row_version int, n_refused int"
