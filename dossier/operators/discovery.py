@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, text, url
+from ..sources.scratch import new_folder, written
 from .companies import PRIORITY
 
 #: Providers that are trusted, with the tier of their word on each field (fixed values).
@@ -264,28 +265,39 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return lines.where(F.lower(bare).rlike(r"^sitemap\s*:")).select("site", "pos", F.trim(F.regexp_extract(bare, "^[^:]*:(.*)$", 1)).alias("sitemap_url"))
 
 
-def crawl_frontier(seeds: DataFrame, links: DataFrame, *, depth: int = 1, per_domain: int = 25, per_job: int = 50) -> DataFrame:
+def crawl_frontier(seeds: DataFrame, links: DataFrame, *, depth: int = 1, per_domain: int = 25, per_job: int = 50, folder: str | None = None) -> DataFrame:
     """job_id, url, depth, place of the pages that a bounded walk over captured links reads, in its order.
 
     seeds has job_id, url, domain, ord; links has src, url, domain, pos. A link counts if it stays on its page's domain;
     a url counts where it is first seen. Pages beyond a domain's or a job's limit are not read, and lead nowhere.
+
+    Each level is written to the folder before the next is planned, so every level's plan is the same and reads what the
+    one before has left; the limits are ranks with a bound, which keep the first rows of a domain or job before they move.
     """
     order = ["ord", "url"]
-    level = seeds.groupBy("job_id", "url").agg(F.min(F.struct("ord", "domain")).alias("f")).select("job_id", "url", "f.domain", F.array(F.col("f.ord").cast("bigint")).alias("ord"))
-    seen, read, kept = level.select("job_id", "url"), None, None
+    folder = folder or new_folder(seeds.sparkSession)
+    tables: dict[str, DataFrame] = {}
+
+    def save(kind: str, step: int, rows: DataFrame) -> DataFrame:
+        """The level's rows; all levels of the kind are one table, a folder each."""
+        own = written(rows, f"{folder}/{kind}/level={step}")
+        tables[kind] = seeds.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{kind}")
+        return own
+
+    first = F.min(F.struct("ord", "domain")).alias("f")
+    level = seeds.groupBy("job_id", "url").agg(first).select("job_id", "url", "f.domain", F.array(F.col("f.ord").cast("bigint")).alias("ord"))
     for step in range(min(max(depth, 0), 5) + 1):
-        if read is not None:
+        if step:
             found = kept.select("job_id", F.col("url").alias("src"), F.col("domain").alias("__domain"), F.col("ord").alias("__ord")).join(links, "src").where("domain = __domain")
-            found = found.select("job_id", "url", "domain", F.concat("__ord", F.array(F.col("pos").cast("bigint"))).alias("ord")).join(seen, ["job_id", "url"], "left_anti")
-            level = found.groupBy("job_id", "url").agg(F.min(F.struct("ord", "domain")).alias("f")).select("job_id", "url", "f.domain", "f.ord")
-            seen = seen.unionByName(level.select("job_id", "url"))
-        before = [F.lit(0), F.lit(0)]
-        ranked = level
-        if read is not None:
-            ranked = ranked.join(read.groupBy("job_id", "domain").agg(F.count("*").alias("__d")), ["job_id", "domain"], "left").join(read.groupBy("job_id").agg(F.count("*").alias("__j")), "job_id", "left")
-            before = [F.coalesce("__d", F.lit(0)), F.coalesce("__j", F.lit(0))]
-        ranked = ranked.withColumn("__n", before[0] + F.row_number().over(Window.partitionBy("job_id", "domain").orderBy(*order))).where(F.col("__n") <= per_domain)
-        ranked = ranked.withColumn("place", before[1] + F.row_number().over(Window.partitionBy("job_id").orderBy(*order))).where(F.col("place") <= per_job)
-        kept = ranked.select("job_id", "url", "domain", "ord", F.lit(step).alias("depth"), "place")
-        read = kept if read is None else read.unionByName(kept)
-    return read.select("job_id", "url", "depth", "place")
+            found = found.select("job_id", "url", "domain", F.concat("__ord", F.array(F.col("pos").cast("bigint"))).alias("ord")).join(tables["found"].select("job_id", "url"), ["job_id", "url"], "left_anti")
+            level = found.groupBy("job_id", "url").agg(first).select("job_id", "url", "f.domain", "f.ord")
+        level = save("found", step, level)
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        ranked = level.withColumn("__n", rank("job_id", "domain")).where(F.col("__n") <= per_domain).withColumns({"__d": F.lit(0), "__j": F.lit(0)})
+        if step:
+            read = tables["read"]
+            ranked = ranked.drop("__d", "__j").join(read.groupBy("job_id", "domain").agg(F.count("*").alias("__d")), ["job_id", "domain"], "left").join(read.groupBy("job_id").agg(F.count("*").alias("__j")), "job_id", "left")
+        ranked = ranked.where(F.col("__n") + F.coalesce("__d", F.lit(0)) <= per_domain).withColumn("__m", rank("job_id")).where(F.col("__m") <= per_job)
+        place = F.col("__m") + F.coalesce("__j", F.lit(0))
+        kept = save("read", step, ranked.withColumn("place", place).where(F.col("place") <= per_job).select("job_id", "url", "domain", "ord", F.lit(step).alias("depth"), F.col("place").cast("int").alias("place")))
+    return tables["read"].select("job_id", "url", "depth", "place")

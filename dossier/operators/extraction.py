@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import ranking, text
 
 
 def fact_errors(value: Column, is_unknown: Column, cited: Column, hint: Column) -> Column:
@@ -34,15 +34,19 @@ def name_mismatch(company_name: Column, value: Column) -> Column:
 
 def match_scores(pairs: DataFrame) -> DataFrame:
     """new_id, company_id, score, reason of pairs (tax_id, registration_number, company_name and those with other_)."""
-    own, other = text.normalize_name(F.col("company_name")), text.normalize_name(F.col("other_name"))
-    rules = [
-        ((F.col("tax_id") != "") & (F.col("tax_id") == F.col("other_tax_id")), 1.0, "EXACT_TAX_ID_MATCH"),
-        ((F.col("registration_number") != "") & (F.col("registration_number") == F.col("other_registration_number")), 1.0, "EXACT_REGISTRATION_NUMBER_MATCH"),
-        ((own != "") & (own == other), 0.85, "EXACT_NORMALIZED_NAME_MATCH"),
-        ((own != "") & (F.contains(own, other) | F.contains(other, own)), 0.65, "PARTIAL_NAME_SUBSTRING_MATCH"),
-    ]
-    best = F.coalesce(*[F.when(c, F.struct(F.lit(s).alias("score"), F.lit(r).alias("reason"))) for c, s, r in rules], F.struct(F.lit(0.0).alias("score"), F.lit("NO_MATCH").alias("reason")))
-    return pairs.select("new_id", "company_id", best.alias("m")).select("new_id", "company_id", "m.score", "m.reason")
+    same = lambda key: (F.col(key) != "") & (F.col(key) == F.col(f"other_{key}"))
+
+    def best(own: Column, other: Column) -> Column:
+        rules = [
+            (same("tax_id"), 1.0, "EXACT_TAX_ID_MATCH"), (same("registration_number"), 1.0, "EXACT_REGISTRATION_NUMBER_MATCH"), ((own != "") & (own == other), 0.85, "EXACT_NORMALIZED_NAME_MATCH"),
+            ((own != "") & (F.contains(own, other) | F.contains(other, own)), 0.65, "PARTIAL_NAME_SUBSTRING_MATCH"),
+        ]
+        return F.coalesce(*[F.when(c, F.struct(F.lit(s).alias("score"), F.lit(r).alias("reason"))) for c, s, r in rules], F.struct(F.lit(0.0).alias("score"), F.lit("NO_MATCH").alias("reason")))
+
+    # the names are long expressions, worked out once a pair
+    names = F.array(text.normalize_name(F.col("company_name")), text.normalize_name(F.col("other_name")))
+    found = ranking.let(names, lambda n: best(F.get(n, F.lit(0)), F.get(n, F.lit(1))))
+    return pairs.select("new_id", "company_id", found.alias("m")).select("new_id", "company_id", "m.score", "m.reason")
 
 
 def search_outcome(queries: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import new_folder, written
 
 
 def ai_usage(runs: DataFrame) -> DataFrame:
@@ -78,26 +79,46 @@ def unique_snapshots(snapshots: DataFrame, content_hash: Column) -> DataFrame:
     return hashed.groupBy("workspace_id", "source_id", "content_hash").agg(F.min("snapshot_id").alias("snapshot_id"))
 
 
-def duplicate_pairs(new: DataFrame, companies: DataFrame) -> DataFrame:
+def _grams(names: DataFrame, size: Column) -> DataFrame:
+    """names (workspace_id, name, ...) with each different piece (gram) of a size."""
+    return names.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring("name", i, size)))).alias("gram"))
+
+
+def names_within(short: DataFrame, long: DataFrame, q: int = 3) -> DataFrame:
+    """workspace_id, short, long of the names (workspace_id, name, each once) of which one holds the other.
+
+    A short name is looked for under the one of its pieces of q letters that the fewest long names have; if some piece is in
+    none, no name holds it. Shorter names are pieces themselves. The cost is a row for each letter of the names, besides
+    the names that share the rarest piece.
+    """
+    size = F.least(F.length("name"), F.lit(q))
+    sizes = short.select("workspace_id", size.alias("size")).distinct()
+    pieces = _grams(long.join(sizes, "workspace_id").where("size <= length(name)"), F.col("size"))
+    often = pieces.groupBy("workspace_id", "gram").agg(F.count("*").alias("often"))
+    keys = _grams(short, size).join(often, ["workspace_id", "gram"], "left").groupBy("workspace_id", "name")
+    keys = keys.agg(F.min(F.struct("often", "gram")).alias("key"), F.count_if(F.col("often").isNull()).alias("missing")).where("missing = 0")
+    met = keys.select("workspace_id", F.col("name").alias("short"), F.col("key.gram").alias("gram")).join(pieces.select("workspace_id", "gram", F.col("name").alias("long")), ["workspace_id", "gram"])
+    return met.where(F.contains("long", "short")).select("workspace_id", "short", "long")
+
+
+def duplicate_pairs(new: DataFrame, companies: DataFrame, folder: str | None = None) -> DataFrame:
     """workspace_id, new_id, company_id: companies that a new one shares a tax id or registration number with, or its name.
 
-    Identifiers lead to their first company. Of two names one must hold the other: each company's name gives all of its
-    pieces as long as some new name, and each new one all of its pieces as long as some company's, so equal pieces join and
-    no pair is tried in vain. Merged companies are found by identifiers only, and an empty name finds nobody.
+    Identifiers lead to their first company. Of two names one must hold the other. Names are worked out once, into the
+    folder, and compared each once, however many companies have them. Merged companies are found by identifiers only, and
+    an empty name finds nobody.
     """
+    folder = folder or new_folder(new.sparkSession)
+
     def by(key: str) -> DataFrame:
         first = companies.where(F.col(key) != "").groupBy("workspace_id", key).agg(F.min("company_id").alias("company_id"))
         return new.where(F.col(key) != "").join(first, ["workspace_id", key]).select("workspace_id", "new_id", "company_id")
 
     def named(rows: DataFrame, id_: str) -> DataFrame:
-        return rows.select("workspace_id", id_, text.normalize_name(F.col("company_name")).alias("name")).where("name <> ''")
-
-    def within(long: DataFrame, short: DataFrame, id_: str) -> DataFrame:
-        lengths = short.select("workspace_id", F.length("name").alias("n")).distinct()
-        piece = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n")))))
-        pieces = long.join(lengths, "workspace_id").where("n <= length(name)").select("workspace_id", id_, piece.alias("name"))
-        return pieces.join(short, ["workspace_id", "name"])
+        return written(rows.select("workspace_id", id_, text.normalize_name(F.col("company_name")).alias("name")), f"{folder}/{id_}").where("name <> ''")
 
     open_, wanted = named(companies.where("status <> 'merged'"), "company_id"), named(new, "new_id")
-    names = within(open_, wanted, "company_id").select("workspace_id", "new_id", "company_id").union(within(wanted, open_, "new_id").select("workspace_id", "new_id", "company_id"))
+    each = [rows.select("workspace_id", "name").distinct() for rows in (wanted, open_)]
+    pairs = names_within(each[0], each[1]).select("workspace_id", F.col("short").alias("name"), F.col("long").alias("other")).union(names_within(each[1], each[0]).select("workspace_id", "long", "short")).distinct()
+    names = wanted.join(pairs, ["workspace_id", "name"]).join(open_.withColumnRenamed("name", "other"), ["workspace_id", "other"]).select("workspace_id", "new_id", "company_id")
     return by("tax_id").union(by("registration_number")).union(names).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder, written
+
 #: Fields that must be known, with their names and the priority of asking for them (fixed values).
 MANDATORY = (("identity.legal_name", "legal name", "high"), ("identity.tax_id", "tax ID", "urgent"), ("identity.registration_number", "registration number", "urgent"), ("identity.address", "headquarters address", "high"), ("leadership.ceo", "chief executive", "high"))
 #: From which states each action is allowed (None: from all), and to which state it leads (fixed values).
@@ -38,25 +40,57 @@ def _allowed(action: Column, status: Column) -> Column:
     return out
 
 
-def fold_reviews(events: DataFrame) -> DataFrame:
-    """task_id, status, assigned_to, row_version, n_refused after the events (task_id, seq, action, actor) of each task in order.
+#: The states that an action starts from or leads to.
+STATES = tuple(dict.fromkeys(["open", *(s for states, to in ACTIONS.values() for s in (*(states or ()), to))]))
+
+
+def _transition(action: Column, actor: Column) -> Column:
+    """An event as a function of the state before it: for each of STATES the state after it, who is then assigned, and what it counts.
 
-    A task begins open with version 1. An action that its state doesn't allow changes nothing. A task's events are few: it
-    is one piece of work.
+    named says that it assigns someone or nobody; if not, whoever was assigned stays.
     """
-    state = F.struct(F.lit("open").alias("status"), F.lit(None).cast("string").alias("assigned_to"), F.lit(1).alias("row_version"), F.lit(0).alias("n_refused"))
-    leads = F.create_map(*[F.lit(x) for name, (_, to) in ACTIONS.items() for x in (name, to)])
+    leads = F.create_map(*[F.lit(x) for name, (_, to) in ACTIONS.items() for x in (name, to)])[action]
 
-    def step(s: Column, e: Column) -> Column:
-        ok = _allowed(e["action"], s["status"])
-        who = F.when(e["action"] == "claim", e["actor"]).when(e["action"] == "release", F.lit(None)).otherwise(s["assigned_to"])
+    def of(state: str) -> Column:
+        ok = F.coalesce(_allowed(action, F.lit(state)), F.lit(False))
         return F.struct(
-            F.when(ok, leads[e["action"]]).otherwise(s["status"]).alias("status"), F.when(ok, who).otherwise(s["assigned_to"]).alias("assigned_to"),
-            (s["row_version"] + F.when(ok, 1).otherwise(0)).alias("row_version"), (s["n_refused"] + F.when(ok, 0).otherwise(1)).alias("n_refused"),
+            F.when(ok, leads).otherwise(state).alias("state"), (ok & action.isin("claim", "release")).alias("named"), F.when(ok & (action == "claim"), actor).alias("who"),
+            ok.cast("long").alias("done"), (~ok).cast("long").alias("refused"),
         )
 
-    ordered = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "actor"))).alias("events"))
-    return ordered.select("task_id", F.aggregate("events", state, step).alias("s")).select("task_id", "s.*")
+    return F.array(*map(of, STATES))
+
+
+def _composed(f: Column, g: Column) -> Column:
+    """First f, then g. This is associative, so events may be composed in blocks."""
+    place = F.create_map(*[F.lit(x) for i, s in enumerate(STATES) for x in (s, i)])
+
+    def then(x: Column) -> Column:
+        y = F.get(g, place[x["state"]])
+        who = F.when(y["named"], y["who"]).otherwise(x["who"])
+        return F.struct(y["state"].alias("state"), (x["named"] | y["named"]).alias("named"), who.alias("who"), (x["done"] + y["done"]).alias("done"), (x["refused"] + y["refused"]).alias("refused"))
+
+    return F.transform(f, then)
+
+
+def fold_reviews(events: DataFrame, block: int = 64, folder: str | None = None) -> DataFrame:
+    """task_id, status, assigned_to, row_version, n_refused after the events (task_id, seq, action, actor) of each task in order.
+
+    A task begins open with version 1. An action that its state doesn't allow changes nothing. Events are functions over
+    the states; blocks of them are composed, then blocks of blocks, so no task's events are ever one list.
+    """
+    folder, step = folder or new_folder(events.sparkSession), 0
+    at = F.row_number().over(Window.partitionBy("task_id").orderBy("seq", "action", "actor")) - 1
+    rows = events.select("task_id", at.cast("long").alias("at"), _transition(F.col("action"), F.col("actor")).alias("f"))
+    same = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(False).alias("named"), F.lit(None).cast("string").alias("who"), F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("refused")) for s in STATES])
+    while True:
+        blocks = rows.groupBy("task_id", F.expr(f"at div {block}").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("fs"))
+        rows = written(blocks.select("task_id", "at", F.aggregate("fs", same, lambda f, x: _composed(f, x["f"])).alias("f")), f"{folder}/{step}")
+        if not rows.where("at > 0").limit(1).count():
+            break
+        step += 1
+    end = F.element_at("f", STATES.index("open") + 1)
+    return rows.select("task_id", end["state"].alias("status"), end["who"].alias("assigned_to"), (end["done"] + 1).cast("int").alias("row_version"), end["refused"].cast("int").alias("n_refused"))
 
 
 #: What errors of a connection say, in the order in which they are told apart (fixed values).

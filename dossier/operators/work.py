@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +105,25 @@ def latest_state(tasks: DataFrame) -> DataFrame:
 
 
 def counters(logs: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """metric, labels, n: rows of each log by its labels (name: (log, labels)), of which there are few."""
-    def counted(name: str, log: DataFrame, labels: list[str]) -> DataFrame:
-        said = F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.coalesce(F.col(x).cast("string"), F.lit(""))) for x in labels])
-        return log.groupBy(said.alias("labels")).agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "labels", "n")
-
-    parts = [counted(name, log, labels) for name, (log, labels) in logs.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """metric, labels, n: rows of each log by its labels (name: (log, labels)), of which there are few.
+
+    All metrics of one log are grouping sets of one pass over it.
+    """
+    by_log: dict[int, list[tuple[str, list[str]]]] = {}
+    for name, (log, labels) in logs.items():
+        by_log.setdefault(id(log), []).append((name, labels))
+    frames = {id(log): log for log, _ in logs.values()}
+    parts = []
+    for key, metrics in by_log.items():
+        every = list(dict.fromkeys(x for _, labels in metrics for x in labels))
+        sets = list(dict.fromkeys(tuple(x for x in every if x in labels) for _, labels in metrics))
+        counts = frames[key].groupingSets([[F.col(x) for x in s] for s in sets], *[F.col(x) for x in every]).agg(F.grouping_id().alias("__set"), F.count("*").alias("n"))
+        # a bit is set for each column that a set lacks, the last column's being the lowest
+        bits = lambda labels, every=every: sum(1 << (len(every) - 1 - i) for i, x in enumerate(every) if x not in labels)
+        said = lambda labels: F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.coalesce(F.col(x).cast("string"), F.lit(""))) for x in labels])
+        own = F.filter(F.array(*[F.struct((F.col("__set") == bits(labels)).alias("is"), F.lit(name).alias("metric"), said(labels).alias("labels")) for name, labels in metrics]), lambda m: m["is"])
+        parts.append(counts.select(F.explode(own).alias("m"), "n").select("m.metric", "m.labels", "n"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def mean_confidence(versions: DataFrame) -> DataFrame:

@@ -118,6 +118,6 @@ over("k2_superseded_drafts", "b_version", "SELECT version_id, CASE WHEN row_numb
 over("j2_inbox", "b_review b_decision", "SELECT workspace_id, company_id, task_id, task_type, priority, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, task_id DESC) AS INT) AS place, coalesce(decisions, '') AS decisions FROM b_review LEFT JOIN (SELECT task_id, string_agg(concat(seq, ' ', action), ';' ORDER BY seq) AS decisions FROM b_decision GROUP BY task_id) USING (task_id) WHERE status = 'open' AND task_type = 'field_conflict' AND assigned_to = 'U3'", lambda t, d: work.inbox(t, d, status="open", task_type="field_conflict", assigned_to="U3").withColumn("decisions", F.coalesce(F.array_join(F.transform("decisions", lambda x: F.concat_ws(" ", x["seq"].cast("string"), x["action"])), ";"), F.lit(""))))
 over("l5_job_status", "b_task", f"SELECT job_id, status, CASE WHEN status = 'running' THEN todo[1] END AS next_step FROM (SELECT job_id, todo, CASE WHEN failed THEN 'failed' WHEN len(todo) > 0 THEN 'running' WHEN part THEN 'partial' ELSE 'completed' END AS status FROM (SELECT job_id, bool_or(status = 'failed') AS failed, bool_or(partial AND status = 'completed') AS part, list_filter(range({work.STEPS}), lambda x: NOT coalesce(list_contains(list(step_rank) FILTER (status = 'completed'), x), FALSE)) AS todo FROM b_task GROUP BY job_id))", work.job_status)
 over("l6_latest_state", "b_task", "SELECT job_id, step_rank, partial FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY step_rank DESC, created_at DESC) AS n FROM b_task WHERE status = 'completed') WHERE n = 1", work.latest_state)
-over("l7_counters", "b_attempt b_task b_ai_run", "SELECT 'requests' AS metric, concat('adapter=', adapter, ',outcome_code=', outcome_code, ',http_status=', http_status) AS labels, count(*) AS n FROM b_attempt GROUP BY ALL UNION ALL SELECT 'tasks', concat('step_rank=', step_rank, ',status=', status), count(*) FROM b_task GROUP BY ALL UNION ALL SELECT 'ai_runs', concat('validation_outcome=', validation_outcome), count(*) FROM b_ai_run GROUP BY ALL", lambda a, t, r: work.counters({"requests": (a, ["adapter", "outcome_code", "http_status"]), "tasks": (t, ["step_rank", "status"]), "ai_runs": (r, ["validation_outcome"])}))
+over("l7_counters", "b_attempt b_task b_ai_run", "SELECT 'requests' AS metric, concat('adapter=', adapter, ',outcome_code=', outcome_code, ',http_status=', http_status) AS labels, count(*) AS n FROM b_attempt GROUP BY ALL UNION ALL SELECT 'tasks', concat('step_rank=', step_rank, ',status=', status), count(*) FROM b_task GROUP BY ALL UNION ALL SELECT 'outcomes', concat('outcome_code=', outcome_code), count(*) FROM b_attempt GROUP BY ALL UNION ALL SELECT 'steps', concat('step_rank=', step_rank), count(*) FROM b_task GROUP BY ALL UNION ALL SELECT 'ai_runs', concat('validation_outcome=', validation_outcome), count(*) FROM b_ai_run GROUP BY ALL", lambda a, t, r: work.counters({"requests": (a, ["adapter", "outcome_code", "http_status"]), "outcomes": (a, ["outcome_code"]), "tasks": (t, ["step_rank", "status"]), "steps": (t, ["step_rank"]), "ai_runs": (r, ["validation_outcome"])}))
 over("l7_mean_confidence", "b_version", "SELECT workspace_id, count(*) AS n, round(avg(overall_confidence), 4) AS mean_confidence FROM b_version GROUP BY workspace_id", work.mean_confidence)
 over("l10_stale_tasks", "b_queue_task", "SELECT job_id, count(*) FILTER (expired) AS n_expired, count(*) FILTER (spent) AS n_exhausted, min(created_at) AS since FROM (SELECT *, status = 'running' AND lease_until < TIMESTAMP '2024-01-15 00:00:00' AS expired, status = 'failed' AND attempts >= max_attempts AS spent FROM b_queue_task) WHERE expired OR spent GROUP BY job_id", lambda t: work.stale_tasks(t, F.expr("TIMESTAMP '2024-01-15 00:00:00'")))

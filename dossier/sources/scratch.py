@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[tempfile.TemporaryDirectory] = []
 
@@ -20,3 +20,9 @@ def new_folder(spark: SparkSession) -> str:
             _local.append(tempfile.TemporaryDirectory(prefix="dossier-", ignore_cleanup_errors=True))
         root = "file://" + _local[0].name
     return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, folder: str) -> DataFrame:
+    """The rows, written to a folder (in place of what a lost attempt left there) and read back: what follows doesn't repeat them."""
+    rows.write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
