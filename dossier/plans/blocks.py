@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking, text, url
 from ..operators import blocks, json_walk, structured
 from ..sources import snapshots
+from ..sources.scratch import new_folder
 from .bindings import bound
 from .profiles import _clean, _match
 from .registry import _DOMAIN, _JOINED, _PART, _in, over, query
@@ -28,6 +29,14 @@ def new_snapshots(s, d):
     return snapshots.new_snapshots(rows.where("snapshot_id % 2 = 1"), stored, digest).select("workspace_id", "source_id", "content_hash", F.col("snapshot_id").cast("long").alias("snapshot_id"))
 
 
+@query("a8_stored_snapshots", "SELECT DISTINCT workspace_id, source_id, sha256(content) AS content_hash FROM b_snapshot")
+def stored_snapshots(s, d):
+    """What the store holds after one writer that has a third of the snapshots, and one that has them all."""
+    store, rows, digest = snapshots.Store(s, new_folder(s)), bound(s, d, "b_snapshot"), F.sha2("content", 256)
+    store.append(rows.where("snapshot_id % 3 = 0"), digest)
+    return store.read(store.append(rows, digest)).select(*snapshots.KEYS)
+
+
 over("a2_json_blocks", "b_json_doc", "SELECT snapshot_id, 'structured_0001' AS block_key, 'structured' AS block_type, CAST(json(content) AS VARCHAR) AS text_content, sha256(CAST(json(content) AS VARCHAR)) AS block_hash FROM b_json_doc WHERE json_valid(content)", blocks.json_blocks)
 
 _LEAVES = (

@@ -7,9 +7,10 @@ from the checkpoint neither loses rows nor doubles them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,29 +21,44 @@ from ..sources.scratch import new_folder
 from .conflict_state import FOUND, Conflicts
 
 
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in RocksDB: on disk, and written on by its changes."""
+    before = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE[0]) if before is None else spark.conf.set(_STORE[0], before)
+
+
 def _run(stream: DataFrame, write, mode: str, folder: str) -> None:
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def unique_snapshots(stream: DataFrame, content_hash: Column, *, folder: str | None = None, delay: str = "30 days") -> DataFrame:
+def unique_snapshots(stream: DataFrame, content_hash: Column, *, folder: str | None = None) -> DataFrame:
     """workspace_id, source_id, content_hash, once each.
 
-    The watermark bounds the state that finds repeats; older repeats fall to the anti join with the keys stored before.
+    The keys seen are keyed state, so a batch reads what is stored of its own keys and not the table, however long that is.
     """
-    spark, keys = stream.sparkSession, ["workspace_id", "source_id", "content_hash"]
-    folder = folder or new_folder(spark)
-    schema = "workspace_id int, source_id bigint, content_hash string"
-    fresh = stream.select("workspace_id", "source_id", content_hash.alias("content_hash"), F.col("retrieved_at").cast("timestamp").alias("retrieved_at")).withWatermark("retrieved_at", delay).dropDuplicatesWithinWatermark(keys)
+    folder = folder or new_folder(stream.sparkSession)
+    rows = stream.select(F.col("workspace_id").cast("int"), F.col("source_id").cast("bigint"), content_hash.alias("content_hash"))
+    return _each_once(rows, folder)
+
+
+def _each_once(stream: DataFrame, folder: str) -> DataFrame:
+    """The rows of the stream, each once, as a table below the folder."""
+    spark, schema = stream.sparkSession, stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col("workspace_id").cast("int"), F.col("source_id").cast("bigint"), "content_hash").distinct()
-        if number:
-            stored = batch.sparkSession.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").where(F.col("batch") < number)
-            rows = rows.join(stored, keys, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    _run(fresh, write, "append", folder)
-    return spark.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").select(*keys)
+    with _rocksdb(spark):
+        _run(stream.dropDuplicates(), write, "append", folder)
+    return spark.read.schema(schema).parquet(f"{folder}/table").select(*schema.names)
 
 
 def audit_counts(stream: DataFrame, *, folder: str | None = None, window: str = "1 hour", delay: str = "1 day") -> DataFrame:
@@ -65,26 +81,24 @@ def audit_counts(stream: DataFrame, *, folder: str | None = None, window: str =
 
 
 def page_facts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
-    """page_id, field_key, value of the facts that captured pages (page_id, url, html) state, each once, in the first batch that has it."""
+    """page_id, field_key, value of the facts that captured pages (page_id, url, html) state, each once, in the first batch that has it.
+
+    A first stream writes what each batch of pages states; a second one reads that and keeps the facts seen as keyed state.
+    """
     spark = stream.sparkSession
     folder = folder or new_folder(spark)
-    schema, keys = "page_id bigint, field_key string, value string", ["page_id", "field_key", "value"]
+    keys = ["page_id", "field_key", "value"]
 
     def write(batch: DataFrame, number: int) -> None:
         made = blocks.html_blocks(batch.select("page_id", "url", "html").dropDuplicates(["page_id"]))
         stated = structured.structured_facts(made.where(F.col("block_key").startswith("json_ld")), ["page_id", "block_key"]).select(*keys)
         lines = changes.label_facts(made.select(F.lit(0).alias("workspace_id"), F.col("page_id").alias("company_id"), "block_key", "text_content"))
-        rows = stated.union(lines.select("company_id", "field_key", F.to_json(F.array("value")).alias("value")).select("company_id", "field_key", F.expr("substring(value, 2, length(value) - 2)"))).distinct()
-        if number:
-            stored = batch.sparkSession.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").where(F.col("batch") < number)
-            rows = rows.join(stored, keys, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
-
-    _run(stream, write, "append", folder)
-    return spark.read.schema(schema + ", batch bigint").parquet(f"{folder}/table").select(*keys)
-
+        rows = stated.union(lines.select("company_id", "field_key", F.to_json(F.array("value")).alias("value")).select("company_id", "field_key", F.expr("substring(value, 2, length(value) - 2)")))
+        rows.select(F.col("page_id").cast("bigint"), "field_key", "value").distinct().write.mode("overwrite").parquet(f"{folder}/stated/batch={number}")
 
-_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _run(stream, write, "append", f"{folder}/pages")
+    stated = spark.readStream.schema("page_id bigint, field_key string, value string").parquet(f"{folder}/stated/batch=*")
+    return _each_once(stated, folder)
 
 
 def conflicts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
@@ -107,12 +121,8 @@ def conflicts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    before = spark.conf.get(_STORE[0], None)
-    spark.conf.set(*_STORE)
-    try:
+    with _rocksdb(spark):
         _run(states, write, "update", folder)
-    finally:
-        spark.conf.unset(_STORE[0]) if before is None else spark.conf.set(_STORE[0], before)
     rows = spark.read.schema(FOUND + ", batch bigint").parquet(f"{folder}/table")
     own = [c.split()[0] for c in FOUND.split(", ")[len(key) :]]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*own), "batch").alias("last")).select(*key, "last.*")
