@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text, url
 from ..sources.scratch import new_folder, written
+from . import blocks
 from .companies import PRIORITY
 
 #: Providers that are trusted, with the tier of their word on each field (fixed values).
@@ -79,7 +80,7 @@ def provider_items(payloads: DataFrame, providers: DataFrame) -> tuple[DataFrame
     listed = F.from_json("payload", f"array<{item}>")
     is_list = F.trim("payload").startswith("[")
     is_object = F.trim("payload").startswith("{")
-    rows = payloads.join(F.broadcast(providers), "provider").withColumn("__whole", whole)
+    rows = payloads.join(providers, "provider").withColumn("__whole", whole)
     said = F.when(is_list, "success").when(is_object, F.lower(F.trim(F.coalesce("__whole.outcome", F.lit("success"))))).otherwise("unavailable")
     known = said.isin(*OUTCOMES)
     reason = F.when(~is_list & ~is_object, "INVALID_STRUCTURED_PROVIDER_RESULT").when(~known, "INVALID_PROVIDER_OUTCOME").otherwise(F.coalesce("__whole.reason", F.lit("")))
@@ -124,6 +125,43 @@ def news_items(responses: DataFrame, domain: str = "cafef.vn", most: int = 5) ->
     return rows.select("company_id", place.alias("place"), "url", "f.title", F.col("f.score").alias("entity_match_score")).where(F.col("place") <= most)
 
 
+def with_scheme(domain: Column) -> Column:
+    """An address from a verified domain, which may be given as one."""
+    bare = F.trim(domain)
+    return F.when(F.contains(bare, F.lit("://")), bare).otherwise(F.concat(F.lit("https://"), bare))
+
+
+def known_candidates(companies: DataFrame, domains: DataFrame, manual: DataFrame, history: DataFrame) -> dict[str, DataFrame]:
+    """Candidates that somebody has stated: companies' websites, verified domains (domain), urls by hand, sources used before.
+
+    All have workspace_id and company_id, the last two url; an ord of theirs stays.
+    """
+    own = lambda rows, u: rows.withColumn("url", u).where("url <> ''").select("workspace_id", "company_id", "url", F.lit(True).alias("provided"), (F.col("ord") if "ord" in rows.columns else F.lit(0)).alias("ord"))
+    return {
+        "official_website": own(companies, F.col("website_url")), "verified_official_domain": own(domains, with_scheme(F.col("domain"))),
+        "manual_url": own(manual, F.col("url")), "source_history": own(history, F.col("url")),
+    }
+
+
+def found_candidates(sitemaps: DataFrame, pages: DataFrame, searches: DataFrame, lookups: DataFrame, providers: DataFrame, *, per_sitemap: int = 100) -> dict[str, DataFrame]:
+    """Candidates that captured documents lead to: pages of sitemaps, links within a page's site, search results, providers' answers.
+
+    Each has company_id: sitemaps with sitemap_url and content, pages with page_id, url and html, searches with query_id and
+    payload, lookups with lookup_id, provider and payload. Nested sitemaps are no candidates.
+    """
+    of = lambda rows, key: rows.select(key, "company_id").distinct()
+    own = lambda rows, u, ord_, *more: rows.select("company_id", u.alias("url"), F.lit(False).alias("provided"), ord_.alias("ord"), *more)
+    named = blocks.sitemap_urls(sitemaps.select("sitemap_url", "content").distinct(), per_sitemap).where("NOT is_index").join(of(sitemaps, "sitemap_url"), "sitemap_url")
+    links = blocks.page_links(pages).join(pages.select("page_id", "company_id", F.col("url").alias("__page")), "page_id")
+    links = links.where((F.col("resolved") != "") & (url.normalize_domain(F.col("resolved")) == url.normalize_domain(F.col("__page"))))
+    results = search_items(searches).join(of(searches, "query_id"), "query_id")
+    answers = provider_items(lookups, providers)[0].join(of(lookups, "lookup_id"), "lookup_id")
+    return {
+        "sitemap": own(named, F.col("location"), F.col("pos")), "internal_link": own(links, F.col("resolved"), F.col("pos"), F.col("label").alias("title")), "search_provider": own(results, F.col("url"), F.col("rank"), "title", "snippet"),
+        "trusted_provider": own(answers, F.col("url"), F.col("rank"), "title", "snippet", "entity_match_score", "source_type", "authority_tier", "authority_by_field"),
+    }
+
+
 def union_candidates(parts: dict[str, DataFrame]) -> DataFrame:
     """Candidates of all origins (name: rows) as one table with discovered_via and ord, the origin's place and then the row's own ord.
 

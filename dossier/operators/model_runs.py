@@ -49,9 +49,9 @@ def _shape_error(shape: Column, kind: Column, value: Column) -> Column:
 def field_errors(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """run_id, fact_id, error of facts (operation, field_key, value as JSON, is_unknown) that break their field's rule.
 
-    The rules are a small table and broadcast. Unknown facts are only held against the vocabulary.
+    Unknown facts are only held against the vocabulary.
     """
-    rows = facts.join(F.broadcast(rules), ["operation", "field_key"], "left")
+    rows = facts.join(rules, ["operation", "field_key"], "left")
     shaped = F.when(~F.col("is_unknown"), _shape_error(F.col("shape"), values.value_type(F.col("value")), F.col("value")))
     error = F.when(F.col("shape").isNull(), "UNKNOWN_FIELD").otherwise(shaped)
     return rows.select("run_id", "fact_id", error.alias("error")).where("error IS NOT NULL")

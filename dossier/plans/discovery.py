@@ -9,7 +9,8 @@ from ..operators import companies, discovery
 
 from .blocks import _RANKED, _RESOLVED, _TOKEN_OF
 from .profiles import _PRIORITY, _clean, _match
-from .registry import _DOMAIN, _JOINED, _NORMAL, _PART, _class, _in, over, query
+from .bindings import bound
+from .registry import _DOMAIN, _JOINED, _NORMAL, _PART, ORACLE_SQL, _class, _in, over, query
 
 
 def _of(expression: str, column: str) -> str:
@@ -52,13 +53,34 @@ def _tiers(payloads):
 
 
 _OFFICIAL = "SELECT workspace_id, company_id, website_url AS url, TRUE AS provided, 'official_website' AS discovered_via, CAST(NULL AS STRING) AS title FROM b_company WHERE website_url IS NOT NULL"
-over("e2_union_candidates", "b_company b_source b_search_payload", (
-    f"{_OFFICIAL} UNION ALL SELECT workspace_id, company_id, url, TRUE, 'source_history', NULL FROM b_source WHERE source_id % 8 <> 5 UNION ALL SELECT CAST(NULL AS INT), company_id, url, FALSE, 'search_provider', title FROM ({_FOUND})"
-), lambda c, s, p: discovery.union_candidates({
-    "official_website": c.where("website_url IS NOT NULL").select("workspace_id", "company_id", F.col("website_url").alias("url"), F.lit(True).alias("provided")),
-    "source_history": s.where("source_id % 8 <> 5").select("workspace_id", "company_id", "url", F.lit(True).alias("provided"), F.col("source_id").alias("ord")),
-    "search_provider": discovery.search_items(p).join(p.select("query_id", "company_id"), "query_id").select("company_id", "url", "title", F.lit(False).alias("provided"), F.col("rank").alias("ord")),
-}).select("workspace_id", "company_id", "url", "provided", "discovered_via", "title"))
+_ORIGINS = {
+    "official_website": f"{_OFFICIAL}",
+    "verified_official_domain": f"SELECT workspace_id, company_id, CASE WHEN workspace_id % 2 = 0 THEN concat('https://', {_of(_DOMAIN, 'website_url')}) ELSE website_url END, TRUE, 'verified_official_domain', NULL FROM b_company WHERE website_url IS NOT NULL",
+    "manual_url": "SELECT NULL, concat('C', page_id), url, TRUE, 'manual_url', NULL FROM b_url_case WHERE url <> ''",
+    "sitemap": f"SELECT NULL, concat('C', regexp_extract(sitemap_url, 'site([0-9]+)', 1)), location, FALSE, 'sitemap', NULL FROM ({ORACLE_SQL['d5_sitemap_urls']}) WHERE NOT is_index",
+    "internal_link": f"SELECT NULL, concat('C', l.page_id), resolved, FALSE, 'internal_link', label FROM ({ORACLE_SQL['d3_page_links']}) l JOIN pages p ON p.page_id = l.page_id WHERE resolved <> '' AND {_of(_DOMAIN, 'resolved')} = {_of(_DOMAIN, 'p.url')}",
+    "search_provider": f"SELECT NULL, company_id, url, FALSE, 'search_provider', title FROM ({_FOUND})",
+    "trusted_provider": f"SELECT NULL, concat('C', lookup_id), url, FALSE, 'trusted_provider', title FROM ({ORACLE_SQL['a4_provider_items']})",
+    "source_history": "SELECT workspace_id, company_id, url, TRUE, 'source_history', NULL FROM b_source WHERE source_id % 8 <> 5",
+}
+
+
+def _all_origins(companies_, sources, urls, sitemaps, pages, searches, lookups):
+    domain = F.when(F.col("workspace_id") % 2 == 0, url.normalize_domain(F.col("website_url"))).otherwise(F.col("website_url"))
+    of = lambda rows, key: rows.withColumn("company_id", F.concat(F.lit("C"), key))
+    known = discovery.known_candidates(
+        companies_, companies_.where("website_url IS NOT NULL").withColumn("domain", domain), of(urls.withColumn("workspace_id", F.lit(None).cast("int")), F.col("page_id")), sources.where("source_id % 8 <> 5").withColumn("ord", F.col("source_id")),
+    )
+    found = discovery.found_candidates(of(sitemaps, F.regexp_extract("sitemap_url", "site([0-9]+)", 1)), of(pages, F.col("page_id")), searches, of(lookups, F.col("lookup_id")), discovery.registry(lookups.sparkSession), per_sitemap=4)
+    parts = known | found
+    return discovery.union_candidates({name: parts[name] for name in _ORIGINS}).select("workspace_id", "company_id", "url", "provided", "discovered_via", "title")
+
+
+@query("e2_union_candidates", " UNION ALL ".join(_ORIGINS.values()))
+def union_candidates(s, d):
+    views = [bound(s, d, v) for v in ("b_company", "b_source", "b_url_case", "b_sitemap")]
+    return _all_origins(*views, s.read.parquet(f"{d}/pages.parquet"), bound(s, d, "b_search_payload"), bound(s, d, "b_provider_payload"))
+
 
 _ENRICHED = (
     f"SELECT *, {_class(True)} AS source_type, {_class(False)} AS authority_tier, CASE WHEN provided THEN 1.0::DOUBLE ELSE {_MATCHED("trim(concat_ws(' ', title, snippet))")} END AS score"
