@@ -230,28 +230,35 @@ def search_status(items: DataFrame, companies: DataFrame) -> DataFrame:
     return rows.select("query_id", "rank", "normalized", status.alias("status"), reason.alias("reason"), "relevance", "page_group")
 
 
-def discovery_queries(companies: DataFrame, aliases: DataFrame, sections: tuple[str, ...] = ("official",), languages: tuple[str, ...] = ("vi", "en"), country: str | None = None, most_names: int = 4) -> DataFrame:
+def discovery_queries(companies: DataFrame, aliases: DataFrame, sections: tuple[str, ...] = ("official",), languages: tuple[str, ...] = ("vi", "en"), country: str | None = None, most_names: int = 4, scopes: DataFrame | None = None) -> DataFrame:
     """workspace_id, company_id, section, language, query: what to search for each company, each text once.
 
-    Names are the legal name, the name and aliases, told apart without case, at most four.
+    Names are the legal name, the name and aliases, told apart without case, at most four. scopes, one row a company at
+    most, has what a user asks for: search_query (their own text, which comes first), and country, country_name and
+    country_code, which where any is given stand in place of the country for all.
     """
     name = lambda c: text.clean_text(F.coalesce(F.col(c), F.lit("")))
     own = aliases.groupBy("workspace_id", "company_id").agg(F.array_sort(F.collect_set(name("alias_name"))).alias("aliases"))
     rows = companies.join(own, ["workspace_id", "company_id"], "left")
     every = F.filter(F.concat(F.array(name("legal_name"), name("company_name")), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x != "")
-    rows = rows.withColumn("__all", every)
+    rows = rows.withColumns({"__all": every, "__country": F.lit(country).cast("string"), "__asked": F.lit(None).cast("string")})
+    if scopes is not None:
+        said = F.nullif(F.concat_ws(" ", "country", "country_name", "country_code"), F.lit(""))
+        asked = scopes.select("workspace_id", "company_id", said.alias("__said"), F.nullif(text.clean_text(F.col("search_query")), F.lit("")).alias("__own"))
+        rows = rows.join(asked, ["workspace_id", "company_id"], "left").withColumns({"__country": F.coalesce("__said", "__country"), "__asked": F.col("__own")})
     rows = rows.withColumn("__names", F.slice(F.filter("__all", lambda x, i: F.array_position(F.transform("__all", F.lower), F.lower(x)) == i + 1), 1, most_names))
     site = F.regexp_replace(F.regexp_extract(F.lower(url.part(url.ensure_scheme(F.coalesce("website_url", F.lit(""))), 4)), r"^(?:[^@]*@)?([^:]*)", 1), r"^www\.", "")
     numbers = F.array_distinct(F.filter(F.array(name("registration_number"), name("tax_id")), lambda x: x != ""))
     quoted = lambda names: F.array_join(F.transform(names, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " ")
     rest = F.slice("__names", 2, most_names)
     head = F.concat_ws(
-        " ", quoted(F.slice("__names", 1, 1)), F.when(F.size(rest) > 0, F.concat(F.lit("aliases "), quoted(rest))), F.lit(f"country {country}") if country else F.lit(None).cast("string"),
+        " ", quoted(F.slice("__names", 1, 1)), F.when(F.size(rest) > 0, F.concat(F.lit("aliases "), quoted(rest))), F.concat(F.lit("country "), "__country"),
         F.when(site != "", F.concat(F.lit("site:"), site)), F.when(F.size(numbers) > 0, F.concat(F.lit("registration "), F.array_join(numbers, " "))),
     )
     terms = [F.struct(F.lit(i * len(languages) + j).alias("ord"), F.lit(s).alias("section"), F.lit(x).alias("language"), F.lit(SECTIONS.get(s, SECTIONS["official"]).get(x, SECTIONS.get(s, SECTIONS["official"])["en"])).alias("terms")) for i, s in enumerate(sections) for j, x in enumerate(languages)]
-    rows = rows.where(F.size("__names") > 0).select("workspace_id", "company_id", head.alias("__head"), F.inline(F.array(*terms)))
-    rows = rows.withColumn("query", F.concat_ws(" ", "__head", "terms"))
+    first = F.struct(F.lit(-1).alias("ord"), F.lit("official").alias("section"), F.lit(languages[0]).alias("language"), F.lit(None).cast("string").alias("terms"))
+    rows = rows.where(F.size("__names") > 0).select("workspace_id", "company_id", head.alias("__head"), "__asked", F.inline(F.array(first, *terms)))
+    rows = rows.withColumn("query", F.when(F.col("ord") < 0, F.col("__asked")).otherwise(F.concat_ws(" ", "__head", "terms"))).where("query IS NOT NULL")
     first = F.row_number().over(Window.partitionBy("workspace_id", "company_id", F.lower("query")).orderBy("ord"))
     return rows.withColumn("__n", first).where("__n = 1").select("workspace_id", "company_id", "section", "language", "query")
 

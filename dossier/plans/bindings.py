@@ -296,6 +296,11 @@ SELECT CAST(o_custkey % 5 AS INT) AS workspace_id, concat('C', CAST(o_custkey AS
        CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) % 5 * 25 AS STRING) ELSE concat('"v', CAST(CAST(floor(o_totalprice / 100) AS BIGINT) % 3 AS STRING), '"') END AS value_json,
        CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'candidate' END AS fact_status
 FROM orders
+""",
+    "b_scope": """
+SELECT workspace_id, company_id, CASE WHEN tax_id IS NULL THEN concat('  who  owns ', company_id, ' ') WHEN legal_name IS NULL THEN ' ' END AS search_query,
+       CASE WHEN legal_name IS NOT NULL THEN 'Lao' END AS country, CAST(NULL AS STRING) AS country_name, CASE WHEN registration_number IS NOT NULL THEN 'LA' END AS country_code
+FROM b_company WHERE website_url IS NOT NULL
 """,
     "b_conflict_event": """
 SELECT workspace_id, company_id, field_key, context_key, fact_id, value_type, value_json, fact_status, CAST(CASE WHEN floor(fact_id / 3) % 3 = 1 THEN 3 ELSE 1 END AS BIGINT) AS seq, CAST(NULL AS STRING) AS action FROM b_order_fact

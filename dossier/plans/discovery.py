@@ -126,10 +126,16 @@ _SITE = r"regexp_replace(regexp_extract(lower(coalesce(website_url, '')), '^[a-z
 _HEAD = f"concat_ws(' ', {_Q('names[1]')}, CASE WHEN len(names) > 1 THEN concat('aliases ', array_to_string(list_transform(names[2:], lambda x: {_Q('x')}), ' ')) END, 'country Vietnam', CASE WHEN site <> '' THEN concat('site:', site) END, CASE WHEN len(numbers) > 0 THEN concat('registration ', array_to_string(numbers, ' ')) END)"
 _SECTIONS = ("official", "news", "leadership")
 _TERMS = " UNION ALL ".join(f"SELECT '{s}' AS section, '{x}' AS language, '{discovery.SECTIONS[s][x]}' AS terms" for s in _SECTIONS for x in ("vi", "en"))
-over("e1_discovery_queries", "b_company b_alias", (
+_QUERIES = (
     f"SELECT workspace_id, company_id, section, language, concat_ws(' ', {_HEAD}, terms) AS query FROM (SELECT *, {_DISTINCT} AS names FROM (SELECT *, {_NAMES} AS all_, {_NUMBERS} AS numbers, {_SITE} AS site FROM b_company"
     f" LEFT JOIN (SELECT workspace_id, company_id, list(alias_name ORDER BY alias_name) AS aliases FROM b_alias GROUP BY ALL) USING (workspace_id, company_id))) CROSS JOIN ({_TERMS})"
-), lambda c, a: discovery.discovery_queries(c, a, _SECTIONS, country="Vietnam"))
+)
+over("e1_discovery_queries", "b_company b_alias", _QUERIES, lambda c, a: discovery.discovery_queries(c, a, _SECTIONS, country="Vietnam"))
+_SAID = "CASE WHEN country IS NOT NULL OR country_code IS NOT NULL THEN concat('country ', concat_ws(' ', country, country_code)) ELSE 'country Vietnam' END"
+_SCOPED = _QUERIES.replace("'country Vietnam'", _SAID).replace("b_company LEFT JOIN", "b_company LEFT JOIN b_scope USING (workspace_id, company_id) LEFT JOIN")
+over("e1_scoped_queries", "b_company b_alias b_scope", (
+    f"{_SCOPED} UNION ALL SELECT workspace_id, company_id, 'official', 'vi', {_clean('search_query')} FROM b_scope WHERE trim(search_query) <> ''"
+), lambda c, a, x: discovery.discovery_queries(c, a, _SECTIONS, country="Vietnam", scopes=x))
 
 _LINES = "SELECT site, i AS spot, l[i] AS raw FROM (SELECT site, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT site, string_split(content, chr(10)) AS l FROM b_robots WHERE status = 200))"
 _KEYED = f"SELECT site, spot, CASE WHEN raw = '' THEN 'blank' WHEN k = 'user-agent' THEN 'agent' WHEN k IN ('allow', 'disallow') THEN k END AS kind, v FROM (SELECT *, lower(trim(regexp_extract(bare, '^([^:]*):', 1))) AS k, trim(regexp_extract(bare, '^[^:]*:(.*)$', 1)) AS v FROM (SELECT *, trim(regexp_replace(raw, '#.*$', '')) AS bare FROM ({_LINES})))"
