@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -84,6 +85,24 @@ def test_sharding(spark, odd):
     assert all(six[r["doc_id"]] == r["grown_shard"] for r in rows)
 
 
+def test_shards_are_those_of_the_highest_weight(spark):
+    def chained(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if abs(v) < 1 << 20 else "<q", v), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    # numbers of ids are wide, those of shards narrow
+    for kind, ids in (("bigint", [*range(1 << 40, (1 << 40) + 300), None, -(1 << 41)]), ("string", [*(f"é{i}" for i in range(200)), "", None])):
+        docs = spark.createDataFrame([(i, "t") for i in ids], f"doc_id {kind}, text string")
+        weight = lambda s, i: (chained(7, s, i), s)
+        for r in sharding.with_shard(docs, 9).collect():
+            assert r["shard"] == max(weight(s, r["doc_id"]) for s in range(9))[1] and r["grown_shard"] == max(weight(s, r["doc_id"]) for s in range(10))[1]
+        rows = sharding.with_slots(sharding.shuffled(docs, 9)).collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(ids)
+
+
 def test_toxicity_gradient_and_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id bigint, toxic int")
     rows = toxicity.score(odd, labels).collect()
