@@ -145,7 +145,10 @@ def text_blocks(pages: DataFrame, cap: int = 10_000_000) -> DataFrame:
     Paragraphs stand between blank lines; their white space is collapsed, and keys count blank ones as well.
     """
     trimmed = F.regexp_replace("text", f"^{text.SPACES}|{text.SPACES}$", "")
-    rows = pages.select("doc_id", F.posexplode(F.split(trimmed, "\n[ \t\n\x0B\f\r]*\n")).alias("at", "raw")).select("doc_id", "at", text.clean_text(F.col("raw")).alias("block")).where("block <> ''")
+    paragraphs = lambda docs: docs.select("doc_id", F.posexplode(F.split(trimmed, "\n[ \t\n\x0B\f\r]*\n")).alias("at", "raw")).select("doc_id", "at", text.clean_text(F.col("raw")).alias("block")).where("block <> ''")
+    # a text within the cap keeps all of its paragraphs, so only longer ones are summed up
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
     w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("block")).over(w))
-    return rows.where(F.col("bytes") <= cap).select("doc_id", F.concat(F.lit("p1_b"), (F.col("at") + 1).cast("string")).alias("block_key"), "block")
+    long = paragraphs(pages.where(size > cap)).withColumn("bytes", F.sum(F.octet_length("block").cast("long")).over(w)).where(F.col("bytes") <= cap).drop("bytes")
+    rows = paragraphs(pages.where(size <= cap)).unionByName(long)
+    return rows.select("doc_id", F.concat(F.lit("p1_b"), (F.col("at") + 1).cast("string")).alias("block_key"), "block")
