@@ -7,8 +7,8 @@ anew with each parent give the bytes at which tokens end, and an Acero full oute
 out the rest: ends that both sides have cut groups, and each row, its gaps filled from the next row, is one overlapping pair
 of tokens. ``Table.group_by`` counts a chunk's documents for each pair of ids, and Spark sums those partial counts.
 
-A chunk is written as one row: its documents as lists of stretches, its stretches as lists of pairs, and its pairs. The
-second pass reads that, not the texts. It looks up the counts of at most ``frequent`` pairs, those with the highest, in arrays
+A chunk is written as rows of some documents each: these as lists of stretches, the stretches as lists of pairs, and the
+pairs. The second pass reads that, not the texts. It looks up the counts of at most ``frequent`` pairs, those with the highest, in arrays
 sent to each task; links of all other pairs go by a shuffle join, and as their counts are lower than those sent, no such
 pair is held by many documents. Both ways are exact, and neither drops a link.
 
@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .packing import _byte_letters
 
-CHUNK_BYTES, FREQUENT = 8 << 20, 1 << 20
+CHUNK_BYTES, PART_BYTES, FREQUENT = 4 << 20, 64 << 10, 1 << 20
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: The pre-tokeniser's pattern of the byte-level vocabulary. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,10 +49,7 @@ class ByteLevel:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         letters = {letter: b for b, letter in _byte_letters().items()}
@@ -69,6 +67,14 @@ class ByteLevel:
 
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def encode(self, texts: list[str], longest: int) -> list[list[int]]:
         short = (lambda t: self.fast.encode_ordinary(t)) if self.fast else (lambda t: self.whole.encode(t, add_special_tokens=False).ids)
         return [short(t) if len(t) < longest else self.whole.encode(t, add_special_tokens=False).ids for t in texts]
@@ -188,34 +194,50 @@ class Aligner:
         counts = {"n_a": tokens[0][1], "n_b": tokens[1][1], "n_groups": n_groups, "n_links": np.bincount(of, minlength=len(texts))}
         return {"counts": counts, "groups": text, "ok": ok, "codes": _numpy(pairs.indices), "pairs": _numpy(pairs.dictionary)}
 
-    def chunk(self, doc_ids: pa.Array, texts: list[str | None]) -> dict[str, pa.Array]:
-        """The columns of one chunk's row, each with the one value."""
+    def chunk(self, doc_ids: pa.Array, texts: list[str | None], part_bytes: int) -> Iterator[dict[str, pa.Array]]:
+        """The columns of a chunk's rows, each with one value; the first row has the chunk's pairs with their documents."""
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
         every = pc.dictionary_encode(pa.array([s for own in cut for s in own], pa.string()))
         found = self.stretches(every.dictionary.to_pylist())
         units, n = _numpy(every.indices), np.array([len(own) for own in cut], np.int64)
+        del cut, every
         bad = _sums(~found["ok"][units], n) > 0
         if bad.any():
             units, n = units[np.repeat(~bad, n)], n * ~bad
         text = pc.binary_join(_lists(n, pc.take(found["groups"], pa.array(units))), ";").to_pylist()
-        links = found["counts"]["n_links"]
+        sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in text]
+        counts = {c: _sums(v[units], n) for c, v in found["counts"].items()}
+        links, codes, pairs = found["counts"]["n_links"], found["codes"], found["pairs"]
         # a document's different stretches, then its different pairs
-        keys = np.repeat(np.arange(len(texts)), n) << 32 | units
-        keys = _numpy(pc.unique(pa.array(keys, pa.int64())))
+        keys = _numpy(pc.unique(pa.array(np.repeat(np.arange(len(texts)), n) << 32 | units, pa.int64())))
         docs, which = keys >> 32, keys & 0xFFFFFFFF
-        held = pa.table({"doc": np.repeat(docs, links[which]), "pair": found["codes"][_spread(which, links)]})
+        held = pa.table({"doc": np.repeat(docs, links[which]), "pair": codes[_spread(which, links)]})
         held = held.group_by(["doc", "pair"], use_threads=False).aggregate([]).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-        pairs = found["pairs"][_numpy(held["pair"])]
-        place = np.zeros(len(found["pairs"]), np.int64)
-        place[_numpy(held["pair"])] = np.arange(len(pairs))
-        one = lambda values, kind: pa.array([np.asarray(values)], pa.list_(kind))
-        lists = lambda counts, values: pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), _lists(counts, pa.array(values, pa.int32())))
-        sha = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in text])
-        return {
-            "doc_id": pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), **{c: one(_sums(v[units], n), pa.int64()) for c, v in found["counts"].items()},
-            "groups_sha256": pa.ListArray.from_arrays(pa.array([0, len(sha)], pa.int32()), sha), "units": lists(n, units), "links": lists(links, place[found["codes"]]),
-            "pair_a": one(pairs >> 32, pa.int32()), "pair_b": one(pairs & 0xFFFFFFFF, pa.int32()), "pair_n": one(_numpy(held["count_all"]), pa.int64()),
-        }
+        counted = [*_halves(pairs[_numpy(held["pair"])]), _numpy(held["count_all"])]
+        size = np.cumsum([len(t or "") for t in texts])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, part_bytes + (size[at - 1] if at else 0), "right")))
+            own, here = np.unique(units[ends[at] : ends[end]], return_inverse=True)
+            known, place = np.unique(codes[_spread(own, links)], return_inverse=True)
+            yield {
+                "doc_id": _one(doc_ids.slice(at, end - at)), **{c: _one(v[at:end], pa.int64()) for c, v in counts.items()}, "groups_sha256": _one(sha[at:end], pa.string()),
+                "units": _one(_lists(n[at:end], pa.array(here, pa.int32()))), "links": _one(_lists(links[own], pa.array(place, pa.int32()))),
+                **{c: _one(v, pa.int32()) for c, v in zip(("pair_a", "pair_b"), _halves(pairs[known]), strict=True)},
+                **{c: _one(v if not at else [], k) for c, v, k in zip(("held_a", "held_b", "held_n"), counted, (pa.int32(), pa.int32(), pa.int64()), strict=True)},
+            }
+            at = end
+
+
+def _halves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _one(values, kind: pa.DataType | None = None) -> pa.Array:
+    """A list array with one list."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -232,27 +254,28 @@ def _cut_up(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def chunks(docs: DataFrame, a: str, b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A row for each chunk: its documents' results, stretches and pairs. a: byte-level JSON file; b: model of pieces."""
+def chunks(docs: DataFrame, a: str, b: str, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows with the documents' results, stretches and pairs, some for each chunk. a: byte-level JSON file; b: model of pieces."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, doc_id array<{kind}>, " + "".join(f"{c} array<bigint>, " for c in _COUNTS)
-    schema += "groups_sha256 array<string>, units array<array<int>>, links array<array<int>>, pair_a array<int>, pair_b array<int>, pair_n array<bigint>"
+    schema = f"part bigint, doc_id array<{kind}>, " + "".join(f"{c} array<bigint>, " for c in _COUNTS) + "groups_sha256 array<string>, units array<array<int>>, links array<array<int>>, "
+    schema += "pair_a array<int>, pair_b array<int>, held_a array<int>, held_b array<int>, held_n array<bigint>"
 
     def run(batches):
         aligner = _aligners.get((a, b)) or _aligners.setdefault((a, b), Aligner(a, b))
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in _cut_up(batch, chunk_bytes):
-                row = aligner.chunk(part.column("doc_id"), part.column("text").to_pylist())
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), **row})
-                number += 1
+            for chunk in _cut_up(batch, chunk_bytes):
+                for row in aligner.chunk(chunk.column("doc_id"), chunk.column("text").to_pylist(), part_bytes):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int64()), **row})
+                    number += 1
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """a, b, n (documents that hold the pair linked), best (whether no pair of the same a has more), of the chunks' partial counts."""
-    pairs = rows.select(F.expr("inline(arrays_zip(pair_a, pair_b, pair_n))").alias("a", "b", "n"))
+    pairs = rows.select(F.expr("inline(arrays_zip(held_a, held_b, held_n))").alias("a", "b", "n"))
     counts = materialise(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
     # as many rows as the vocabulary has ids
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
@@ -271,15 +294,16 @@ def _split(counts: DataFrame, frequent: int) -> tuple[DataFrame, DataFrame]:
     return counts.where(step >= least), counts.where(step < least)
 
 
-def report(docs: DataFrame, a: str, b: str, *, chunk_bytes: int = CHUNK_BYTES, frequent: int = FREQUENT) -> DataFrame:
+def report(docs: DataFrame, a: str, b: str, *, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(chunks(docs, a, b, chunk_bytes))
+    # row groups of bounded size, as a reader holds one of them as a whole
+    rows = materialise(chunks(docs, a, b, chunk_bytes, part_bytes), **{"parquet.block.size": 16 << 20})
     counts = pair_counts(rows)
     high, low = _split(counts, frequent)
     high = high.select(F.expr("shiftleft(CAST(a AS BIGINT), 32) | b").alias("key"), "n", "best").toArrow().sort_by("key")
     sent = spark.sparkContext.broadcast([_numpy(high[c]) for c in ("key", "n", "best")])
-    out = "chunk bigint, doc int, " + f"doc_id {kind}, " + "".join(f"{c} bigint, " for c in (*_COUNTS, "n_best", "count_sum")) + "groups_sha256 string, low array<struct<a:int,b:int,times:bigint>>"
+    out = "part bigint, doc int, " + f"doc_id {kind}, " + "".join(f"{c} bigint, " for c in (*_COUNTS, "n_best", "count_sum")) + "groups_sha256 string, low array<struct<a:int,b:int,times:bigint>>"
 
     def run(batches):
         key, n, best = sent.value
@@ -303,13 +327,13 @@ def report(docs: DataFrame, a: str, b: str, *, chunk_bytes: int = CHUNK_BYTES, f
                 low = pa.StructArray.from_arrays([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), table["count_all"].combine_chunks()], ["a", "b", "times"])
                 size = len(per_doc)
                 yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.repeat(batch.column("chunk")[k], size), "doc": pa.array(np.arange(size), pa.int32()), "doc_id": value("doc_id"), **{c: value(c) for c in _COUNTS},
+                    "part": pa.repeat(batch.column("part")[k], size), "doc": pa.array(np.arange(size), pa.int32()), "doc_id": value("doc_id"), **{c: value(c) for c in _COUNTS},
                     "n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1]), "groups_sha256": value("groups_sha256"), "low": _lists(np.bincount(_numpy(table["doc"]), minlength=size), low),
                 })
 
-    done = materialise(rows.drop("pair_n").mapInArrow(run, out))
-    links = done.select("chunk", "doc", F.expr("inline(low)")).join(low.hint("merge"), ["a", "b"])
-    more = links.groupBy("chunk", "doc").agg(F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best"))
-    done = done.drop("low").join(more, ["chunk", "doc"], "left")
+    done = materialise(rows.drop("held_a", "held_b", "held_n").mapInArrow(run, out))
+    links = done.select("part", "doc", F.expr("inline(low)")).join(low.hint("merge"), ["a", "b"])
+    more = links.groupBy("part", "doc").agg(F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best"))
+    done = done.drop("low").join(more, ["part", "doc"], "left")
     total = lambda c, more: (F.col(c) + F.coalesce(F.col(more), F.lit(0))).alias(c)
     return done.select("doc_id", *_COUNTS, total("n_best", "more_best"), total("count_sum", "more_sum"), "groups_sha256")

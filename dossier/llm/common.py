@@ -56,10 +56,10 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         _handed.remove(h)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options) -> DataFrame:
     """Writes df as Parquet to the shared scratch folder and reads it back, which cuts its lineage."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -74,7 +74,7 @@ def wanted(docs):
     return brute([tuple(r) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 0}, {"frequent": 300, "chunk_bytes": 5000}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 0}, {"frequent": 300, "chunk_bytes": 5000, "part_bytes": 700}])
 def test_against_whole_texts(docs, wanted, options):
     """All pairs sent, none of them, and some of them, with chunks large and small."""
     got = alignment.report(docs.withColumn("chunk", F.lit("own")).withColumn("low", F.lit("own")), A, B, **options)
