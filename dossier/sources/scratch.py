@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[tempfile.TemporaryDirectory] = []
+#: (session, folder) of the folders handed out and not yet removed.
+_handed: list[tuple[SparkSession, str]] = []
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -19,7 +21,18 @@ def new_folder(spark: SparkSession) -> str:
         if not _local:
             _local.append(tempfile.TemporaryDirectory(prefix="dossier-", ignore_cleanup_errors=True))
         root = "file://" + _local[0].name
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    _handed.append((spark, folder))
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the session's folders handed out until now; results that are read from them must have been read or written on."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for own in [h for h in _handed if h[0] is spark]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own[1])
+        path.getFileSystem(conf).delete(path, True)
+        _handed.remove(own)
 
 
 def written(rows: DataFrame, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.sources import snapshots
+from dossier.sources import scratch, snapshots
 from dossier.streaming import steps
 
 ROWS = "workspace_id int, source_id bigint, snapshot_id bigint, content string, retrieved_at timestamp"
@@ -78,3 +78,11 @@ def test_streams_keep_what_they_have_seen(spark, tmp_path):
     more = steps.unique_snapshots(spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in"), DIGEST("content"), folder=f"{tmp_path}/state")
     assert more.count() == len({(i % 3, i % 7, i % 50) for i in range(2000)} - seen)
     assert os.listdir(f"{tmp_path}/state/table") and os.path.exists(f"{tmp_path}/state/checkpoint/state")
+
+
+def test_folders_are_removed_when_released(spark):
+    folder = scratch.new_folder(spark)
+    kept = scratch.written(spark.range(3), folder)
+    assert kept.count() == 3 and os.path.exists(folder.removeprefix("file://"))
+    scratch.release(spark)
+    assert not os.path.exists(folder.removeprefix("file://")) and not [h for h in scratch._handed if h[0] is spark]
