@@ -112,3 +112,18 @@ def test_one_repeated_id_packs_over_many_groups(spark):
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert len(rows) == 3000 and all(sorted(b) == [(3 * k, 3) for k in range(len(b))] for b in bins.values()) and len(bins) == 600
+
+
+def test_what_is_broadcast_is_bounded_in_rows_and_bytes(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    rows = spark.range(100).selectExpr("id", "repeat('x', 1000) AS url")
+    assert hinted(common.few(rows)) and not hinted(common.few(rows, max_broadcast_rows=99)) and not hinted(common.few(rows, max_broadcast_bytes=90_000))
+
+
+def test_rows_are_ranked_without_a_task_for_each_group(spark):
+    rows = spark.range(2000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS g", "IF(id % 2 = 0, 7, id) AS v").repartition(5)
+    got = common.ranked(rows, ["g"], [common.F.asc("v")]).collect()
+    for g in (None, 1, 2):
+        own = sorted((r["number"], r["v"]) for r in got if r["g"] == g)
+        assert [n for n, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+    assert len(got) == 2000 and common.ranked(rows.limit(0), [], []).count() == 0
