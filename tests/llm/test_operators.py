@@ -224,7 +224,7 @@ def test_empty_tables(spark, odd):
 
 
 def test_all_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_clean_leaves_no_hit(spark):
