@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, few, materialise, ranked, with_columns_of
 
 WEIGHTS, AT_MOST = (1, 2, 3), 3
-LEVELS, LEVEL_BITS, SALTS = 4, 15, 6
+LEVELS, LEVEL_BITS, SALTS = 5, 12, 6
 _BITS = LEVELS * LEVEL_BITS
 
 
