@@ -80,8 +80,8 @@ def mine_rules(
     bad = baskets.where("bad").select(kept.alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n_bad).fit(bad).freqItemsets
     sets = materialise(sets.where(F.size("items") > 0).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad"), F.xxhash64(F.array_sort("items")).alias("rule_id")))
-    same = baskets.groupBy("tokens").agg(F.count("*").alias("n")).withColumn("whose", F.col("tokens"))
-    counts = _met(same, sets, "n").groupBy("rule_id").agg(F.sum("n").alias("n_rows"))
+    # counted where the urls are read, so that tasks are as many as the scan has
+    counts = _met(baskets.withColumn("whose", F.lit(None)), sets).groupBy("rule_id").agg(F.count("*").alias("n_rows"))
     base = n_bad / n
     rules = sets.join(counts, "rule_id").withColumn("confidence", F.col("n_bad") / F.col("n_rows")).withColumn("lift", F.col("confidence") / base)
     beyond = F.col("n_bad") - F.col("n_rows") * base
@@ -91,8 +91,8 @@ def mine_rules(
     return materialise(rules.join(implied, "rule_id", "left_anti").select(*[c.split()[0] for c in RULE.split(", ")]))
 
 
-def _met(baskets: DataFrame, rules: DataFrame, *carried: str, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """whose, rule_id (and what is carried) of the rules of which a basket (whose, tokens) has all tokens.
+def _met(baskets: DataFrame, rules: DataFrame, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """whose, rule_id of the rules of which a basket (whose, tokens) has all tokens.
 
     A rule stands in the index under the one of its tokens that the fewest rules have, so that a token of many rules brings
     no basket to all of them.
@@ -100,8 +100,8 @@ def _met(baskets: DataFrame, rules: DataFrame, *carried: str, max_broadcast_rows
     each = rules.select("rule_id", "tokens", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("often"))
     index = each.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("often", "token")).alias("key"), F.any_value("tokens").alias("needed")).select("rule_id", "needed", F.col("key.token").alias("token"))
-    met = baskets.select("whose", "tokens", *carried, F.explode("tokens").alias("token")).join(few(index, max_broadcast_rows), "token")
-    return met.where(F.size(F.array_except("needed", "tokens")) == 0).select("whose", "rule_id", *carried)
+    met = baskets.select("whose", "tokens", F.explode("tokens").alias("token")).join(few(index, max_broadcast_rows), "token")
+    return met.where(F.size(F.array_except("needed", "tokens")) == 0).select("whose", "rule_id")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame, **limits) -> DataFrame:
