@@ -27,18 +27,18 @@ SYMBOLS = "[#*$%&|<>]"
 
 def line_rules(line: Column) -> dict[str, Column]:
     """Rule name -> whether the line breaks it."""
-    removed = lambda pattern: F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
+    found = lambda pattern: F.regexp_count(line, F.lit(pattern))
     words = F.size(F.split(F.btrim(line, F.lit(SPACE_CHARS)), f"[{SPACE_CLASS}]+"))
     capitals = (F.upper(line) == line) & (F.lower(line) != line)
     return {
         # ten words or more without any sentence punctuation
         "no_punctuation": ~line.rlike("[.!?…;:]") & (words >= 10),
         # five words or more in capitals only, or doubled marks again and again
-        "shouting": (capitals & (words >= 5)) | (removed("!!|\\?\\?") >= 6),
+        "shouting": (capitals & (words >= 5)) | (found("!!|\\?\\?") >= 3),
         # three separators or more that stand between items
-        "navigation": removed(f"[{SPACE_CLASS}][|»›•·>](?=[{SPACE_CLASS}])") >= 6,
+        "navigation": found(f"[{SPACE_CLASS}][|»›•·>](?=[{SPACE_CLASS}])") >= 3,
         # symbols are a tenth of the line or more
-        "symbols": F.length(F.regexp_replace(line, SYMBOLS, "")) * 10 <= F.length(line) * 9,
+        "symbols": found(SYMBOLS) * 10 >= F.length(line),
         "boilerplate": line.rlike("(?i)" + "|".join(BOILERPLATE)),
     }
 
@@ -81,7 +81,7 @@ def assess(
     out = (
         out.withColumn("n_words", F.size("__w").cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace("__t", f"[{SPACE_CLASS}]+", "")).cast("long"))
-        .withColumn("n_symbols", (F.length("__t") - F.length(F.regexp_replace("__t", SYMBOLS, ""))).cast("long"))
+        .withColumn("n_symbols", F.regexp_count("__t", F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn(
             "n_repeat_words",
