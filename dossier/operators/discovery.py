@@ -116,7 +116,8 @@ def news_items(responses: DataFrame, domain: str = "cafef.vn", most: int = 5) ->
     href = F.trim(F.regexp_extract("anchor", r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1))
     title = F.regexp_extract("anchor", r"(?is)^<a\s[^>]*?title\s*=\s*[\"']([^\"']*)[\"']", 1)
     label = text.clean_text(F.concat_ws(" ", title, F.regexp_replace("anchor", "<[^>]*>", "")))
-    rows = rows.select("company_id", "company_name", "tax_id", "at", url.resolve(href, F.col("__base")).alias("url"), label.alias("title"))
+    # as a generator's rows, urls and titles are worked out once; as columns, filters would repeat them for each place that names them
+    rows = rows.select("company_id", "company_name", "tax_id", "at", F.inline(F.array(F.struct(url.resolve(href, F.col("__base")).alias("url"), label.alias("title")))))
     path = F.lower(url.part(F.col("url"), 5))
     rows = rows.where(path.endswith(".chn") & (path != "/tim-kiem.chn") & _within(F.col("url"), F.lit(domain)))
     rows = rows.withColumn("score", text.entity_match(F.col("company_name"), F.col("tax_id"), F.col("title"))).where(F.col("score") >= LOW_MATCH)

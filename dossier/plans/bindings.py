@@ -424,10 +424,15 @@ def with_views(sql: str) -> str:
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False) -> DataFrame:
-    """One of the views over the tables of sf_dir, read at once or as a stream of files."""
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: a small file is one task, however much work each of its rows makes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def bound(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False, dealt: bool = False) -> DataFrame:
+    """One of the views over the tables of sf_dir, read at once or as a stream of files; dealt spreads the tables' rows before the view makes more of them."""
     def table(path: str) -> DataFrame:
-        batch = spark.read.parquet(path)
+        batch = spread(spark.read.parquet(path)) if dealt else spark.read.parquet(path)
         # a pattern, as a stream of files takes no path of a single file
         return spark.readStream.schema(batch.schema).parquet(path[:-1] + "[t]") if stream else batch
 

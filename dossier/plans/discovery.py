@@ -35,12 +35,12 @@ over("a4_provider_items", "b_provider_payload", f"SELECT lookup_id, provider, CA
 over("a4_provider_outcomes", "b_provider_payload", f"SELECT lookup_id, provider, CASE WHEN outcome = 'success' AND n IS NULL THEN 'not_found' ELSE outcome END AS outcome, CASE WHEN outcome = 'success' AND n IS NULL AND reason = '' THEN 'NO_ALLOWED_MATCHING_SOURCE' ELSE reason END AS reason FROM ({_JUDGED}) LEFT JOIN (SELECT lookup_id, count(*) AS n FROM ({_ALLOWED}) GROUP BY lookup_id) USING (lookup_id)", lambda p: discovery.provider_items(p, discovery.registry(p.sparkSession))[1])
 _MATCHED = lambda t: _match(f"lower({t})")
 _WIKI = "SELECT company_id, company_name, tax_id, CAST(i AS INT) AS rank, json_extract(payload, '$.query.pages[' || (i - 1) || ']') AS p FROM (SELECT *, unnest(range(1, CAST(json_array_length(payload, '$.query.pages') AS BIGINT) + 1)) AS i FROM b_wiki_response)"
-over("a5_wiki_items", "b_wiki_response", f"SELECT company_id, rank, url, title, snippet, {_MATCHED("concat_ws(' ', title, snippet)")} AS entity_match_score FROM (SELECT *, {_HOST('url')} AS h FROM (SELECT company_id, company_name, tax_id, rank, trim(coalesce(nullif(p ->> 'canonicalurl', ''), p ->> 'fullurl', '')) AS url, trim(coalesce(p ->> 'title', '')) AS title, trim(coalesce(p ->> 'description', '')) AS snippet FROM ({_WIKI}))) WHERE {_WITHIN('url', "'wikipedia.org'")}", discovery.wiki_items)
+over("a5_wiki_items", "b_wiki_response", f"SELECT company_id, rank, url, title, snippet, {_MATCHED("concat_ws(' ', title, snippet)")} AS entity_match_score FROM (SELECT *, {_HOST('url')} AS h FROM (SELECT company_id, company_name, tax_id, rank, trim(coalesce(nullif(p ->> 'canonicalurl', ''), p ->> 'fullurl', '')) AS url, trim(coalesce(p ->> 'title', '')) AS title, trim(coalesce(p ->> 'description', '')) AS snippet FROM ({_WIKI}))) WHERE {_WITHIN('url', "'wikipedia.org'")}", discovery.wiki_items, dealt=True)
 _ANCHOR = r"SELECT company_id, company_name, tax_id, base, i, a[i] AS anchor FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT company_id, company_name, tax_id, url AS base, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*[\"''][^\"'']*[\"''][^>]*>.*?</a\s*>') AS a FROM b_news_response))"
 _HREF = r"trim(regexp_extract(anchor, '(?is)<a\s[^>]*?href\s*=\s*[\"'']([^\"'']*)[\"'']', 1))"
 _SHOWN = _clean(r"concat_ws(' ', regexp_extract(anchor, '(?is)^<a\s[^>]*?title\s*=\s*[\"'']([^\"'']*)[\"'']', 1), regexp_replace(anchor, '<[^>]*>', '', 'g'))")
 _ARTICLES = f"SELECT company_id, i, url, title, {_MATCHED('title')} AS score FROM (SELECT *, {_HOST('url')} AS h FROM (SELECT company_id, company_name, tax_id, i, {_RESOLVED('href', 'base')} AS url, title FROM (SELECT *, {_HREF} AS href, {_SHOWN} AS title FROM ({_ANCHOR})))) WHERE ends_with(lower({_PART.format(5)}), '.chn') AND lower({_PART.format(5)}) <> '/tim-kiem.chn' AND {_WITHIN('url', "'cafef.vn'")}"
-over("a6_news_items", "b_news_response", f"SELECT company_id, place, url, title, entity_match_score FROM (SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY i) AS INT) AS place, url, title, score AS entity_match_score FROM (SELECT * FROM ({_ARTICLES}) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY i) = 1)) WHERE place <= 5", discovery.news_items)
+over("a6_news_items", "b_news_response", f"SELECT company_id, place, url, title, entity_match_score FROM (SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY i) AS INT) AS place, url, title, score AS entity_match_score FROM (SELECT * FROM ({_ARTICLES}) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY i) = 1)) WHERE place <= 5", discovery.news_items, dealt=True)
 _TIERS = " UNION ALL ".join(f"SELECT '{k}' AS provider, '{f}' AS field_key, {tier} AS tier" for k, _, _, _, _, by in discovery.PROVIDERS for f, tier in by.items() if k != "cafef")
 over("a7_registered_tiers", "b_provider_payload", f"SELECT provider, field_key, tier, count(*) AS n_lookups FROM ({_TIERS} UNION ALL SELECT 'cafef', '*', 2) JOIN b_provider_payload USING (provider) GROUP BY ALL", lambda p: _tiers(p))
 

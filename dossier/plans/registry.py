@@ -27,9 +27,9 @@ def query(name: str, sql: str):
     return add
 
 
-def over(name: str, views: str, sql: str, f: Callable[..., DataFrame]) -> None:
-    """Registers a query over views, named in a string."""
-    query(name, sql)(lambda s, d: f(*(bound(s, d, v) for v in views.split())))
+def over(name: str, views: str, sql: str, f: Callable[..., DataFrame], *, dealt: bool = False) -> None:
+    """Registers a query over views, named in a string; dealt is for views that make long texts of a small table's rows."""
+    query(name, sql)(lambda s, d: f(*(bound(s, d, v, dealt=dealt) for v in views.split())))
 
 
 def _in(values) -> str:
