@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_folder, written
-
 #: Fields that must be known, with their names and the priority of asking for them (fixed values).
 MANDATORY = (("identity.legal_name", "legal name", "high"), ("identity.tax_id", "tax ID", "urgent"), ("identity.registration_number", "registration number", "urgent"), ("identity.address", "headquarters address", "high"), ("leadership.ceo", "chief executive", "high"))
 #: From which states each action is allowed (None: from all), and to which state it leads (fixed values).
@@ -33,64 +31,67 @@ def review_tasks(conflicts: DataFrame, rejected: DataFrame, outcomes: DataFrame,
     return rows.groupBy(*ids, "task_type", "title").agg(F.min("priority").alias("priority"))
 
 
-def _allowed(action: Column, status: Column) -> Column:
-    out = F.lit(False)
-    for name, (states, _) in ACTIONS.items():
-        out = out | ((action == name) & (F.lit(True) if states is None else status.isin(*states)))
-    return out
-
+#: Actions that lead to a state from all states, and the one that some states refuse. Where a claim was taken, or refused, all
+#: further ones are refused until another action leads elsewhere; so of claims in a row only the first may count.
+_ALWAYS = {name: to for name, (states, to) in ACTIONS.items() if states is None}
+_FROM, _TO = ACTIONS["claim"]
 
-#: The states that an action starts from or leads to.
-STATES = tuple(dict.fromkeys(["open", *(s for states, to in ACTIONS.values() for s in (*(states or ()), to))]))
+#: What sums up a run of events of a task, whatever state it begins in.
+CHANGE = "head bigint, head_actor string, status string, named boolean, who string, done bigint, refused bigint"
 
 
-def _transition(action: Column, actor: Column) -> Column:
-    """An event as a function of the state before it: for each of STATES the state after it, who is then assigned, and what it counts.
+def summed(events: DataFrame) -> DataFrame:
+    """task_id and what a run of events (task_id, seq, action, actor) does to each task: one row a task, by one sort of narrow rows.
 
-    named says that it assigns someone or nobody; if not, whoever was assigned stays.
+    head counts the claims before the first other action, of which the state before decides whether the first is taken
+    (head_actor); all else is known: the status after, if any is reached, whether someone or nobody is then assigned, and how
+    many events are done and refused.
     """
-    leads = F.create_map(*[F.lit(x) for name, (_, to) in ACTIONS.items() for x in (name, to)])[action]
+    w = Window.partitionBy("task_id").orderBy("seq", "action", "actor")
+    here = w.rowsBetween(Window.unboundedPreceding, 0)
+    to = F.create_map(*[F.lit(x) for kv in _ALWAYS.items() for x in kv])[F.col("action")]
+    claim = F.coalesce(F.col("action") == "claim", F.lit(False))
+    rows = events.select("task_id", "seq", "action", "actor", to.alias("__to"), claim.alias("__claim"))
+    rows = rows.withColumns({"__at": F.row_number().over(w), "__state": F.last("__to", ignorenulls=True).over(here), "__n": F.count_if("__claim").over(here)})
+    rows = rows.withColumn("__before", F.coalesce(F.last(F.when(F.col("__to").isNotNull(), F.col("__n")), ignorenulls=True).over(here), F.lit(0)))
+    taken = F.coalesce(F.col("__claim") & (F.col("__n") == F.col("__before") + 1) & F.col("__state").isin(*_FROM), F.lit(False))
+    head, done = F.col("__claim") & F.col("__state").isNull(), taken | F.col("__to").isNotNull()
+    names, at = taken | F.coalesce(F.col("action") == "release", F.lit(False)), F.col("__at")
+    return rows.groupBy("task_id").agg(
+        F.count_if(head).alias("head"), F.min_by("actor", F.when(head, at)).alias("head_actor"), F.max_by(F.when(taken, _TO).otherwise(F.col("__to")), F.when(done, at)).alias("status"),
+        F.max(names).alias("named"), F.max_by(F.when(taken, F.col("actor")), F.when(names, at)).alias("who"), F.count_if(done).alias("done"), F.count_if(~done & ~head).alias("refused"),
+    )
 
-    def of(state: str) -> Column:
-        ok = F.coalesce(_allowed(action, F.lit(state)), F.lit(False))
-        return F.struct(
-            F.when(ok, leads).otherwise(state).alias("state"), (ok & action.isin("claim", "release")).alias("named"), F.when(ok & (action == "claim"), actor).alias("who"),
-            ok.cast("long").alias("done"), (~ok).cast("long").alias("refused"),
-        )
 
-    return F.array(*map(of, STATES))
+def after(before: Column, change: Column) -> Column:
+    """The state (status, who, done, refused) of a task after a run of events that is summed up."""
+    took = (change["head"] > 0) & before["status"].isin(*_FROM)
+    status = F.coalesce(change["status"], F.when(took, _TO).otherwise(before["status"]))
+    who = F.when(change["named"], change["who"]).when(took, change["head_actor"]).otherwise(before["who"])
+    done, refused = before["done"] + change["done"] + took.cast("long"), before["refused"] + change["refused"] + change["head"] - took.cast("long")
+    return F.struct(status.alias("status"), who.alias("who"), done.alias("done"), refused.alias("refused"))
 
 
-def _composed(f: Column, g: Column) -> Column:
-    """First f, then g. This is associative, so events may be composed in blocks."""
-    place = F.create_map(*[F.lit(x) for i, s in enumerate(STATES) for x in (s, i)])
+def opened() -> Column:
+    """The state in which a task begins."""
+    return F.struct(F.lit("open").alias("status"), F.lit(None).cast("string").alias("who"), F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("refused"))
 
-    def then(x: Column) -> Column:
-        y = F.get(g, place[x["state"]])
-        who = F.when(y["named"], y["who"]).otherwise(x["who"])
-        return F.struct(y["state"].alias("state"), (x["named"] | y["named"]).alias("named"), who.alias("who"), (x["done"] + y["done"]).alias("done"), (x["refused"] + y["refused"]).alias("refused"))
 
-    return F.transform(f, then)
+def shown_state(rows: DataFrame, end: Column) -> DataFrame:
+    """task_id, status, assigned_to, row_version, n_refused by the state in which each task ends."""
+    rows = rows.select("task_id", end.alias("__end"))
+    return rows.select("task_id", "__end.status", F.col("__end.who").alias("assigned_to"), (F.col("__end.done") + 1).cast("int").alias("row_version"), F.col("__end.refused").cast("int").alias("n_refused"))
 
 
 def fold_reviews(events: DataFrame, block: int = 64, folder: str | None = None) -> DataFrame:
     """task_id, status, assigned_to, row_version, n_refused after the events (task_id, seq, action, actor) of each task in order.
 
-    A task begins open with version 1. An action that its state doesn't allow changes nothing. Events are functions over
-    the states; blocks of them are composed, then blocks of blocks, so no task's events are ever one list.
+    A task begins open with version 1. An action that its state doesn't allow changes nothing. No task's events are ever one
+    list, or composed one by one: windows over their order tell what each does. (Without blocks, block and folder have no
+    effect; they stay for callers.)
     """
-    folder, step = folder or new_folder(events.sparkSession), 0
-    at = F.row_number().over(Window.partitionBy("task_id").orderBy("seq", "action", "actor")) - 1
-    rows = events.select("task_id", at.cast("long").alias("at"), _transition(F.col("action"), F.col("actor")).alias("f"))
-    same = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(False).alias("named"), F.lit(None).cast("string").alias("who"), F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("refused")) for s in STATES])
-    while True:
-        blocks = rows.groupBy("task_id", F.expr(f"at div {block}").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("fs"))
-        rows = written(blocks.select("task_id", "at", F.aggregate("fs", same, lambda f, x: _composed(f, x["f"])).alias("f")), f"{folder}/{step}")
-        if not rows.where("at > 0").limit(1).count():
-            break
-        step += 1
-    end = F.element_at("f", STATES.index("open") + 1)
-    return rows.select("task_id", end["state"].alias("status"), end["who"].alias("assigned_to"), (end["done"] + 1).cast("int").alias("row_version"), end["refused"].cast("int").alias("n_refused"))
+    change = F.struct(*[c.split()[0] for c in CHANGE.split(", ")])
+    return shown_state(summed(events), after(opened(), change))
 
 
 #: What errors of a connection say, in the order in which they are told apart (fixed values).

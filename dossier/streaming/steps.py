@@ -9,14 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scoring, text
-from ..operators import blocks, changes, facts, structured
-from ..operators.review import ACTIONS
+from ..operators import blocks, changes, facts, review, structured
 from ..sources.scratch import new_folder
 from .conflict_state import FOUND, Conflicts
 
@@ -129,37 +126,21 @@ def conflicts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
     return last.where("n_differing > 0 OR status IS NOT NULL").withColumn("materiality", scoring.materiality(F.col("field_key")))
 
 
-REVIEW = "task_id bigint, status string, assigned_to string, row_version int, n_refused int"
-
-
 def review_states(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
     """task_id, status, assigned_to, row_version, n_refused after all events (task_id, seq, action, actor) that arrived.
 
-    A task's state is kept between batches; the events of a batch are applied in order of seq. An event that arrives after
-    a later one of an earlier batch is applied where it arrives.
+    Each batch leaves one row a task that it has events of, which says what they do to whatever state the task is in, so a
+    batch reads no state and nothing but itself; a task's state follows from its rows in the order of batches. The events of a
+    batch are applied in order of seq. An event that arrives after a later one of an earlier batch is applied where it arrives.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark)
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, who, version, refused = state.get if state.exists else ("open", None, 1, 0)
-        events = sorted((int(s), a, str(w)) for b in batches for s, a, w in zip(b["seq"], b["action"], b["actor"], strict=True))
-        for _, action, actor in events:
-            allowed, leads = ACTIONS.get(action, ((), None))
-            if allowed is not None and status not in allowed:
-                refused += 1
-                continue
-            status, version = leads, version + 1
-            who = actor if action == "claim" else None if action == "release" else who
-        state.update((status, who, version, refused))
-        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "assigned_to": [who], "row_version": [version], "n_refused": [refused]})
-
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+        review.summed(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    kinds = REVIEW.split(", ", 1)[1]
-    states = stream.groupBy("task_id").applyInPandasWithState(fold, REVIEW, kinds, "update", GroupStateTimeout.NoTimeout)
-    _run(states, write, "update", folder)
-    rows = spark.read.schema(REVIEW + ", batch bigint").parquet(f"{folder}/table")
-    last = F.max_by(F.struct("status", "assigned_to", "row_version", "n_refused"), "batch").alias("last")
-    return rows.groupBy("task_id").agg(last).select("task_id", "last.*")
+    _run(stream.select(F.col("task_id").cast("bigint"), "seq", "action", "actor"), write, "append", folder)
+    rows = spark.read.schema(f"task_id bigint, {review.CHANGE}, batch bigint").parquet(f"{folder}/table")
+    change = F.struct("batch", *[c.split()[0] for c in review.CHANGE.split(", ")])
+    changes = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(change)).alias("changes"))
+    return review.shown_state(changes, F.aggregate("changes", review.opened(), review.after))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from dossier.functions import url
-from dossier.operators import discovery
+from dossier.operators import discovery, review
 from dossier.plans.bindings import bound
+from dossier.streaming import steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +25,26 @@ def test_news_items_resolve_an_address_once(spark):
     steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(split(")
     rows = bound(spark, SF, "b_news_response")
     assert 0 < steps(discovery.news_items(rows)) <= steps(rows.select(url.resolve(F.concat(F.lit("/"), "company_id"), F.col("url"))))
+
+
+def test_review_events_are_summed_up_by_one_sort_without_lists(spark):
+    plan = review.fold_reviews(bound(spark, SF, "b_review_event"))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Scan parquet" in plan  # no table on the way either
+
+
+def test_review_states_of_batches_follow_each_other(spark, tmp_path):
+    rng, state, parts = random.Random(3), {}, []
+    for _ in range(4):
+        parts.append([(t, rng.randrange(50), rng.choice(["claim", "claim", "release", "complete", "reopen", "odd"]), f"U{rng.randrange(4)}") for t in range(30) for _ in range(rng.choice([0, 1, 2, 5]))])
+        for t, _, action, actor in sorted(parts[-1]):
+            status, who, version, refused = state.get(t, ("open", None, 1, 0))
+            allowed, leads = review.ACTIONS.get(action, ((), None))
+            if allowed is not None and status not in allowed:
+                state[t] = (status, who, version, refused + 1)
+            else:
+                state[t] = (leads, actor if action == "claim" else None if action == "release" else who, version + 1, refused)
+    kinds = "task_id bigint, seq int, action string, actor string"
+    for rows in parts:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = steps.review_states(spark.readStream.schema(kinds).parquet(f"{tmp_path}/in"), folder=f"{tmp_path}/state")
+    assert {r["task_id"]: tuple(r)[1:] for r in out.collect()} == state
