@@ -57,74 +57,118 @@ def differ(field: str, kind: str, a: str | None, other_kind: str, b: str | None)
     return s is not None and t is not None and s != t
 
 
-class Conflicts(StatefulProcessor):
+#: Fields are dealt to so many groups, so that one call reads and answers for many of them. A checkpoint holds to its number.
+GROUPS = 8192
+#: Characters of a page of a field's text: JSON of its head, its facts and the ids attached.
+PAGE = 1 << 20
+_KINDS = [c.split() for c in FOUND.split(", ")]
+
+
+class _Field:
     """A field's facts, which of them is the first, and its conflict with the facts attached to it.
 
     Facts that come together are judged together; a decision in between is applied at its place. A fact earlier than the
     first becomes the first, and all others are compared with it; so are they if the first is rejected.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getMapState("facts", "fact_id bigint", "value_type string, value_json string, differs boolean")
-        self.attached = handle.getMapState("attached", "fact_id bigint", "held boolean")
-        self.head = handle.getValueState("head", "first bigint, value_type string, value_json string, n_facts bigint, n_differing bigint, status string, n_attached bigint, first_new bigint, n_new bigint")
+    def __init__(self, field: str, stored: list | None):
+        self.field = field
+        self.facts: dict[int, list] = {}  # by id: type, value, whether it differs from the first
+        self.first, self.n_differing, self.status, self.first_new, self.n_new = None, 0, None, None, 0
+        self.attached: set[int] = set()
+        if stored is not None:
+            self.first, self.n_differing, self.status, self.first_new, self.n_new, facts, attached = stored
+            self.facts, self.attached = {f[0]: f[1:] for f in facts}, set(attached)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        field = key[2]
-        self.first, self.kind, self.json, self.n, self.n_differing, self.status, self.n_attached, self.first_new, self.n_new = self.head.get() if self.head.exists() else (None, None, None, 0, 0, None, 0, None, 0)
-        events = pd.concat(list(rows)).astype(object).sort_values(["seq", "fact_id"], kind="stable", na_position="last")
+    def stored(self) -> list:
+        return [self.first, self.n_differing, self.status, self.first_new, self.n_new, [[own, *f] for own, f in self.facts.items()], sorted(self.attached)]
+
+    def found(self) -> tuple:
+        return len(self.facts), self.n_differing, self.status, len(self.attached), self.first_new, self.n_new
+
+    def apply(self, events: list[tuple]) -> None:
         judged = True
-        for e in events.itertuples(index=False):
-            if pd.isna(e.action):
-                self._fact(field, int(e.fact_id), e.value_type, None if pd.isna(e.value_json) else e.value_json, e.fact_status)
+        for _, own, kind, value, status, action in events:
+            if action is None:
+                self._fact(own, kind, value, status)
                 judged = False
             else:
                 judged = judged or self._judge()
-                if self.status is not None and e.action in CLOSED:
-                    self.status = e.action
+                if self.status is not None and action in CLOSED:
+                    self.status = action
         judged or self._judge()
-        self.head.update((self.first, self.kind, self.json, self.n, self.n_differing, self.status, self.n_attached, self.first_new, self.n_new))
-        values = [*key, self.n, self.n_differing, self.status, self.n_attached, self.first_new, self.n_new]
-        yield pd.DataFrame({c.split()[0]: pd.Series([v], dtype="Int64" if c.endswith("bigint") else object) for c, v in zip(FOUND.split(", "), values, strict=True)})
 
-    def _fact(self, field: str, own: int, kind: str, value: str | None, status: str) -> None:
-        known = self.facts.getValue((own,)) if self.n and self.facts.containsKey((own,)) else None
+    def _fact(self, own: int, kind: str, value: str | None, status: str) -> None:
+        known = self.facts.pop(own, None)
         if known is not None:
-            self.n, self.n_differing = self.n - 1, self.n_differing - bool(known[2])
-            if status not in SCANNED:
-                self.facts.removeKey((own,))
+            self.n_differing -= known[2]
         if status not in SCANNED:
             if known is not None and own == self.first:
-                self._lead(field, min((k[0] for k in self.facts.keys()), default=None))
+                self._lead(min(self.facts, default=None))
             return
         leads = self.first is None or own <= self.first
-        differs = not leads and differ(field, self.kind, self.json, kind, value)
-        self.facts.updateValue((own,), (kind, value, differs))
-        self.n, self.n_differing = self.n + 1, self.n_differing + differs
+        differs = not leads and differ(self.field, *self.facts[self.first][:2], kind, value)
+        self.facts[own] = [kind, value, differs]
+        self.n_differing += differs
         if leads:
-            self._lead(field, own)
+            self._lead(own)
 
-    def _lead(self, field: str, first: int | None) -> None:
+    def _lead(self, first: int | None) -> None:
         """Another fact, or another value of it, is the first: all are compared anew."""
-        self.first, self.kind, self.json = first, *(self.facts.getValue((first,))[:2] if first is not None else (None, None))
-        self.n_differing = 0
-        for (own,), (kind, value, was) in list(self.facts.iterator()) if self.n > 1 else []:
-            differs = own != first and differ(field, self.kind, self.json, kind, value)
-            self.n_differing += differs
-            if differs != was:
-                self.facts.updateValue((own,), (kind, value, differs))
+        self.first, self.n_differing = first, 0
+        for own, f in self.facts.items():
+            f[2] = own != first and differ(self.field, *self.facts[first][:2], f[0], f[1])
+            self.n_differing += f[2]
 
     def _judge(self) -> bool:
         """Opens a conflict, or a closed one again if a fact not yet attached disagrees; open ones aren't extended."""
         if self.n_differing and (self.status is None or self.status in CLOSED):
-            competing = [own for (own,), (_, _, differs) in self.facts.iterator() if differs or own == self.first]
-            new = sorted(own for own in competing if self.status is None or not self.attached.containsKey((own,)))
+            new = [own for own, f in self.facts.items() if (f[2] or own == self.first) and (self.status is None or own not in self.attached)]
             if new:
-                for own in new:
-                    self.attached.updateValue((own,), (True,))
-                self.n_attached += len(new)
-                self.status, self.first_new, self.n_new = ("open", None, 0) if self.status is None else ("reopened", new[0], len(new))
+                self.attached.update(new)
+                self.status, self.first_new, self.n_new = ("open", None, 0) if self.status is None else ("reopened", min(new), len(new))
         return True
 
+
+class Conflicts(StatefulProcessor):
+    """The fields of a group, each stored under its own key: of a group's fields those with an event are read and written.
+
+    A group is called once a batch, as a call for each field costs more than the field. The text of a field is cut into
+    pages, of which most fields need one.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = handle.getMapState("pages", "workspace_id int, company_id string, field_key string, context_key string, page int", "pages int, text string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events: dict[tuple, list[tuple]] = {}
+        for part in rows:
+            columns = [part[c].tolist() for c in ("workspace_id", "company_id", "field_key", "context_key", "seq", "fact_id", "value_type", "value_json", "fact_status", "action")]
+            for w, c, f, x, seq, own, *rest in zip(*columns, strict=True):
+                events.setdefault((None if w is None or w != w else int(w), c, f, x), []).append((int(seq), None if own is None else int(own), *rest))
+        out = []
+        for own, mine in events.items():
+            mine.sort(key=lambda e: (e[0], e[1] is None, e[1] or 0))
+            text, pages = self._read(own)
+            field = _Field(own[2], None if text is None else json.loads(text))
+            field.apply(mine)
+            self._write(own, json.dumps(field.stored(), ensure_ascii=False, separators=(",", ":")), pages)
+            out.append((*own, *field.found()))
+        columns = zip(*out, strict=True)
+        yield pd.DataFrame({name: pd.Series(list(v), dtype="Int64" if kind == "bigint" else object) for (name, kind), v in zip(_KINDS, columns, strict=True)})
+
+    def _read(self, own: tuple) -> tuple[str | None, int]:
+        first = self.pages.getValue((*own, 0))
+        if first is None:
+            return None, 0
+        return "".join([first[1], *(self.pages.getValue((*own, p))[1] for p in range(1, first[0]))]), first[0]
+
+    def _write(self, own: tuple, text: str, before: int) -> None:
+        parts = [text[i : i + PAGE] for i in range(0, len(text), PAGE)]
+        for p, part in enumerate(parts):
+            self.pages.updateValue((*own, p), (len(parts), part))
+        for p in range(len(parts), before):
+            self.pages.removeKey((*own, p))
+
     def close(self) -> None:
         pass

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import blocks, changes, facts, review, structured
 from ..sources.scratch import new_folder
-from .conflict_state import FOUND, Conflicts
+from .conflict_state import FOUND, GROUPS, Conflicts
 
 
 _STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -104,8 +104,8 @@ def conflicts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
     stream has the key, fact_id, value_type, value_json and fact_status, and if it is to close conflicts, action (one of the
     statuses of closed ones, on rows without a fact) and seq, the order of events. The result has the key, n_facts,
     n_differing, materiality, status (open, a closed one or reopened), n_attached, and of the last reopening first_new and
-    n_new. A field's facts are keyed state, so a batch reads what is stored of its own fields only. Of a field's results
-    that of its last batch holds.
+    n_new. A field's facts are keyed state, so a batch reads what is stored of its own fields only, many fields a call. Of a
+    field's results that of its last batch holds.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark)
@@ -113,7 +113,10 @@ def conflicts(stream: DataFrame, *, folder: str | None = None) -> DataFrame:
     events = stream if "action" in stream.columns else stream.withColumns({"action": F.lit(None).cast("string"), "seq": F.lit(0).cast("bigint")})
     kinds = dict(c.split() for c in "workspace_id int, company_id string, field_key string, context_key string, fact_id bigint, value_type string, value_json string, fact_status string, action string, seq bigint".split(", "))
     events = events.select(*[F.col(c).cast(kind) for c, kind in kinds.items()])
-    states = events.groupBy(*key).transformWithStateInPandas(Conflicts(), FOUND, "Update", "none")
+    # ids travel as text, as integers with nulls among them would become floats; events without a place come last
+    group = F.pmod(F.xxhash64(*key), F.lit(GROUPS)).cast("int")
+    events = events.withColumns({"fact_id": F.col("fact_id").cast("string"), "seq": F.coalesce("seq", F.lit((1 << 63) - 1)), "__group": group})
+    states = events.groupBy("__group").transformWithStateInPandas(Conflicts(), FOUND, "Update", "none")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dossier.functions import url
 from dossier.operators import discovery, review
 from dossier.plans.bindings import bound
-from dossier.streaming import steps
+from dossier.streaming import conflict_state, steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,41 @@ def test_review_states_of_batches_follow_each_other(spark, tmp_path):
         spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         out = steps.review_states(spark.readStream.schema(kinds).parquet(f"{tmp_path}/in"), folder=f"{tmp_path}/state")
     assert {r["task_id"]: tuple(r)[1:] for r in out.collect()} == state
+
+
+class _Pages:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.reads, self.writes = {}, 0, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValue(self, key):  # noqa: N802
+        self.reads += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.writes += 1
+        self.kept[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.kept[key]
+
+
+def test_fields_of_conflicts_share_a_call_and_are_read_once(monkeypatch):
+    events = lambda ids, status="candidate": pd.DataFrame([(1, f"C{c}", "size.office_count", "", 1, str(i), "integer", str(i % 4 * 50), status, None) for c in range(50) for i in ids], columns=["workspace_id", "company_id", "field_key", "context_key", "seq", "fact_id", "value_type", "value_json", "fact_status", "action"])
+    results = []
+    for page in (1 << 20, 64):
+        monkeypatch.setattr(conflict_state, "PAGE", page)
+        state, step = _Pages(), conflict_state.Conflicts()
+        step.init(state)
+        for batch in (events(range(40)), events(range(40, 44)), events(range(3, 44), "rejected")):
+            (out,) = step.handleInputRows((7,), iter([batch[:9], batch[9:]]), None)
+            results.append((page, out.astype(object).values.tolist()))
+        if page > 64:
+            assert (state.reads, state.writes) == (150, 150)
+    assert [r for p, r in results if p == 64] == [r for p, r in results if p > 64]
+    assert [r[0][4:6] for _, r in results[:3]] == [[40, 30], [44, 33], [3, 2]]
+    assert len(state.kept) < 50 * 12  # pages that a shorter text no longer needs are gone
