@@ -44,13 +44,13 @@ _LEAVES = (
     " SELECT {id}, CASE WHEN json_type(v) = 'ARRAY' THEN concat(path, '[', k, ']') ELSE concat(path, '.', k) END, CASE WHEN json_type(v) = 'OBJECT' THEN k END, CASE WHEN json_type(v) = 'ARRAY' THEN v -> CAST(k AS BIGINT) ELSE v -> k END"
     " FROM (SELECT *, unnest(CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) WHEN json_type(v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda x: CAST(x AS VARCHAR)) ELSE [] END) AS k FROM t WHERE {enter}))"
 )
-over("c7_json_paths", "b_json_doc", _LEAVES.format(id="snapshot_id", column="content", view="b_json_doc", enter="TRUE") + " SELECT snapshot_id, path FROM t WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') OR CAST(v AS VARCHAR) IN ('{}', '[]')", lambda j: json_walk.json_paths(j, ["snapshot_id"], "content"))
+over("c7_json_paths", "b_json_doc", _LEAVES.format(id="snapshot_id", column="content", view="b_json_doc", enter="TRUE") + " SELECT snapshot_id, path FROM t WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') OR CAST(v AS VARCHAR) IN ('{}', '[]')", lambda j: json_walk.json_paths(j, ["snapshot_id"], "content"), dealt=True)
 _SECRET = f"coalesce(regexp_matches(lower(key), '{'|'.join(text.SENSITIVE)}'), FALSE)"
 _INNER = f"NOT {_SECRET} AND json_type(v) = 'OBJECT' AND CAST(v AS VARCHAR) <> '{{}}'"
-over("c14_l4_nested_redacted", "b_nested_audit", _LEAVES.format(id="audit_id", column="metadata_json", view="b_nested_audit", enter=_INNER) + f" SELECT audit_id, path, CASE WHEN {_SECRET} THEN '[REDACTED]' ELSE CAST(v AS VARCHAR) END AS value FROM t WHERE NOT ({_INNER})", lambda a: json_walk.redacted_paths(a, ["audit_id"], "metadata_json"))
+over("c14_l4_nested_redacted", "b_nested_audit", _LEAVES.format(id="audit_id", column="metadata_json", view="b_nested_audit", enter=_INNER) + f" SELECT audit_id, path, CASE WHEN {_SECRET} THEN '[REDACTED]' ELSE CAST(v AS VARCHAR) END AS value FROM t WHERE NOT ({_INNER})", lambda a: json_walk.redacted_paths(a, ["audit_id"], "metadata_json"), dealt=True)
 _MASKED = f"regexp_replace(metadata_json, '(\"[^\"]*(?:{'|'.join(text.SENSITIVE)})[^\"]*\":)(\"[^\"]*\"|[0-9]+|null|\\{{[^{{}}]*\\}})', '\\1\"[REDACTED]\"', 'g')"
 # lists are not entered, and the view has secrets in them in one kind of row only
-over("l4_redacted_audit", "b_nested_audit", f"SELECT audit_id, CASE WHEN contains(metadata_json, '\"list\"') THEN metadata_json ELSE {_MASKED} END AS metadata_json FROM b_nested_audit", lambda a: json_walk.redacted_rows(a, ["audit_id"], "metadata_json"))
+over("l4_redacted_audit", "b_nested_audit", f"SELECT audit_id, CASE WHEN contains(metadata_json, '\"list\"') THEN metadata_json ELSE {_MASKED} END AS metadata_json FROM b_nested_audit", lambda a: json_walk.redacted_rows(a, ["audit_id"], "metadata_json"), dealt=True)
 over("c9_display_values", "b_value_pair", "SELECT pair_id, CASE WHEN json_type(b_json) = 'VARCHAR' THEN b_json ->> '$' WHEN json_type(b_json) = 'OBJECT' THEN concat('{\"k\":', b_json -> 'k', ',\"m\":', b_json -> 'm', '}') ELSE CAST(json(b_json) AS VARCHAR) END AS shown FROM b_value_pair", lambda p: p.select("pair_id", json_walk.shown(F.col("b_json")).alias("shown")))
 
 _RESOLVED = lambda href, base: (

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import url
 from dossier.operators import discovery, review
+from dossier.plans import registry
 from dossier.plans.bindings import bound
 from dossier.streaming import conflict_state, steps
 
@@ -87,3 +89,8 @@ def test_fields_of_conflicts_share_a_call_and_are_read_once(monkeypatch):
     assert [r for p, r in results if p == 64] == [r for p, r in results if p > 64]
     assert [r[0][4:6] for _, r in results[:3]] == [[40, 30], [44, 33], [3, 2]]
     assert len(state.kept) < 50 * 12  # pages that a shorter text no longer needs are gone
+
+
+@pytest.mark.parametrize("name", ["c14_l4_nested_redacted", "l4_redacted_audit", "c7_json_paths", "a5_wiki_items", "a6_news_items"])
+def test_registered_queries_deal_their_small_tables(spark, name):
+    assert "Repartition" in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
