@@ -32,20 +32,21 @@ def name_mismatch(company_name: Column, value: Column) -> Column:
     return (F.size(words) > 0) & ~F.exists(words, lambda w: F.contains(F.lower(value), w))
 
 
-def match_scores(pairs: DataFrame) -> DataFrame:
-    """new_id, company_id, score, reason of pairs (tax_id, registration_number, company_name and those with other_)."""
+def match_score(own: Column, other: Column) -> Column:
+    """score and reason of a pair by the columns tax_id, registration_number, those with other_, and the two normalized names."""
     same = lambda key: (F.col(key) != "") & (F.col(key) == F.col(f"other_{key}"))
+    rules = [
+        (same("tax_id"), 1.0, "EXACT_TAX_ID_MATCH"), (same("registration_number"), 1.0, "EXACT_REGISTRATION_NUMBER_MATCH"), ((own != "") & (own == other), 0.85, "EXACT_NORMALIZED_NAME_MATCH"),
+        ((own != "") & (F.contains(own, other) | F.contains(other, own)), 0.65, "PARTIAL_NAME_SUBSTRING_MATCH"),
+    ]
+    return F.coalesce(*[F.when(c, F.struct(F.lit(s).alias("score"), F.lit(r).alias("reason"))) for c, s, r in rules], F.struct(F.lit(0.0).alias("score"), F.lit("NO_MATCH").alias("reason")))
 
-    def best(own: Column, other: Column) -> Column:
-        rules = [
-            (same("tax_id"), 1.0, "EXACT_TAX_ID_MATCH"), (same("registration_number"), 1.0, "EXACT_REGISTRATION_NUMBER_MATCH"), ((own != "") & (own == other), 0.85, "EXACT_NORMALIZED_NAME_MATCH"),
-            ((own != "") & (F.contains(own, other) | F.contains(other, own)), 0.65, "PARTIAL_NAME_SUBSTRING_MATCH"),
-        ]
-        return F.coalesce(*[F.when(c, F.struct(F.lit(s).alias("score"), F.lit(r).alias("reason"))) for c, s, r in rules], F.struct(F.lit(0.0).alias("score"), F.lit("NO_MATCH").alias("reason")))
 
+def match_scores(pairs: DataFrame) -> DataFrame:
+    """new_id, company_id, score, reason of pairs (tax_id, registration_number, company_name and those with other_)."""
     # the names are long expressions, worked out once a pair
     names = F.array(text.normalize_name(F.col("company_name")), text.normalize_name(F.col("other_name")))
-    found = ranking.let(names, lambda n: best(F.get(n, F.lit(0)), F.get(n, F.lit(1))))
+    found = ranking.let(names, lambda n: match_score(F.get(n, F.lit(0)), F.get(n, F.lit(1))))
     return pairs.select("new_id", "company_id", found.alias("m")).select("new_id", "company_id", "m.score", "m.reason")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.scratch import new_folder, written
+from . import extraction
 
 
 def ai_usage(runs: DataFrame) -> DataFrame:
@@ -102,23 +103,45 @@ def names_within(short: DataFrame, long: DataFrame, q: int = 3) -> DataFrame:
 
 
 def duplicate_pairs(new: DataFrame, companies: DataFrame, folder: str | None = None) -> DataFrame:
-    """workspace_id, new_id, company_id: companies that a new one shares a tax id or registration number with, or its name.
+    """workspace_id, new_id, company_id: companies that a new one shares a tax id or registration number with, or its name."""
+    return duplicate_candidates(new, companies, folder).select("workspace_id", "new_id", "company_id").distinct()
+
+
+#: Companies of one name are met in parts of about so many, so that a name that many have is no single task's work.
+PART = 1000
+
+
+def duplicate_candidates(new: DataFrame, companies: DataFrame, folder: str | None = None) -> DataFrame:
+    """workspace_id, new_id, company_id, score, reason of the companies that a new one may be.
 
     Identifiers lead to their first company. Of two names one must hold the other. Names are worked out once, into the
     folder, and compared each once, however many companies have them. Merged companies are found by identifiers only, and
-    an empty name finds nobody.
+    an empty name finds nobody. Pairs that names find and those that only identifiers do are apart, so no step sorts out
+    repeated pairs.
     """
     folder = folder or new_folder(new.sparkSession)
-
-    def by(key: str) -> DataFrame:
-        first = companies.where(F.col(key) != "").groupBy("workspace_id", key).agg(F.min("company_id").alias("company_id"))
-        return new.where(F.col(key) != "").join(first, ["workspace_id", key]).select("workspace_id", "new_id", "company_id")
-
-    def named(rows: DataFrame, id_: str) -> DataFrame:
-        return written(rows.select("workspace_id", id_, text.normalize_name(F.col("company_name")).alias("name")), f"{folder}/{id_}").where("name <> ''")
-
-    open_, wanted = named(companies.where("status <> 'merged'"), "company_id"), named(new, "new_id")
-    each = [rows.select("workspace_id", "name").distinct() for rows in (wanted, open_)]
-    pairs = names_within(each[0], each[1]).select("workspace_id", F.col("short").alias("name"), F.col("long").alias("other")).union(names_within(each[1], each[0]).select("workspace_id", "long", "short")).distinct()
-    names = wanted.join(pairs, ["workspace_id", "name"]).join(open_.withColumnRenamed("name", "other"), ["workspace_id", "other"]).select("workspace_id", "new_id", "company_id")
-    return by("tax_id").union(by("registration_number")).union(names).distinct()
+    ids = ["tax_id", "registration_number"]
+
+    def named(rows: DataFrame, *kept: str) -> DataFrame:
+        return written(rows.select("workspace_id", *kept, *ids, text.normalize_name(F.col("company_name")).alias("name")), f"{folder}/{kept[0]}")
+
+    wanted, known = named(new, "new_id"), named(companies, "company_id", "status")
+    other = known.withColumnsRenamed({c: f"other_{c}" for c in [*ids, "name"]})
+    own = lambda rows: rows.where("name <> ''").groupBy("workspace_id", "name").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    open_ = known.where("status <> 'merged'")
+    each = [own(rows) for rows in (wanted, open_)]
+    pairs = names_within(each[0], each[1]).select("workspace_id", F.col("short").alias("name"), F.col("long").alias("other_name")).union(names_within(each[1], each[0]).select("workspace_id", "long", "short")).distinct()
+
+    parts = written(each[1].withColumnRenamed("name", "other_name"), f"{folder}/parts")
+    met = wanted.join(pairs.join(parts, ["workspace_id", "other_name"]), ["workspace_id", "name"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    key = ["workspace_id", "other_name", "part"]
+    dealt = other.where("status <> 'merged'").join(parts, ["workspace_id", "other_name"]).withColumn("part", F.pmod(F.xxhash64("company_id"), "parts")).drop("parts")
+    by_name = met.repartition(4 * new.sparkSession.sparkContext.defaultParallelism, *key).join(dealt, key)
+
+    first = lambda k, to: known.where(F.col(k) != "").groupBy("workspace_id", k).agg(F.min("company_id").alias(to))
+    found = wanted.join(first(ids[0], "a"), ["workspace_id", ids[0]], "left").join(first(ids[1], "b"), ["workspace_id", ids[1]], "left")
+    found = found.withColumn("company_id", F.explode(F.array_distinct(F.array_compact(F.array("a", "b"))))).join(other, ["workspace_id", "company_id"])
+    within = (F.col("status") != "merged") & (F.col("name") != "") & (F.col("other_name") != "") & (F.contains("name", "other_name") | F.contains("other_name", "name"))
+    by_id = found.where(~F.coalesce(within, F.lit(False)))
+    out = [rows.select("workspace_id", "new_id", "company_id", extraction.match_score(F.col("name"), F.col("other_name")).alias("m")) for rows in (by_name, by_id)]
+    return out[0].union(out[1]).select("workspace_id", "new_id", "company_id", "m.score", "m.reason")

@@ -78,14 +78,8 @@ over("k7_grounded_summary", "b_company b_profile_value", (
 ), extraction.grounded_summary)
 
 
-def _duplicates(new, companies):
-    other = companies.select("workspace_id", "company_id", F.col("company_name").alias("other_name"), F.col("tax_id").alias("other_tax_id"), F.col("registration_number").alias("other_registration_number"))
-    pairs = logs.duplicate_pairs(new, companies).join(new, ["workspace_id", "new_id"]).join(other, ["workspace_id", "company_id"])
-    return extraction.match_scores(pairs).where("score >= 0.5")
-
-
 _FIRST_BY = lambda k: f"n.{k} <> '' AND c.company_id = (SELECT min(f.company_id) FROM b_company f WHERE f.workspace_id = n.workspace_id AND f.{k} = n.{k})"
 over("g2_duplicate_candidates", "b_new_company b_company", (
     "SELECT new_id, company_id, CAST(CASE " + " ".join(f"WHEN {c} THEN {s}" for c, s, _ in _CASES) + " END AS DOUBLE) AS score, CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, _, r in _CASES) + " END AS reason FROM b_new_company n JOIN b_company c ON c.workspace_id = n.workspace_id"
     f" WHERE ({_FIRST_BY('tax_id')}) OR ({_FIRST_BY('registration_number')}) OR (c.status <> 'merged' AND {_OWN} <> '' AND {_OTHER} <> '' AND (contains({_OWN}, {_OTHER}) OR contains({_OTHER}, {_OWN})))"
-), _duplicates)
+), lambda n, c: logs.duplicate_candidates(n, c).drop("workspace_id"), dealt=True)

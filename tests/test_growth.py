@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import url
-from dossier.operators import discovery, review
+from dossier.operators import discovery, logs, review
 from dossier.plans import registry
 from dossier.plans.bindings import bound
 from dossier.streaming import conflict_state, steps
@@ -94,3 +94,17 @@ def test_fields_of_conflicts_share_a_call_and_are_read_once(monkeypatch):
 @pytest.mark.parametrize("name", ["c14_l4_nested_redacted", "l4_redacted_audit", "c7_json_paths", "a5_wiki_items", "a6_news_items"])
 def test_registered_queries_deal_their_small_tables(spark, name):
     assert "Repartition" in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_duplicate_pairs_are_made_once_and_never_sorted_out(spark):
+    # one name with many companies, one of them found by both numbers and by its name, one merged: each pair once
+    kind = "workspace_id int, {} string, company_name string, tax_id string, registration_number string"
+    new = spark.createDataFrame([(1, "N1", "Node Ltd", "7", "8"), (1, "N2", "Other", "7", None), (1, "N3", "", None, "9")], kind.format("new_id"))
+    rows = [(1, f"C{i:04}", "Node" if i % 2 else "Node Two", "7" if i < 2 else None, "8" if i < 2 else "9" if i == 5 else None, "merged" if i in (0, 5) else "draft") for i in range(2500)]
+    found = logs.duplicate_candidates(new, spark.createDataFrame(rows, kind.format("company_id") + ", status string"))
+    got = [(r["new_id"], r["company_id"], r["score"]) for r in found.collect()]
+    want = {("N1", r[1]): 1.0 if r[3] else 0.85 if r[2] == "Node" else 0.65 for r in rows if r[5] != "merged"} | {("N1", "C0000"): 1.0, ("N2", "C0000"): 1.0, ("N3", "C0005"): 1.0}
+    assert sorted(got) == sorted((*k, v) for k, v in want.items())
+    plan = registry.QUERIES["g2_duplicate_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "replace(" not in plan.lower()  # no name is normalized for each pair
+    assert plan.index("Union") < plan.index("Aggregate")  # pairs aren't made distinct
