@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..sources.scratch import partitions
 
 FACT_KEY = ["workspace_id", "company_id", "field_key", "context_key"]
+#: What rows of a fact's key are dealt by: a context that is a constant would hide that they lie together.
+FIELD = FACT_KEY[:3]
 ACTIVE = ("candidate", "validated", "recommended", "accepted")
 #: Statuses of facts that conflicts are sought among: all but the rejected ones.
 SCANNED = (*ACTIVE, "superseded")
@@ -37,11 +40,13 @@ def corroborate(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> Da
     """Of each value the number of distinct domains that state it, and whether the field has competing values.
 
     sources has source_id and domain. Rejected values have no part in it. Rivals follow from the values themselves, so the
-    facts are read once.
+    facts are read once. Domains are looked up while rows are narrow, and all that is counted of a field is dealt once, in
+    as many parts as the session states, so that a task's memory doesn't grow with the input.
     """
     scanned = facts.where(F.col("fact_status").isin(*SCANNED)).select("fact_id", *FACT_KEY, "value_json")
-    stated = scanned.join(evidence.select("fact_id", "source_id"), "fact_id", "left").join(sources.select("source_id", "domain"), "source_id", "left")
-    values = stated.groupBy(*FACT_KEY, "value_json").agg(F.count_distinct(F.nullif("domain", F.lit(""))).alias("n_domains"))
+    stated = evidence.select("fact_id", "source_id").join(sources.where("domain <> ''").select("source_id", "domain"), "source_id").drop("source_id")
+    rows = scanned.join(stated, "fact_id", "left").drop("fact_id").repartition(partitions(facts.sparkSession), *FIELD)
+    values = rows.groupBy(*FACT_KEY, "value_json").agg(F.count_distinct("domain").alias("n_domains"))
     w = Window.partitionBy(*FACT_KEY)
     return values.withColumn("competing", F.min("value_json").over(w) < F.max("value_json").over(w))
 
@@ -50,7 +55,7 @@ def corroborated_scores(facts: DataFrame, evidence: DataFrame, sources: DataFram
     """fact_id, score and explanation of the facts that aren't rejected, with their domains and rivals counted in."""
     c = F.col
     known = corroborate(facts, evidence, sources)
-    rows = facts.where(c("fact_status").isin(*SCANNED)).join(known, [*FACT_KEY, "value_json"])
+    rows = facts.where(c("fact_status").isin(*SCANNED)).repartition(partitions(facts.sparkSession), *FIELD, "value_json").join(known, [*FACT_KEY, "value_json"])
     score = scoring.confidence(c("field_key"), c("authority_tier"), c("support_type"), c("observed_at"), c("origin_type"), c("hint"), as_of, c("n_domains"), c("competing"))
     rows = rows.withColumn("score", score)
     return rows.select("fact_id", "score", scoring.explanation(c("score"), c("authority_tier"), c("support_type"), c("origin_type"), c("n_domains"), c("competing")).alias("explanation"))

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import partitions
+
 VIEWS: dict[str, str] = {
     "b_company": """
 SELECT CAST(c_nationkey % 5 AS INT) AS workspace_id,
@@ -429,10 +431,19 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False, dealt: bool = False) -> DataFrame:
-    """One of the views over the tables of sf_dir, read at once or as a stream of files; dealt spreads the tables' rows before the view makes more of them."""
+#: Keys of tables whose rows a view gathers by more columns: dealt by the key once, they aren't dealt again for what follows.
+KEYS = {"lineitem": "l_orderkey"}
+
+
+def bound(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False, dealt: bool = False, keyed: bool = False) -> DataFrame:
+    """One of the views over the tables of sf_dir, read at once or as a stream of files.
+
+    dealt spreads the tables' rows before the view makes more of them, keyed gathers those of KEYS by their key before.
+    """
     def table(path: str) -> DataFrame:
         batch = spread(spark.read.parquet(path)) if dealt else spark.read.parquet(path)
+        key = KEYS.get(path.rsplit("/", 1)[-1].removesuffix(".parquet"))
+        batch = batch.repartition(partitions(spark), key) if keyed and key else batch
         # a pattern, as a stream of files takes no path of a single file
         return spark.readStream.schema(batch.schema).parquet(path[:-1] + "[t]") if stream else batch
 

@@ -1,4 +1,4 @@
-"""Folders for tables on the way, shared by driver and executors."""
+"""Folders for tables on the way, shared by driver and executors, and how many parts they are dealt in."""
 
 from __future__ import annotations
 
@@ -39,3 +39,8 @@ def written(rows: DataFrame, folder: str) -> DataFrame:
     """The rows, written to a folder (in place of what a lost attempt left there) and read back: what follows doesn't repeat them."""
     rows.write.mode("overwrite").parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Parts for steps that hold much of a part at once: as many as the session states, where Spark would join them to one a core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
