@@ -62,17 +62,19 @@ def export_json(versions: DataFrame, values: DataFrame, evidence: DataFrame, *,
     """version_id, document (JSON), checksum, bytes of every version, its fields in order of their keys.
 
     versions has version_id, title, version_number, content_hash and overall_confidence; values and evidence have
-    version_id, field_key and context_key. A version's fields are few, so one row holds them.
+    version_id, field_key and context_key. A version's fields are few, so one row holds them. Fields and evidence are gathered
+    by version and meet as whole versions, so tables that are dealt by version aren't dealt again.
     """
     keys = ["version_id", "field_key", "context_key"]
-    rows = values.select(*keys, "value_json", "display_value", "display_status", "confidence")
+    proofs = "array<struct<excerpt:string,url:string,tier:int>>"
+    field = F.struct("field_key", "context_key", "value_json", "display_value", F.col("display_status").alias("status"), "confidence")
+    fields = values.groupBy("version_id").agg(F.array_sort(F.collect_list(field)).alias("fields"))
+    none, given = F.array().cast(proofs), lambda f: F.lit(None)
     if appendix:
         own = evidence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("excerpt", "url", "tier"))).alias("evidences"))
-        rows = rows.join(own, keys, "left")
-    else:
-        rows = rows.withColumn("evidences", F.lit(None).cast("array<struct<excerpt:string,url:string,tier:int>>"))
-    field = F.struct("field_key", "context_key", "value_json", "display_value", F.col("display_status").alias("status"), "confidence", F.coalesce("evidences", F.array().cast("array<struct<excerpt:string,url:string,tier:int>>")).alias("evidences"))
-    fields = rows.groupBy("version_id").agg(F.array_sort(F.collect_list(field)).alias("fields"))
+        fields = fields.join(own.groupBy("version_id").agg(F.collect_list(F.struct("field_key", "context_key", "evidences")).alias("own")), "version_id", "left")
+        given = lambda f: F.get(F.filter("own", lambda e: (e["field_key"] == f["field_key"]) & (e["context_key"] == f["context_key"])), F.lit(0))["evidences"]
+    fields = fields.select("version_id", F.transform("fields", lambda f: f.withField("evidences", F.coalesce(given(f).cast(proofs), none))).alias("fields"))
     out = versions.join(fields, "version_id", "left")
     document = F.to_json(F.struct("title", "version_number", "content_hash", "overall_confidence", F.coalesce("fields", F.array().cast(fields.schema["fields"].dataType)).alias("fields")))
     out = out.select("version_id", document.alias("document"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import ranking, text
 from ..operators import facts, model_runs, reports, review
 from .profiles import _CONFLICT
 from .registry import _SCANNED, AS_OF, over
@@ -123,17 +123,23 @@ over("k14_fit_overrides", "b_company b_fact b_fit_override", f"SELECT f.*, overr
 
 
 def _exported(v, x, e):
-    doc = lambda p: F.get_json_object("document", p)
-    whole = F.from_json("document", "fields array<struct<field_key:string,display_value:string,evidences:array<struct<excerpt:string>>>>").getField("fields")
-    out = reports.export_json(v, x, e).withColumn("f", whole)
-    n = F.aggregate("f", F.lit(0), lambda a, y: a + F.size(y["evidences"]))
-    return out.select("version_id", doc("$.title").alias("title"), doc("$.version_number").cast("int").alias("version_number"), doc("$.content_hash").alias("content_hash"), F.size("f").alias("n_fields"), n.alias("n_evidence"), F.array_join(F.transform("f", lambda y: F.concat(y["field_key"], F.lit("="), y["display_value"])), ";").alias("shown"), (F.col("checksum") == F.sha2("document", 256)).alias("sealed"))
+    # a document is read once for all that is told of it
+    whole = "title string, version_number int, content_hash string, fields array<struct<field_key:string,display_value:string,evidences:array<struct<excerpt:string>>>>"
+
+    def told(d):
+        f = d["fields"]
+        n = F.aggregate(f, F.lit(0), lambda a, y: a + F.size(y["evidences"]))
+        shown = F.array_join(F.transform(f, lambda y: F.concat(y["field_key"], F.lit("="), y["display_value"])), ";")
+        return F.struct(d["title"].alias("title"), d["version_number"].alias("version_number"), d["content_hash"].alias("content_hash"), F.size(f).alias("n_fields"), n.alias("n_evidence"), shown.alias("shown"))
+
+    out = reports.export_json(v, x, e)
+    return out.select("version_id", ranking.let(F.from_json("document", whole), told).alias("t"), (F.col("checksum") == F.sha2("document", 256)).alias("sealed")).select("version_id", "t.*", "sealed")
 
 
 over("a9_json_exports", "b_shown_version b_field_value b_field_evidence", (
     "SELECT version_id, title, version_number, content_hash, coalesce(CAST(n_fields AS INT), 0) AS n_fields, coalesce(CAST(n AS INT), 0) AS n_evidence, coalesce(shown, '') AS shown, TRUE AS sealed FROM b_shown_version LEFT JOIN (SELECT version_id, count(*) AS n_fields, string_agg(concat(field_key, '=', display_value), ';' ORDER BY field_key, context_key) AS shown FROM b_field_value GROUP BY version_id) USING (version_id)"
     " LEFT JOIN (SELECT version_id, count(*) AS n FROM b_field_evidence SEMI JOIN b_field_value USING (version_id, field_key, context_key) GROUP BY version_id) USING (version_id)"
-), _exported)
+), _exported, keyed=True)
 _TITLE = "concat('VERIFIED COMPANY PROFILE — v', version_number)"
 _TEXT = (
     f"concat({_TITLE}, chr(10), repeat('=', length({_TITLE})), chr(10), title, ' (Published: ', strftime(published_at, '%Y-%m-%d'), ')', chr(10), 'Hash: ', content_hash, chr(10), chr(10), 'Executive Summary:', chr(10), summary, chr(10), chr(10), 'Fields:', chr(10), coalesce(lines, ''),"

@@ -116,3 +116,10 @@ def test_corroboration_deals_rows_in_parts_that_no_core_count_bounds(spark, name
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and plan.count("ENSURE_REQUIREMENTS") <= 5  # evidence is dealt once, a field's counts aren't dealt again
     assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_exports_deal_fields_and_evidence_once_and_read_a_document_once(spark):
+    plan = registry.QUERIES["a9_json_exports"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    hashed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("hashpartitioning(l_orderkey" in line for line in hashed) == 2 and sum("ENSURE_REQUIREMENTS" in line for line in hashed) <= 2  # the others are of versions
+    assert "get_json_object" not in plan
