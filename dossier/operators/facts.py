@@ -26,10 +26,13 @@ def dedupe_facts(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame
     return out if stored is None else out.join(active(stored).select(*keys), keys, "left_anti")
 
 
-def score_facts(facts: DataFrame, as_of: Column) -> DataFrame:
+def with_score(facts: DataFrame, as_of: Column) -> DataFrame:
     c = F.col
-    score = scoring.confidence(c("field_key"), c("authority_tier"), c("support_type"), c("observed_at"), c("origin_type"), c("hint"), as_of)
-    return facts.select("fact_id", score.alias("score")).withColumn("rating", scoring.rating(c("score")))
+    return facts.withColumn("score", scoring.confidence(c("field_key"), c("authority_tier"), c("support_type"), c("observed_at"), c("origin_type"), c("hint"), as_of))
+
+
+def score_facts(facts: DataFrame, as_of: Column) -> DataFrame:
+    return with_score(facts, as_of).select("fact_id", "score", scoring.rating(F.col("score")).alias("rating"))
 
 
 def freshness(facts: DataFrame, as_of: Column) -> DataFrame:
@@ -99,7 +102,8 @@ def materially_different(field: Column, kind: Column, a: Column, other_kind: Col
     """
     text = lambda j: F.lower(F.btrim(F.try_variant_get(F.try_parse_json(j), "$", "string"), F.lit(" \t\n\x0b\x0c\r")))
     s, t = text(a), text(b)
-    words = [F.filter(F.split(v, r"\s+"), lambda w: w != "") for v in (s, t)]
+    # no lambda: with one, every task would generate the whole comparison's code anew
+    words = [F.array_remove(F.split(v, r"\s+"), "") for v in (s, t)]
     inside = (F.size(words[0]) > 0) & (F.size(words[1]) > 0) & ((F.size(F.array_except(words[0], words[1])) == 0) | (F.size(F.array_except(words[1], words[0])) == 0))
     strings = (s != t) & ~((field == "identity.legal_name") & inside)
     x, y = _number(kind, a), _number(other_kind, b)
@@ -111,7 +115,9 @@ def materially_different(field: Column, kind: Column, a: Column, other_kind: Col
     whole = lambda k, j: F.when(k == "string", F.try_variant_get(F.try_parse_json(j), "$", "string")).otherwise(F.to_json(F.try_parse_json(j)))
     numeric = ("integer", "number", "boolean")
     both = lambda *kinds: kind.isin(*kinds) & other_kind.isin(*kinds)
-    return F.when(a.isNull() | b.isNull(), False).when(both("string"), strings).when(both(*numeric), numbers).otherwise(whole(kind, a) != whole(other_kind, b))
+    # the same text of one type is the same value, and most texts needn't be parsed to see that
+    same = (kind == other_kind) & ~kind.isin(*numeric) & (a == b)
+    return F.when(a.isNull() | b.isNull() | same, False).when(both("string"), strings).when(both(*numeric), numbers).otherwise(whole(kind, a) != whole(other_kind, b))
 
 
 def conflict_members(facts: DataFrame, *, strict_reference: bool = False) -> DataFrame:
@@ -158,7 +164,7 @@ def list_conflicts(conflicts: DataFrame, members: DataFrame, facts: DataFrame, s
 
 def assemble_drafts(facts: DataFrame, as_of: Column) -> DataFrame:
     """The best scored active fact of each field, in order of score."""
-    scored = facts.where(F.col("fact_status").isin(*ACTIVE)).join(score_facts(facts, as_of).drop("rating"), "fact_id")
+    scored = with_score(facts.where(F.col("fact_status").isin(*ACTIVE)), as_of)
     best = Window.partitionBy("workspace_id", "company_id", "field_key").orderBy(F.desc("score"), "fact_id")
     out = scored.withColumn("n", F.row_number().over(best)).where("n = 1")
     order = Window.partitionBy("workspace_id", "company_id").orderBy(F.desc("score"), "fact_id")

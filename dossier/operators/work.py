@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from .facts import ACTIVE, FACT_KEY, detect_conflicts, missing_fields
+from ..functions import scoring, text
+from ..sources.scratch import new_folder, written
+from .facts import ACTIVE, FACT_KEY, SCANNED, conflict_members, detect_conflicts, missing_fields, with_score
 
 STEPS = 9
 
@@ -40,27 +41,48 @@ def publishable(companies: DataFrame, blockers: DataFrame) -> DataFrame:
     return companies.select("workspace_id", "company_id").join(critical, ["workspace_id", "company_id"], "left_anti")
 
 
-def publish(drafts: DataFrame, selections: DataFrame, facts: DataFrame, evidence: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The next version of each draft (workspace_id, company_id), its field values, and the copies of their evidence.
+def publishable_values(companies: DataFrame, facts: DataFrame, as_of: Column, mandatory: tuple[str, ...]) -> DataFrame:
+    """The best scored active fact of each field, with its value, of the companies that no critical blocker keeps back.
 
-    selections has the chosen fact of each field, facts its value and status, versions what is published already. Sources
-    are counted by themselves, and the hash covers the fields in order of their keys.
+    The same as assemble_drafts of those that are publishable, but facts are read and dealt by company once: conflicts,
+    missing fields and the choice all follow from one order of a company's facts.
     """
-    company = ["workspace_id", "company_id"]
+    c, company = F.col, FACT_KEY[:2]
+    kept = ["context_key", "fact_id", "value_type", "value_json", "fact_status", "score"]
+    rows = with_score(facts.where(c("fact_status").isin(*SCANNED)), as_of).select(*company, "field_key", *kept)
+    rows = conflict_members(rows.repartition(*company))
+    # a condition first: what it rules out isn't compared
+    rows = rows.withColumn("blocks", (scoring.materiality(c("field_key")) == "critical") & c("differs"))
+    place = F.when(c("fact_status").isin(*ACTIVE), F.struct(-c("score"), c("fact_id")))
+    fields = rows.groupBy(*company, "field_key").agg(F.bool_or("blocks").alias("blocks"), F.min_by(F.struct(*kept), place).alias("best"))
+    w = Window.partitionBy(*company)
+    there = F.count_if(c("field_key").isin(*mandatory) & c("best").isNotNull()).over(w) == len(set(mandatory))
+    ready = fields.withColumn("ready", there & ~F.coalesce(F.bool_or("blocks").over(w), F.lit(False))).where("ready AND best IS NOT NULL")
+    status = F.when(c("fact_status").isin("accepted", "validated"), "verified").otherwise("inferred")
+    values = ready.select(*company, "field_key", "best.*").join(companies.select(*company), company, "left_semi")
+    return values.select(*company, "field_key", "context_key", "fact_id", "value_type", "value_json", status.alias("display_status"), "score")
+
+
+def publish(values: DataFrame, evidence: DataFrame, versions: DataFrame, *, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next version of each company in values, its field values, and the copies of their evidence.
+
+    values has the chosen fact of each field with its value and status, versions what is published already. Sources are
+    counted by themselves, and the hash covers the fields in order of their keys. The values are written to a folder once, and
+    evidence of other facts goes before anything is worked out of it.
+    """
+    company = FACT_KEY[:2]
+    values = written(values.repartition("fact_id"), folder or new_folder(values.sparkSession))
     last = versions.groupBy(*company).agg(F.max("version_number").alias("last"))
-    chosen = drafts.select(*company).join(selections.select(*company, "fact_id", "score"), company)
-    status = F.when(F.col("fact_status").isin("accepted", "validated"), "verified").otherwise("inferred")
-    values = chosen.join(facts.select("fact_id", "field_key", "context_key", "value_type", "value_json", "fact_status"), "fact_id")
-    values = values.select(*company, "field_key", "context_key", "fact_id", "value_type", "value_json", status.alias("display_status"), "score")
-    copies = values.select(*company, "field_key", "context_key", "fact_id").join(evidence.select("fact_id", "source_id", "block_key"), "fact_id")
-    counted = copies.groupBy(*company).agg(F.count("*").alias("n_evidence"), F.count_distinct("source_id").alias("n_sources"))
+    own = evidence.select("fact_id", "source_id", "block_key").join(values.select("fact_id"), "fact_id", "left_semi")
+    copies = values.select(*company, "field_key", "context_key", "fact_id").join(own, "fact_id")
+    counted = copies.select(*company, "source_id").repartition(*company).groupBy(*company).agg(F.count("*").alias("n_evidence"), F.count_distinct("source_id").alias("n_sources"))
     lines = F.array_sort(F.collect_list(F.struct("field_key", "context_key", "value_json", "display_status")))
     # the mean in whole hundredths, halves upwards, which no binary fraction disturbs
     total, n = F.sum(F.round(F.col("score") * 100).cast("long")), F.count("*")
     hundredths = F.floor((total * 2 + n) / (n * 2)) / 100
     whole = values.groupBy(*company).agg(F.count("*").alias("n_fields"), hundredths.alias("confidence"), lines.alias("lines"))
     text_ = F.array_join(F.transform("lines", lambda x: F.concat_ws("|", x["field_key"], x["context_key"], F.coalesce(x["value_json"], F.lit("")), x["display_status"])), "\n")
-    out = drafts.select(*company).join(whole, company).join(counted, company, "left").join(last, company, "left")
+    out = whole.join(counted, company, "left").join(last, company, "left")
     number = (F.coalesce("last", F.lit(0)) + 1).cast("int")
     out = out.select(*company, number.alias("version_number"), "n_fields", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "confidence", F.sha2(text_, 256).alias("content_hash"))
     return out, values, copies

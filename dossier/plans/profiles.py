@@ -102,17 +102,16 @@ _CHOSEN = f"SELECT workspace_id, company_id, field_key, context_key, fact_id, va
 _READY = f"SELECT workspace_id, company_id FROM b_company ANTI JOIN (SELECT * FROM ({_BLOCKERS}) WHERE materiality = 'critical') USING (workspace_id, company_id)"
 
 
-def _published(c, f, e, v):
-    ready = work.publishable(c, work.publication_blockers(c, f, MANDATORY))
-    return work.publish(ready, facts.assemble_drafts(f, F.expr(AS_OF)), f, e, v)
+def _ready_values(c, f):
+    return work.publishable_values(c, f, F.expr(AS_OF), MANDATORY)
 
 
 over("k6_published_versions", "b_company b_fact b_evidence b_version", (
     f"WITH x AS ({_CHOSEN}), ready AS ({_READY}), v AS (SELECT workspace_id, company_id, count(*) AS n_fields, floor((sum(CAST(round(score * 100) AS BIGINT)) * 2 + count(*)) / (count(*) * 2)) / 100 AS confidence, sha256(string_agg(concat_ws('|', field_key, context_key, coalesce(value_json, ''), display_status), chr(10) ORDER BY field_key, context_key)) AS content_hash FROM x GROUP BY workspace_id, company_id),"
     " e AS (SELECT workspace_id, company_id, count(*) AS n_evidence, count(DISTINCT source_id) AS n_sources FROM x JOIN b_evidence USING (fact_id) GROUP BY workspace_id, company_id), l AS (SELECT workspace_id, company_id, max(version_number) AS last FROM b_version GROUP BY workspace_id, company_id)"
     " SELECT workspace_id, company_id, CAST(coalesce(last, 0) + 1 AS INT) AS version_number, n_fields, coalesce(n_evidence, 0) AS n_evidence, coalesce(n_sources, 0) AS n_sources, confidence, content_hash FROM ready JOIN v USING (workspace_id, company_id) LEFT JOIN e USING (workspace_id, company_id) LEFT JOIN l USING (workspace_id, company_id)"
-), lambda c, f, e, v: _published(c, f, e, v)[0])
-over("k6_published_values", "b_company b_fact b_evidence b_version", f"SELECT workspace_id, company_id, field_key, context_key, fact_id, value_json, display_status, score FROM ({_CHOSEN}) JOIN ({_READY}) USING (workspace_id, company_id)", lambda c, f, e, v: _published(c, f, e, v)[1].drop("value_type"))
+), lambda c, f, e, v: work.publish(_ready_values(c, f), e, v)[0])
+over("k6_published_values", "b_company b_fact b_evidence b_version", f"SELECT workspace_id, company_id, field_key, context_key, fact_id, value_json, display_status, score FROM ({_CHOSEN}) JOIN ({_READY}) USING (workspace_id, company_id)", lambda c, f, e, v: _ready_values(c, f).drop("value_type"))
 over("k9_current_profiles", "b_version", "SELECT workspace_id, company_id, arg_max(version_id, version_number) AS version_id, max(version_number) AS version_number FROM b_version WHERE NOT withdrawn GROUP BY ALL", work.current_profiles)
 over("k2_superseded_drafts", "b_version", "SELECT version_id, CASE WHEN row_number() OVER (PARTITION BY workspace_id, company_id ORDER BY published_at DESC, version_id DESC) = 1 THEN 'ready' ELSE 'superseded' END AS status FROM b_version", work.superseded_drafts)
 over("j2_inbox", "b_review b_decision", "SELECT workspace_id, company_id, task_id, task_type, priority, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, task_id DESC) AS INT) AS place, coalesce(decisions, '') AS decisions FROM b_review LEFT JOIN (SELECT task_id, string_agg(concat(seq, ' ', action), ';' ORDER BY seq) AS decisions FROM b_decision GROUP BY task_id) USING (task_id) WHERE status = 'open' AND task_type = 'field_conflict' AND assigned_to = 'U3'", lambda t, d: work.inbox(t, d, status="open", task_type="field_conflict", assigned_to="U3").withColumn("decisions", F.coalesce(F.array_join(F.transform("decisions", lambda x: F.concat_ws(" ", x["seq"].cast("string"), x["action"])), ";"), F.lit(""))))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import url
-from dossier.operators import discovery, logs, review
+from dossier.operators import discovery, logs, review, work
 from dossier.plans import registry
 from dossier.plans.bindings import bound
 from dossier.streaming import conflict_state, steps
@@ -123,3 +123,26 @@ def test_exports_deal_fields_and_evidence_once_and_read_a_document_once(spark):
     hashed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sum("hashpartitioning(l_orderkey" in line for line in hashed) == 2 and sum("ENSURE_REQUIREMENTS" in line for line in hashed) <= 2  # the others are of versions
     assert "get_json_object" not in plan
+
+
+@pytest.mark.parametrize("name", ["k1_assemble_drafts", "k6_published_values", "k6_published_versions"])
+def test_drafts_and_published_values_read_facts_once(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [o_orderkey") == 1  # that of the last is for b_version, as its values are written before
+    assert name != "k6_published_values" or "lambda" not in plan
+
+
+def test_values_of_companies_that_nothing_keeps_back(spark):
+    kind = "workspace_id int, company_id string, field_key string, context_key string, fact_id int, value_type string, value_json string, fact_status string, authority_tier int, support_type string, observed_at timestamp, origin_type string, hint decimal(5,2)"
+    fact = lambda company, field, i, value, status="candidate", tier=1: (1, company, field, "", i, "string", f'"{value}"', status, tier, "direct", None, "reviewer", None)
+    name, tax = "identity.legal_name", "identity.tax_id"
+    rows = [
+        fact("A", name, 1, "Node", tier=2), fact("A", name, 2, "node Corp", "accepted"), fact("A", name, 3, "node Corp"), fact("A", tax, 4, "7"), fact("A", "x", 5, "a"), fact("A", "x", 6, "b"), fact("A", "y", 7, "c", "superseded"),
+        fact("B", name, 11, "Node"), fact("B", tax, 12, "7"), fact("B", tax, 13, "8", "superseded"),  # in conflict
+        fact("C", name, 21, "Node"), fact("C", tax, 22, "7", "superseded"), fact("C", "x", 23, "a"),  # one is missing
+        fact("D", name, 31, "Node"), fact("D", tax, 32, "7"), fact("D", tax, 33, "8", "rejected"), fact("E", name, 41, "Node"), fact("E", tax, 42, "7"),
+    ]
+    companies = spark.createDataFrame([(1, c) for c in "ABCD"], "workspace_id int, company_id string")
+    found = work.publishable_values(companies, spark.createDataFrame(rows, kind), F.lit("2001-01-01").cast("timestamp"), (name, tax))
+    got = {(r["company_id"], r["fact_id"], r["display_status"]) for r in found.collect()}
+    assert got == {("A", 2, "verified"), ("A", 4, "inferred"), ("A", 5, "inferred"), ("D", 31, "inferred"), ("D", 32, "inferred")}
